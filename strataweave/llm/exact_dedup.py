@@ -47,6 +47,15 @@ def _mask(cell: Column) -> Column:
 def repeated_filter(keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """Both filters of pass 1 for the column ``key``: rows ``word, bits``, at most ``words`` of them."""
     cells = keys.select(cell_of(F.col("key")).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _filter(cells, words)
+
+
+def member_filter(keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """A Bloom filter of the column ``key``, in the same form."""
+    return _filter(keys.select(cell_of(F.col("key")).alias("cell")), words)
+
+
+def _filter(cells: DataFrame, words: int) -> DataFrame:
     return cells.groupBy(_word(F.col("cell"), words).alias("word")).agg(F.bit_or(_mask(F.col("cell"))).alias("bits"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .ngram_join import near_duplicates
 from .packing import pack
 from .sharding import assign_shards
 from .token_counts import length_histogram, suffix_sums
@@ -35,12 +36,17 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), byte_bpe_path())
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_sequence_packing": op8_sequence_packing,
     "op9_token_files": op9_token_files,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
