@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, toxicity
+from . import decontaminate, pii, suffix_dedup, toxicity
 from .common import documents
 from .exact_dedup import exact_duplicates
 from .ngram_join import near_duplicates
@@ -50,6 +50,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir), 400)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op7_pii": op7_pii,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
