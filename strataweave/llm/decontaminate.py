@@ -244,4 +244,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs, with the same columns."""
-    return find_leaks(docs, benchmark, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return find_leaks(rows, benchmark, **options).where(F.size("leaks") == 0).select("row.*")

@@ -121,10 +121,9 @@ def keep_one(docs: DataFrame, text: str = "text", words: int = FILTER_WORDS) ->
     All columns stay. Rows of texts that occur once are filtered where they are
     read; only the others are shuffled, one row per text and task.
     """
-    keyed = docs.withColumn("key", F.unhex(F.sha2(normalised(text), 256)))
+    keyed = docs.select(F.unhex(F.sha2(normalised(text), 256)).alias("key"), F.struct(*docs.columns).alias("row"))
     words_table = written(repeated_filter(keyed.select("key"), words), "repeated-filter")
     asked = with_alarm(keyed, F.col("key"), words_table, words)
-    order = F.struct(F.length(text_or_empty(text)), F.bitwise_not("doc_id"), F.xxhash64(*docs.columns))
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    kept = asked.where("alarm").groupBy("key").agg(F.max(F.struct(order.alias("order"), row.alias("row"))).alias("best"))
-    return asked.where("NOT alarm").select(*docs.columns).unionByName(kept.select("best.row.*"))
+    order = F.struct(F.length(text_or_empty(f"row.{text}")), F.bitwise_not("row.doc_id"), F.xxhash64("row"))
+    kept = asked.where("alarm").groupBy("key").agg(F.max(F.struct(order.alias("order"), F.col("row").alias("row"))).alias("best"))
+    return asked.where("NOT alarm").select("row.*").unionByName(kept.select("best.row.*"))

@@ -227,6 +227,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score less than the threshold, with the same columns."""
-    return with_scores(docs, model, "toxicity_score").where(F.col("toxicity_score") < threshold).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return with_scores(rows, model).where(F.col("score") < threshold).select("row.*")
