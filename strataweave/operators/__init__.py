@@ -1,0 +1 @@
+"""Graph, retrieval, maintenance and evaluation operators."""
