@@ -115,7 +115,7 @@ def page_chunks(docs: DataFrame, thin: int = 100, fallback: DataFrame | None = N
     """``source, page, text`` of texts with lines ``===== Page N =====``; pages of few characters take the fallback's text."""
     parts = F.split("text", r"(?m)^===== Page [0-9]+ =====[ \t]*$")
     numbers = F.regexp_extract_all("text", F.lit(r"(?m)^===== Page ([0-9]+) =====[ \t]*$"), 1)
-    rows = docs.select("source", F.explode(F.arrays_zip(numbers.alias("page"), F.slice(parts, 2, 2_147_483_647).alias("text"))).alias("p"))
+    rows = docs.select("source", F.explode(F.arrays_zip(numbers.alias("page"), F.slice(parts, 2, 1_000_000_000).alias("text"))).alias("p"))
     rows = rows.select("source", F.col("p.page").cast("int").alias("page"), F.regexp_replace("p.text", r"\A\s+|\s+\z", "").alias("text"))
     if fallback is None:
         return rows

@@ -80,7 +80,7 @@ def cooccurrence_triples(chunks: DataFrame, entities: DataFrame) -> tuple[DataFr
     words = chunks.select("chunk_id", F.posexplode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("at", "word"))
     hits = words.join(entities.select("id", F.lower("id").alias("word")), "word").groupBy("chunk_id", "id").agg(F.min("at").alias("at"))
     listed = hits.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
-    pairs = listed.select("chunk_id", F.explode(F.arrays_zip(F.col("ids").alias("src"), F.slice("ids", 2, 2_147_483_647).alias("dst"))).alias("p")).where("p.dst IS NOT NULL")
+    pairs = listed.select("chunk_id", F.explode(F.arrays_zip(F.col("ids").alias("src"), F.slice("ids", 2, 1_000_000_000).alias("dst"))).alias("p")).where("p.dst IS NOT NULL")
     return pairs.select("p.src", F.lit("RELATED_TO").alias("type"), "p.dst", "chunk_id"), hits.select("chunk_id", F.col("id").alias("node_id"))
 
 

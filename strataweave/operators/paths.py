@@ -88,7 +88,7 @@ def best_paths(walks: DataFrame, most: int, group: list[str] | None = None) -> D
 
 def path_triples(paths: DataFrame, group: list[str] | None = None) -> DataFrame:
     """The different triples of ranked paths in order of first appearance: ``start, type, end, ordinal``."""
-    steps = F.posexplode(F.arrays_zip(F.col("nodes").alias("start"), F.col("types").alias("type"), F.slice("nodes", 2, 2_147_483_647).alias("end")))
+    steps = F.posexplode(F.arrays_zip(F.col("nodes").alias("start"), F.col("types").alias("type"), F.slice("nodes", 2, 1_000_000_000).alias("end")))
     rows = paths.select(*(group or []), "rank", steps.alias("pos", "t")).where("t.type IS NOT NULL").select(*(group or []), "rank", "pos", "t.*")
     return rows.groupBy(*(group or []), "start", "type", "end").agg(F.min(F.col("rank") * 1000 + F.col("pos")).alias("ordinal"))
 

@@ -62,7 +62,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         rows = _renamed(spark.read.option("header", "true").csv(path))
         have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
-        aliases = F.filter(F.transform(F.split(F.coalesce(have("aliases"), F.lit("")), r"\|"), F.trim), lambda a: a != "")
+        aliases = F.filter(F.transform(F.split(F.coalesce(have("aliases"), F.lit("")), r"\|"), lambda a: F.trim(a)), lambda a: a != "")
         rows = rows.select(have("canonical").alias("canonical"), aliases.alias("aliases"), *(have(c).alias(c) for c in ("category", "definition", "notes")))
     else:
         text = spark.read.text(path, wholetext=True)
