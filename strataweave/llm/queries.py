@@ -72,6 +72,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_jump_sharding": r"""
+        WITH RECURSIVE bits AS (
+            SELECT CAST(range AS BIGINT) AS n, CAST(range AS BIGINT) AS c, 0 AS k FROM range(256)
+            UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+        walk AS (
+            SELECT doc_id, CAST(doc_id AS HUGEINT) AS state, CAST(0 AS BIGINT) AS place, 0 AS shard, 0 AS grown FROM (SELECT DISTINCT doc_id FROM documents)
+            UNION ALL
+            SELECT doc_id, next, far, CASE WHEN far < 16 THEN far ELSE shard END, CASE WHEN far <= 16 THEN far ELSE grown END
+            FROM (SELECT *, CAST(floor((place + 1) * (2147483648.0::DOUBLE / (CAST(next // 8589934592 AS DOUBLE) + 1.0))) AS BIGINT) AS far
+                  FROM (SELECT *, (state * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM walk WHERE place <= 16))),
+        shards AS (SELECT doc_id, CAST(max(shard) AS INTEGER) AS shard, CAST(max(grown) AS INTEGER) AS grown_shard FROM walk GROUP BY doc_id),
+        sized AS (
+            SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+                   xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+                       lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+            FROM documents, crc)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard
+        FROM sized JOIN shards USING (doc_id)
+    """,
     "op5_exact_dedup": r"""
         WITH keyed AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
