@@ -143,3 +143,10 @@ def miss_cause(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy(cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select("cause", "n", (F.col("n") / F.col("total")).alias("share"))  # one row
+
+
+def is_multihop(records: DataFrame) -> DataFrame:
+    """``multihop``: gold references on several pages or documents, or a question type that says so."""
+    several = F.size(F.array_distinct("correct")) > 1
+    named = F.lower(F.coalesce("question_type", F.lit(""))).rlike("multi|compositional|comparison") if "question_type" in records.columns else F.lit(False)
+    return records.withColumn("multihop", several | named)

@@ -147,3 +147,18 @@ def search_nodes(nodes: DataFrame, text: str, most: int) -> DataFrame:
     return nodes.where(F.contains(F.lower("id"), F.lit(text.lower()))).select("id").distinct().orderBy(F.length("id"), "id").limit(max(1, min(500, most)))
 
 
+
+
+def display_edges(triples: DataFrame) -> DataFrame:
+    """Triples with both ends, types that miss as Unknown, each once."""
+    there = (F.coalesce("start", F.lit("")) != "") & (F.coalesce("end", F.lit("")) != "")
+    named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
+    kinds = [named(c).alias(c) for c in ("start_type", "end_type") if c in triples.columns]
+    return triples.where(there).select("start", named("type").alias("type"), "end", *kinds).distinct()
+
+
+def incident_triples(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
+    """What path search falls back to: directed edges at a start node on either end, in a fixed order."""
+    ids = starts.select("id").distinct()
+    hit = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    return hit.select(F.col("src").alias("start"), "type", F.col("dst").alias("end")).distinct().orderBy("start", "type", "end").limit(most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import enrich, evaluate, linking, maintain, model, paths
+from ..operators import enrich, evaluate, linking, maintain, model, paths, retrieval
 from ..sources import writers
 from .registry import query
 from .tables import Tables
@@ -361,7 +361,10 @@ def fuzzy_pairs(t: Tables) -> DataFrame:
     return linking.fuzzy_pairs(names)
 
 
-@query()
+@query("""+ located AS (
+    SELECT 'region:' || r_regionkey AS node, r_regionkey AS r FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_regionkey FROM nation
+    UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+    SELECT node, min(node) OVER (PARTITION BY r) AS component FROM located""")
 def connected_components(t: Tables) -> DataFrame:
     return enrich.connected(t.edges.where("type IN ('PART_OF', 'BELONGS_TO_CATEGORY')").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
@@ -382,3 +385,27 @@ def chunk_dedupe(t: Tables) -> DataFrame:
 def first_pages(t: Tables) -> DataFrame:
     first = F.min("page").over(Window.partitionBy("source"))
     return t.chunks.withColumn("f", first).where(F.col("page") <= F.col("f") + 1).select("source", "chunk_id", "page")
+
+
+@query("SELECT src AS start, type, dst AS \"end\" FROM edges WHERE src IN ('nation:3', 'region:1') OR dst IN ('nation:3', 'region:1') ORDER BY 1, 2, 3 LIMIT 20")
+def fallback_triples(t: Tables) -> DataFrame:
+    return paths.incident_triples(t.edges, t.spark.createDataFrame([("nation:3",), ("region:1",)], "id string"))
+
+
+@query("""SELECT e.src AS start, e.type, e.dst AS "end", s.label AS start_type, d.label AS end_type FROM small_edges e
+    LEFT JOIN (SELECT id, min(label) AS label FROM nodes GROUP BY id) s ON s.id = e.src LEFT JOIN (SELECT id, min(label) AS label FROM nodes GROUP BY id) d ON d.id = e.dst""")
+def annotated_triples(t: Tables) -> DataFrame:
+    return paths.with_labels(t.small_edges.select(F.col("src").alias("start"), "type", F.col("dst").alias("end")), t.nodes)
+
+
+@query("""+ gold AS (SELECT DISTINCT o_custkey AS question_id, l_partkey AS id FROM sales WHERE o_custkey < 50)
+    SELECT question_id, id, id % 2 = 0 AS vector, id % 3 = 0 AS graph, concat_ws('+', CASE WHEN id % 2 = 0 THEN 'vector' END, CASE WHEN id % 3 = 0 THEN 'graph' END) AS found_by FROM gold""")
+def route_trace(t: Tables) -> DataFrame:
+    gold = t.sales.where("o_custkey < 50").select(F.col("o_custkey").alias("question_id"), F.col("l_partkey").alias("id"))
+    return retrieval.trace(gold, {"vector": gold.where("id % 2 = 0"), "graph": gold.where("id % 3 = 0")})
+
+
+@query("SELECT src, type, dst, src NOT LIKE 'nation:1%' AS added FROM edges WHERE type = 'PART_OF'")
+def merge_edge_list(t: Tables) -> DataFrame:
+    some = t.edges.where("type = 'PART_OF'")
+    return writers.merge_edges(some.where("src LIKE 'nation:1%'"), some)

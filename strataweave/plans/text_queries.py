@@ -126,7 +126,18 @@ def embedded_chunks(t: Tables) -> DataFrame:
     return hooks.embedded(t.read("benchmark"), hooks.HashedWords(64))
 
 
-@query()
+@query("SELECT id, lower(id) AS norm_id, [lower(id), lower(name)] AS search_keys FROM nodes WHERE label = 'nation'")
 def search_keys(t: Tables) -> DataFrame:
     nodes = t.nodes.where("label = 'nation'").select("id", F.array("name").alias("aliases"), F.col("name").alias("canonical_form"))
     return enrich.search_keys(nodes)
+
+
+@query("""SELECT 'Entity: ' || c_name || chr(10) || 'Type: ' || c_mktsegment || chr(10) || 'nation: ' || c_nationkey || chr(10) || 'Context: c' || c_custkey AS text FROM customer""", prelude=False)
+def entity_documents(t: Tables) -> DataFrame:
+    properties = F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"))
+    return t.read("customer").select(tx.entity_document(F.col("c_name"), F.col("c_mktsegment"), properties, F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("text"))
+
+
+@query("SELECT src || '、k。' || src || ' ' || type || ' ' || dst AS text FROM small_edges")
+def relation_documents(t: Tables) -> DataFrame:
+    return t.small_edges.select(tx.relation_document(F.array("src", F.lit("k")), F.col("src"), F.col("type"), F.col("dst")).alias("text"))

@@ -90,3 +90,17 @@ def mirror(target: DataFrame, source: DataFrame, key: str) -> tuple[DataFrame, D
 def image_files(images: DataFrame) -> DataFrame:
     """``name, content``: images under the first 16 digits of their hash, each once."""
     return images.select(F.concat(F.substring(F.sha2("content", 256), 1, 16), F.lit(".png")).alias("name"), "content").dropDuplicates(["name"])
+
+
+def clear_collection(spark: SparkSession, path: str, collection: str) -> int:
+    """Takes a collection's rows out of a table; returns how many went. Other collections are not touched."""
+    n = read_collection(spark, path, collection).count()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={collection}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return n
+
+
+def merge_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges of a list added to those stored, each (src, type, dst) once, stored ones first."""
+    rows = stored.select("src", "type", "dst").withColumn("_n", F.lit(0)).unionByName(new.select("src", "type", "dst").withColumn("_n", F.lit(1)))
+    return rows.groupBy("src", "type", "dst").agg(F.min("_n").alias("_n")).select("src", "type", "dst", (F.col("_n") == 1).alias("added"))

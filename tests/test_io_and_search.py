@@ -121,3 +121,19 @@ def test_revisions_stream_in_order(spark, tmp_path):
     query = revisions.apply(revisions.revisions(spark, str(tmp_path / "in")), lambda df, n: seen.extend((r.doc_id, r.text) for r in df.collect()), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert seen == [(1, "v3")]
+
+
+def test_themes_scopes_and_clearing(spark, tmp_path):
+    relations = spark.createDataFrame([(1, "a", "R", "b", [1.0, 0.0]), (2, "c", "R", "d", [0.9, 0.1]), (3, "e", "R", "f", [0.0, 1.0])], "relation_id long, start string, type string, end string, embedding array<float>")
+    themes = spark.createDataFrame([(7, [1.0, 0.0])], "question_id long, embedding array<float>")
+    known = spark.createDataFrame([(7, "a", "R", "b")], "question_id long, start string, type string, end string")
+    assert [(r.start, r.theme_score) for r in retrieval.theme_relations(relations, themes, known).collect()] == [("c", 0.9939)]
+    hits = spark.createDataFrame([(1, "x", "s1", 0.9), (1, "y", "s2", 0.8), (1, "z", "s9", 1.0)], "question_id int, id string, source string, score double")
+    targets = spark.createDataFrame([(1, "s2", 0), (1, "s1", 1)], "question_id int, source string, ordinal int")
+    assert [r.id for r in retrieval.scoped(hits, targets, 5).orderBy("rank").collect()] == ["x", "y"]
+    path = str(tmp_path / "c")
+    for name in ("a", "b"):
+        writers.write_collection(spark.createDataFrame([("1",)], "chunk_id string"), path, name)
+    assert writers.clear_collection(spark, path, "a") == 1 and [r.collection for r in writers.collections(spark, path).collect()] == ["b"]
+    records = spark.createDataFrame([(["p1", "p2"], ""), (["p1"], "multi-hop"), (["p1"], None)], "correct array<string>, question_type string")
+    assert [r.multihop for r in evaluate.is_multihop(records).collect()] == [True, True, False]

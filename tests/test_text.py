@@ -118,3 +118,8 @@ def test_only_reading_statements_run(spark):
     for bad in ("DROP TABLE numbers", "SELECT 1; SELECT 2", "INSERT INTO numbers VALUES (1)", "SHOW TABLES"):
         with pytest.raises(ValueError):
             hooks.read_only_sql(spark, bad)
+
+
+@pytest.mark.parametrize("text, value", [("三十五", 35), ("百二十", 120), ("二千二十四", 2024), ("一億二千万", 120_000_000), ("１２", 12), ("1,000", 1000), ("十", 10), ("二〇二四", 2024), ("本", None), ("", None), (None, None)])
+def test_numbers_in_chinese_characters(text, value):
+    assert tx.kanji_value(text) == value
