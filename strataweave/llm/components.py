@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .exact_dedup import join_groups
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -14,16 +15,18 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     The component is its smallest node. Large-star and small-star steps
     (Kiveris et al., "Connected components in MapReduce and beyond") alternate
     until no edge changes; each step is an aggregation and a join, its result is
-    written. Loops (a = b) keep single nodes. An empty table gives no rows.
+    written. The neighbours of a node that very many share are not brought
+    together: its smallest one is broadcast to them. Loops (a = b) keep single
+    nodes. An empty table gives no rows.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "component-edges")
-    before = None
+    before, n = None, edges.count()
     for _ in range(most_rounds):
         # large star: every larger neighbour of u goes to the smallest node around u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v >= u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size")), "component-lowest")
+        large = join_groups(both.where("v >= u"), lowest, "u", "size", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
@@ -31,5 +34,5 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
         if state == before:
             break
-        before = state
+        before, n = state, state[0]
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
