@@ -7,7 +7,9 @@ equal meets in one shard. Runs whose minimizer occurs once in the corpus (in oth
 runs and in themselves) cannot repeat and are dropped before they move (a Bloom
 filter, then exact counts). Runs of equal bytes are counted, not moved: all their strings repeat. What is left,
 different runs of one minimizer, is sorted by external induced sorting
-(:mod:`.induced`), shard by shard, with queues on the task's disk.
+(:mod:`.induced`), shard by shard, with queues on the task's disk. A minimizer
+with very many runs is parted by how far a string starts before it, which is the
+same for equal strings, so no task has to take them all.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_or_empty, written
+from .common import bounded, partitions, text_or_empty, written
 from .exact_dedup import join_groups, member_filter, repeated_filter, with_alarm
 from .induced import repeated_starts
 
@@ -30,7 +32,9 @@ _GRAM = 64
 _RUN = 4096  # strings in a run at most
 _SLICE = 1 << 20
 #: Bytes of segments that a task sorts at a time; more, if one minimizer has more.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Different runs of one minimizer that stay together; more are parted by offset.
+TOGETHER = 500
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +54,31 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _gram_hashes(raw: np.ndarray, gram: int, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each place on."""
+    up, down = powers
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    n = len(raw) - gram + 1
+    hashes = (sums[gram:] - sums[:n]) * down[:n]
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def offset_parts(data: bytes, minimizer: int, length: int, width: int, powers: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """A run cut by how far its strings start before their first minimizer: ``part, from, to`` (strings).
+
+    Equal strings start equally far before it, so they fall into equal parts.
+    """
+    gram = min(_GRAM, length)
+    strings = np.arange(len(data) - length + 1)
+    at = np.flatnonzero(_gram_hashes(np.frombuffer(data, np.uint8), gram, powers).view(np.int64) == minimizer)
+    place = np.searchsorted(at, strings)
+    part = (at[place] - strings) // width
+    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (part[1:] != part[:-1])))
+    return list(zip(part[first].tolist(), first.tolist(), np.append(first[1:], len(strings)).tolist()))
+
+
 def minimizer_runs(data: bytes, ends: np.ndarray, length: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings of ``length`` bytes with one minimizer: ``minimizer, start, strings, inner``.
 
@@ -60,13 +89,7 @@ def minimizer_runs(data: bytes, ends: np.ndarray, length: int, powers: tuple[np.
     gram = min(_GRAM, length)
     if len(raw) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    up, down = powers
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-    n = len(raw) - gram + 1
-    hashes = (sums[gram:] - sums[:n]) * down[:n]
-    hashes ^= hashes >> np.uint64(29)
-    hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> np.uint64(32)
+    hashes = _gram_hashes(raw, gram, powers)
     least = _least(hashes, length - gram + 1)
     owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
     valid = owner[: len(least)] == owner[length - 1 :]
@@ -122,55 +145,64 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             if texts:
                 yield runs_of(keys, texts, powers)
 
-    return docs.mapInArrow(work, "key binary, minimizer long, content binary, start long, strings long, inner boolean")
+    return docs.transform(bounded).mapInArrow(work, "key binary, minimizer long, content binary, start long, strings long, inner boolean")
 
 
 def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``minimizer, content, bytes`` of the wanted runs, cut from their texts."""
-    schema = pa.schema([("minimizer", pa.int64()), ("content", pa.binary()), ("bytes", pa.binary())])
+    """``minimizer, part, content, skip, bytes`` of the wanted runs, cut from their texts.
+
+    A run of a minimizer with ``width`` below the number of offsets comes in
+    parts; ``skip`` is the first string of the part.
+    """
+    schema = pa.schema([("minimizer", pa.int64()), ("part", pa.int32()), ("content", pa.binary()), ("skip", pa.int64()), ("bytes", pa.binary())])
+    offsets = length - min(_GRAM, length) + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _powers(2 * _RUN)
         for batch in batches:
             for k in range(batch.num_rows):
-                data, rows = batch.column(0)[k].as_py().encode(), batch.column(1)[k].as_py()
-                cut = [data[r["start"] : r["start"] + r["strings"] + length - 1] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r["minimizer"] for r in rows], pa.int64()), pa.array([r["content"] for r in rows], pa.binary()), pa.array(cut, pa.binary())], schema=schema)
+                data, rows = batch.column(0)[k].as_py().encode(), []
+                for r in batch.column(1)[k].as_py():
+                    run = data[r["start"] : r["start"] + r["strings"] + length - 1]
+                    parts = [(0, 0, r["strings"])] if r["width"] >= offsets else offset_parts(run, r["minimizer"], length, r["width"], powers)
+                    rows += [(r["minimizer"], p, r["content"], a, run[a : b + length - 1]) for p, a, b in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("minimizer", "content", "start", "strings")).alias("runs"))
-    return texts.join(listed, "key").select("text", "runs").mapInArrow(work, "minimizer long, content binary, bytes binary")
+    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("minimizer", "content", "start", "strings", "width")).alias("runs"))
+    return texts.join(listed, "key").select("text", "runs").transform(bounded).mapInArrow(work, "minimizer long, part int, content binary, skip long, bytes binary")
 
 
 def _sorted(segments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """``content, from, to``: ranges of strings of a run that repeat in its shard."""
     schema = pa.schema([("content", pa.binary()), ("from", pa.int64()), ("to", pa.int64())])
 
-    def ranges(content: list[bytes], data: list[bytes]) -> pa.RecordBatch:
+    def ranges(content: list[tuple[bytes, int]], data: list[bytes]) -> pa.RecordBatch:
         names, begin, end = [], [], []
-        for name, starts in zip(content, repeated_starts(data, length)):
+        for (name, skip), starts in zip(content, repeated_starts(data, length)):
             if len(starts):
                 breaks = np.flatnonzero(np.diff(starts) > 1)
-                a, b = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)] + 1
+                a, b = skip + starts[np.append(0, breaks + 1)], skip + starts[np.append(breaks, len(starts) - 1)] + 1
                 names += [name] * len(a)
                 begin += a.tolist()
                 end += b.tolist()
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows are sorted by minimizer: a shard ends where one ends
+        # rows are sorted by minimizer and part: a shard ends where one ends
         content, data, size, last = [], [], 0, None
         for batch in batches:
-            for minimizer, name, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                if minimizer != last and size >= shard_bytes:
+            for minimizer, part, name, skip, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if (minimizer, part) != last and size >= shard_bytes:
                     yield ranges(content, data)
                     content, data, size = [], [], 0
-                content.append(name)
+                content.append((name, skip))
                 data.append(piece)
                 size += len(piece)
-                last = minimizer
+                last = (minimizer, part)
         if data:
             yield ranges(content, data)
 
-    return segments.repartition(partitions(segments.sparkSession), "minimizer").sortWithinPartitions("minimizer").mapInArrow(work, "content binary, from long, to long")
+    return segments.repartition(partitions(segments.sparkSession), "minimizer", "part").sortWithinPartitions("minimizer", "part").transform(bounded).mapInArrow(work, "content binary, from long, to long")
 
 
 def _without(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
@@ -197,10 +229,10 @@ def _without(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(listed, "key").select("key", "text", "spans").mapInArrow(work, "key binary, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    return texts.join(listed, "key").select("key", "text", "spans").transform(bounded).mapInArrow(work, "key binary, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", shard_bytes: int = SHARD_BYTES, together: int = TOGETHER) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed``.
 
     Removed are the bytes covered by a string of ``length`` bytes that also
@@ -222,8 +254,10 @@ def repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", shard
     # a minimizer's runs by content, with one place of each
     kinds = runs.groupBy("minimizer", "content").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.min(F.struct("key", "start", "strings")).alias("place"))
     kinds = written(kinds, "repeat-kinds")
-    varied = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("inner") & (F.col("n") == 1)).alias("inner")).where("kinds > 1 OR inner").select("minimizer")
-    wanted = written(kinds.join(varied, "minimizer").select("minimizer", "content", "n", "place.*"), "repeat-wanted")
+    varied = kinds.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("inner") & (F.col("n") == 1)).alias("inner")).where("kinds > 1 OR inner").select("minimizer", "kinds")
+    offsets = length - min(_GRAM, length) + 1
+    width = F.least(F.lit(offsets), F.ceil(F.lit(offsets * together) / F.col("kinds"))).cast("int")
+    wanted = written(kinds.join(varied, "minimizer").select("minimizer", "content", "n", "place.*", width.alias("width")), "repeat-wanted")
     once = texts.transform(lambda t: with_alarm(t, F.col("key"), member_filter(wanted.select("key"))).where("alarm")).groupBy("key").agg(F.first("text").alias("text"))
     found = written(_sorted(_segments(once, wanted, length), length, shard_bytes), "repeat-ranges")
     whole = kinds.where("n > 1").select("content", F.lit(0).cast("long").alias("from"), F.col("place.strings").alias("to"), "n")

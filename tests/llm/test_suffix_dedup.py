@@ -47,9 +47,9 @@ def brute(rows, length):
     return out
 
 
-def check(docs, length):
+def check(docs, length, **options):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    found = suffix_dedup.digest(docs, length, shard_bytes=2_000).collect()
+    found = suffix_dedup.digest(docs, length, shard_bytes=2_000, **options).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(rows, length)
 
 
@@ -58,7 +58,17 @@ def test_removal_matches_brute_force(spark):
     parts = ["".join(rng.choice("abé") for _ in range(rng.randint(5, 40))) for _ in range(12)]
     rows = [(i if i % 7 else None, "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for i in range(100)]
     rows += [(5, None), (6, ""), (7, "a" * 3000), (7, "a" * 3000), (8, "a line that repeats itself\n" * 9)]
-    check(spark.createDataFrame(rows, "doc_id long, text string"), 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, 20)
+    check(docs, 20, together=1)
+
+
+def test_a_common_passage_is_parted_by_offset(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(110))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 90))) + passage + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 90)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, 90, together=2)
 
 
 def test_removal_of_odd_tables(spark, clashing, empty):
