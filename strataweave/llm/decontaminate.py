@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded, free_name, slices
 
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 22
@@ -179,9 +179,9 @@ class ItemIndex:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, q: int = 12, error: float = 0.05, text: str = "text", item_text: str = "text", block_chars: int = 2_000_000
+    docs: DataFrame, benchmark: DataFrame, q: int = 12, error: float = 0.05, text: str = "text", item_text: str = "text", block_chars: int = 2_000_000, name: str = "leaks"
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, leaks``, and its other columns.
+    """The rows of ``docs`` with one more column, ``leaks`` (or ``name``).
 
     ``leaks`` is an array of ``item_id, start, end, distance``, one for each item
     that occurs in the text with at most ``error`` of its characters edited
@@ -206,9 +206,9 @@ def find_leaks(
         held.append((row.item_id, item))
         size += len(item)
     blocks.append(sc.broadcast(held))
-    others = [c for c in docs.columns if c != "leaks"]
-    result = docs.select(*others, F.lit(None).cast(f"array<{LEAK}>").alias("leaks")).schema
-    return reduce(lambda df, b: _pass(df, b, q, error, text, others, result), blocks, docs.select(*others, F.array().cast(f"array<{LEAK}>").alias("leaks")))
+    others = [c for c in docs.columns if c != name]
+    none = docs.select(*others, F.array().cast(f"array<{LEAK}>").alias(name))
+    return reduce(lambda df, b: _pass(df, b, q, error, text, others, none.schema), blocks, none)
 
 
 def _pass(df: DataFrame, block, q: int, error: float, text: str, others: list[str], result) -> DataFrame:
@@ -224,9 +224,9 @@ def _pass(df: DataFrame, block, q: int, error: float, text: str, others: list[st
             before = batch.column(len(others)).to_pylist()
             rows = [[*(tuple(x.values()) for x in old), *new] for old, new in zip(before, found)]
             leaks = pa.array([[dict(zip(("item_id", "start", "end", "distance"), x)) for x in sorted(r)] for r in rows], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], leaks], names=[*others, "leaks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], leaks], names=result.names)
 
-    return df.mapInArrow(work, result)
+    return df.transform(bounded).mapInArrow(work, result)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -244,5 +244,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs, with the same columns."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return find_leaks(rows, benchmark, **options).where(F.size("leaks") == 0).select("row.*")
+    name = free_name(docs, "leaks")
+    return find_leaks(docs, benchmark, name=name, **options).where(F.size(name) == 0).select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import bounded, partitions, written
 from .components import components
 from .exact_dedup import join_groups, member_filter, with_alarm
 
@@ -182,7 +182,7 @@ def _signed(docs: DataFrame, n: int, text: str) -> DataFrame:
                     yield doc_id, None, 0, None
 
     work = lambda batches: _batches(rows(batches), schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, "doc_id long, key binary, size long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(work, "doc_id long, key binary, size long, signature binary")
 
 
 def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -204,7 +204,7 @@ def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataF
                 yield keys[root[i]], keys[i]
 
     work = lambda batches: _batches(rows(batches), schema)
-    return met.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key").mapInArrow(work, "a binary, b binary").distinct()
+    return met.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key").transform(bounded).mapInArrow(work, "a binary, b binary").distinct()
 
 
 def _verified(docs: DataFrame, members: DataFrame, n: int, text: str, threshold: float, block_sets: int, block_grams: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, text: str, threshold:
             yield from _block_rows([m[1] for m in found], linked, split)
 
     work = lambda batches: _batches(rows(batches), schema)
-    return met.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").mapInArrow(work, "a binary, b binary, links long")
+    return met.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").transform(bounded).mapInArrow(work, "a binary, b binary, links long")
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -324,8 +324,9 @@ def near_duplicates(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those whose class has a smaller doc_id.
 
-    Rows in classes of one are never dropped; all columns stay. Rows that repeat
-    the kept doc_id stay with it, rows without doc_id stay.
+    Rows in classes of one are never dropped; all columns stay. A doc_id stands
+    for its rows: those of a dropped one all go, those of the kept one all stay.
+    Rows without doc_id stay.
     """
     found = near_duplicates(docs, **options)
     dropped = written(found.where("doc_id <> class_id").select("doc_id").distinct(), "join-dropped")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded, slices
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
         bins.settle()
         yield _rows(bins, first + done)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(work, SCHEMA)
 
 
 def _rows(bins: SumOfSquares, first: int) -> pa.RecordBatch:

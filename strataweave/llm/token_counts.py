@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import bounded, slices
 from .tokens import encoder
 
 _SLICE = 1_000_000
@@ -40,7 +40,7 @@ def length_histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    lengths = docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")
+    lengths = docs.select(F.col(text).alias("text")).transform(bounded).mapInArrow(count, "n_tokens long, n_docs long")
     return lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

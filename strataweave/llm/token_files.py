@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, slices, written
+from .common import bounded, partitions, scratch, slices, written
 from .tokens import encoder
 
 MAGIC = b"SWTOKEN1"
@@ -158,7 +158,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(work, "part int, path string, n_ids long, n_docs long"), "token-files")
+    return written(ordered.transform(bounded).mapInArrow(work, "part int, path string, n_ids long, n_docs long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not jobs:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(jobs, "path string, first long").repartition(len(jobs)).mapInArrow(work, schema)
+    return spark.createDataFrame(jobs, "path string, first long").repartition(len(jobs)).transform(bounded).mapInArrow(work, schema)
 
 
 def _digests(file: TokenFile, first: int, most: int = 20_000) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ class BatchEncoder:
     characters worked on at a time.
     """
 
-    def __init__(self, path: str, words: int = 400_000, piece: int = 1_000_000):
+    def __init__(self, path: str, words: int = 250_000, piece: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

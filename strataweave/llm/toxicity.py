@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import bounded, free_name, slices, text_or_empty
 
 _WORD = re.compile(r"[^\W_]+")
 _SLICE = 500_000
@@ -150,18 +151,21 @@ def fit(texts: list[str], toxic: list[int], words: int = 3, level: int = 3, leas
     for_words = [p for i, p in enumerate(pairs) if i % 5 < 3]
     n1 = sum(y for _, y in for_words)
     n0 = len(for_words) - n1
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    often = Counter(s for t, y in for_words if y for s in _segments(t))
+    often = {s: a for s, a in often.items() if a >= 4 and n0}
+    plainly: Counter[str] = Counter()  # of these segments only: ordinary text has far more
     for t, y in for_words:
-        counts[y].update(_segments(t))
-    ratios = {s: _ratio(a, counts[0][s], n1, n0) for s, a in counts[1].items() if a >= 4} if n0 else {}
-    chosen = sorted((s for s, r in ratios.items() if r >= least_ratio and counts[1][s] * n0 >= least_odds * n1 * counts[0][s]), key=lambda s: (ratios[s], s))
+        if not y:
+            plainly.update(s for s in _segments(t) if s in often)
+    ratios = {s: _ratio(a, plainly[s], n1, n0) for s, a in often.items()}
+    chosen = sorted((s for s, r in ratios.items() if r >= least_ratio and often[s] * n0 >= least_odds * n1 * plainly[s]), key=lambda s: (ratios[s], s))
     toxic_end = "".join(chosen).encode()[-most_size:]
-    plain = [w for t, y in for_words if not y for w in windows(t, words)]
+    plain = list(islice((w for t, y in for_words if not y for w in windows(t, words)), 60_000))
     try:
-        main = zstandard.train_dictionary(main_size, plain[:60_000]).as_bytes()
+        main = zstandard.train_dictionary(main_size, plain).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         main = b"".join(plain)[-main_size:]
-    plain_end = b"".join(plain[::-1])[: len(toxic_end)]
+    plain_end = b"".join(islice((w for t, y in reversed(for_words) if not y for w in windows(t, words)), most_size))[: len(toxic_end)]
     plain_end += b" " * (len(toxic_end) - len(plain_end))
     pad = b" " * 8
     model = Model(pad + main + plain_end, pad + main + toxic_end, np.zeros(1), np.zeros(0), np.ones(0), words, level)
@@ -213,7 +217,7 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", text: str =
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*others, name])
 
-    return docs.select(*others).mapInArrow(work, result)
+    return docs.select(*others).transform(bounded).mapInArrow(work, result)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -229,5 +233,5 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score less than the threshold, with the same columns."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return with_scores(rows, model).where(F.col("score") < threshold).select("row.*")
+    name = free_name(docs, "score")
+    return with_scores(docs, model, name).where(F.col(name) < threshold).select(*docs.columns)
