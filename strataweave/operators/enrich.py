@@ -55,7 +55,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, most_round
     The rank of nodes without outgoing edges is spread over all. Stops when the
     ranks change by less than nodes times ``tolerance`` in all; without a
     tolerance after ``most_rounds``. Returns no rows if it doesn't get there.
-    Every few rounds the ranks are written to the checkpoint folder.
+    The ranks of each round are written to the checkpoint folder: the next one reads them thrice.
     """
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -68,15 +68,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, most_round
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = links.join(out, "src").persist()
     ranks = ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")).checkpoint()
-    for round_ in range(most_rounds):
+    for _ in range(most_rounds):
         loose = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
         new = ranks.join(given, "id", "left").crossJoin(F.broadcast(loose))  # one row
         new = new.select("id", "dangling", F.col("rank").alias("old"), (F.lit((1 - alpha) / n) + alpha * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
         if tolerance is None:
-            ranks = new.select("id", "dangling", "rank")
-            if round_ % 5 == 4:
-                ranks = ranks.checkpoint()
+            ranks = new.select("id", "dangling", "rank").checkpoint()
             continue
         new = new.checkpoint()
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0]
