@@ -99,7 +99,7 @@ def _starts(t: Tables) -> DataFrame:
 
 @query(f"SELECT w.a AS start, w.type, w.b AS \"end\", w.extraction_count FROM small_ways w JOIN (VALUES {_STARTS}) s(id) ON s.id = w.a")
 def paths_1hop(t: Tables) -> DataFrame:
-    return paths.one_hop(t.small_edges, _starts(t))
+    return paths.one_hop(t.edges, _starts(t))
 
 
 def _trail_sql(hops: int) -> str:
@@ -123,12 +123,12 @@ def _shown(walks: DataFrame) -> DataFrame:
 
 @query(_trail_sql(2) + _PATH_COLUMNS)
 def paths_2hop(t: Tables) -> DataFrame:
-    return _shown(paths.trails(t.small_edges, _starts(t), 2))
+    return _shown(paths.trails(t.edges, _starts(t), 2))
 
 
 @query(_trail_sql(3) + _PATH_COLUMNS)
 def paths_3hop(t: Tables) -> DataFrame:
-    return _shown(paths.trails(t.small_edges, _starts(t), 3))
+    return _shown(paths.trails(t.edges, _starts(t), 3))
 
 
 @query(_trail_sql(2) + """ , best AS (SELECT nodes, types, strength / len(types) AS s, array_to_string(nodes, '>') || '>#>' || array_to_string(types, '>') AS k FROM trails),
@@ -136,7 +136,7 @@ def paths_3hop(t: Tables) -> DataFrame:
     steps AS (SELECT nodes[i] AS start, types[i] AS type, nodes[i + 1] AS "end", rank * 1000 + i - 1 AS o FROM (SELECT *, unnest(range(1, len(types) + 1)) AS i FROM top))
     SELECT start, type, "end", CAST(min(o) AS INTEGER) AS ordinal FROM steps GROUP BY ALL""")
 def path_triples(t: Tables) -> DataFrame:
-    best = paths.best_paths(paths.scored(paths.trails(t.small_edges, _starts(t), 2)), 50)
+    best = paths.best_paths(paths.scored(paths.trails(t.edges, _starts(t), 2)), 50)
     return paths.path_triples(best)
 
 
@@ -395,7 +395,7 @@ def fallback_triples(t: Tables) -> DataFrame:
 @query("""SELECT e.src AS start, e.type, e.dst AS "end", s.label AS start_type, d.label AS end_type FROM small_edges e
     LEFT JOIN (SELECT id, min(label) AS label FROM nodes GROUP BY id) s ON s.id = e.src LEFT JOIN (SELECT id, min(label) AS label FROM nodes GROUP BY id) d ON d.id = e.dst""")
 def annotated_triples(t: Tables) -> DataFrame:
-    return paths.with_labels(t.small_edges.select(F.col("src").alias("start"), "type", F.col("dst").alias("end")), t.nodes)
+    return paths.with_labels(t.edges.select(F.col("src").alias("start"), "type", F.col("dst").alias("end")), t.nodes)
 
 
 @query("""+ gold AS (SELECT DISTINCT o_custkey AS question_id, l_partkey AS id FROM sales WHERE o_custkey < 50)

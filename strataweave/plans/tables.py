@@ -50,13 +50,6 @@ class Tables:
         parts = self.read("lineitem").select(k("supplier", "l_suppkey").alias("src"), k("part", "l_partkey").alias("dst")).distinct()
         return rows.unionByName(plain(parts, F.col("src"), "HAS_PART", F.col("dst")))
 
-    @property
-    def small_edges(self) -> DataFrame:
-        """The edges to nations and regions and what customers 0 to 4 use: searched by paths."""
-        few = self.read("customer").where("c_custkey < 5").select(self._key("customer", "c_custkey").alias("src"))
-        edges = self.edges
-        return edges.where("type IN ('PART_OF')").unionByName(edges.where("type IN ('USES', 'BELONGS_TO_CATEGORY')").join(few, "src", "left_semi").select(*edges.columns))
-
     @property
     def mentions(self) -> DataFrame:
         """Orders as chunks that mention their customer, parts and suppliers."""

@@ -67,7 +67,7 @@ def threshold_facts(t: Tables) -> DataFrame:
 
 @query("""SELECT src, type, dst, CASE type WHEN 'PART_OF' THEN src || 'は' || dst || 'の一部である' WHEN 'USES' THEN src || 'は' || dst || 'を使用する' WHEN 'BELONGS_TO_CATEGORY' THEN src || 'は' || dst || 'に属する' ELSE src || 'は' || dst || 'を含む' END AS sentence FROM small_edges""")
 def triple_sentences(t: Tables) -> DataFrame:
-    return t.small_edges.select("src", "type", "dst", tx.triple_sentence(F.col("src"), F.col("type"), F.col("dst")).alias("sentence"))
+    return t.edges.select("src", "type", "dst", tx.triple_sentence(F.col("src"), F.col("type"), F.col("dst")).alias("sentence"))
 
 
 @query("""SELECT doc_id, CASE WHEN source <> '' THEN source || ' > ' || lang ELSE lang END AS shown FROM documents""", prelude=False)
@@ -140,4 +140,4 @@ def entity_documents(t: Tables) -> DataFrame:
 
 @query("SELECT src || '、k。' || src || ' ' || type || ' ' || dst AS text FROM small_edges")
 def relation_documents(t: Tables) -> DataFrame:
-    return t.small_edges.select(tx.relation_document(F.array("src", F.lit("k")), F.col("src"), F.col("type"), F.col("dst")).alias("text"))
+    return t.edges.select(tx.relation_document(F.array("src", F.lit("k")), F.col("src"), F.col("type"), F.col("dst")).alias("text"))
