@@ -71,8 +71,9 @@ class Tables:
 
     @property
     def questions(self) -> DataFrame:
-        """The first user turns of conversations 0 to 19 as a batch of questions."""
-        return self.read("conversations").where("conv_id < 20 AND role = 'user'").groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("text"))
+        """``question_id, conv_id, text``: every user turn of every conversation."""
+        key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        return self.read("conversations").where("role = 'user'").select(key.alias("question_id"), "conv_id", "text")
 
 
 #: The same in DuckDB's SQL, to stand before a query.

@@ -1,5 +1,7 @@
 """Registered queries against brute force on small tables whose rows lie past every prefix of ids."""
 
+import math
+import re
 from collections import Counter
 
 import pytest
@@ -12,6 +14,9 @@ SUPPLIERS = [(3, 3), (900, 2)]
 PARTS = [(1, "almond plum", "B1"), (2, "azure rose", "B1"), (450, "almond plums", "B1"), (460, "azure nose", "B1"), (470, "azure rose", "B2")]
 ORDERS = [(10, 1), (11, 2), (12, 7), (13, 120), (14, 260), (15, 505), (16, 260)]
 LINES = [(10, 1, 3), (10, 450, 900), (11, 2, 3), (12, 450, 900), (13, 460, 3), (14, 1, 900), (14, 470, 3), (15, 470, 900), (16, 470, 3), (16, 2, 900)]
+DOCUMENTS = [(1, "red fox runs", "en", "src1"), (2, "blue whale sings\nred sky", "en", "src2"), (310, "the answer is Alpha, beta!", "de", "src9"), (345, "slow green turtle", "de", "src9"), (9000, "\n".join(f"line number {i}" for i in range(25)) + "\nquiet fox ＡＢＣ ガス軸受", "fr", "src3")]
+TURNS = [(3, 0, "user", "where is the red fox"), (3, 1, "assistant", "blue"), (3, 2, "user", "blue whale whale"), (25, 1, "user", "green turtle alpha"), (777, 0, "user", "nothing matches here"), (777, 4, "user", "red sky line")]
+VECTORS = [(v, [1.0 + v % 3, float(v % 5), float(v % 7) - 2]) for v in (3, 25, 299, 301, 340, 777, 778, 900, 1203)]
 STARTS = ["customer:1", "customer:2", "nation:3"]
 
 
@@ -27,6 +32,11 @@ def folder(spark, tmp_path_factory):
         "orders": (ORDERS, "o_orderkey long, o_custkey long"),
         "lineitem": (LINES, "l_orderkey long, l_partkey long, l_suppkey long"),
     }
+    rows |= {
+        "documents": (DOCUMENTS, "doc_id long, text string, lang string, source string"),
+        "conversations": (TURNS, "conv_id long, turn long, role string, text string"),
+        "embeddings": (VECTORS, "vec_id long, embedding array<float>"),
+    }
     for name, (data, schema) in rows.items():
         spark.createDataFrame(data, schema).write.parquet(f"{at}/{name}.parquet")
     return at
@@ -83,3 +93,39 @@ def test_every_edge_is_labelled_and_told(spark, folder):
     assert all((r.start_type, r.end_type) == (r.start.split(":")[0], r.end.split(":")[0]) for r in run(spark, folder, "annotated_triples") if r.start not in ("customer:120", "customer:260"))
     assert Counter((r.src, r.type, r.dst) for r in run(spark, folder, "triple_sentences")) == want
     assert Counter(r.text for r in run(spark, folder, "relation_documents")) == Counter(f"{s}、k。{s} {kind} {d}" for s, kind, d in want)
+
+
+def keyword(k):
+    split = lambda text: [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    docs = {d: split(text) for d, text, *_ in DOCUMENTS}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = Counter(w for words in docs.values() for w in set(words))
+    raw = {w: math.log((len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    idf = {w: r if r >= 0 else sum(raw.values()) / len(raw) / 4 for w, r in raw.items()}
+    out = {}
+    for conv, turn, role, text in TURNS:
+        if role == "user":
+            scores = {d: sum(idf[w] * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) / mean)) for w in split(text) if w in words) for d, words in docs.items()}
+            best = sorted((-round(s, 6), d) for d, s in scores.items() if s > 0)[:k]
+            out |= {(f"{conv}:{turn}", d): (n, -s) for n, (s, d) in enumerate(best, 1)}
+    return out
+
+
+def test_keyword_search_answers_every_user_turn(spark, folder):
+    want = keyword(10)
+    assert {q for q, _ in want} >= {"3:0", "3:2", "25:1", "777:4"}
+    got = {(r.question_id, r.id): (r.rank, r.score) for r in run(spark, folder, "bm25_topk")}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("name", ["rerank_overlap", "context_assembly", "wide_results"])
+def test_results_of_every_question_with_hits(spark, folder, name):
+    assert {r.question_id for r in run(spark, folder, name)} == {q for q, _ in keyword(10)}
+
+
+def test_fusion_answers_every_user_turn(spark, folder):
+    got = run(spark, folder, "rrf_hybrid")
+    hits = {q for q, _ in keyword(10)}
+    assert {r.question_id for r in got} == {f"{c}:{n}" for c, n, role, _ in TURNS if role == "user"}
+    assert all((r.score_type == "rrf") == (r.question_id in hits) for r in got)
