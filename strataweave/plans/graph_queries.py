@@ -357,7 +357,7 @@ def legend_counts(t: Tables) -> DataFrame:
     p AS (SELECT a.label, a.id AS a, b.id AS b, levenshtein(lower(a.id), lower(b.id)) AS distance, least(2, greatest(1, floor(0.2 * least(length(a.id), length(b.id))))) AS most FROM n a JOIN n b ON a.label = b.label AND a.id < b.id WHERE length(a.id) >= 4 AND length(b.id) >= 4)
     SELECT label, a, b, CAST(distance AS INTEGER) AS distance FROM p WHERE distance <= most AND distance > 0""")
 def fuzzy_pairs(t: Tables) -> DataFrame:
-    names = t.read("part").where("p_partkey < 400").select(F.col("p_brand").alias("label"), F.col("p_name").alias("id"))
+    names = t.read("part").select(F.col("p_brand").alias("label"), F.col("p_name").alias("id"))
     return linking.fuzzy_pairs(names)
 
 

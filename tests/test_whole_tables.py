@@ -129,3 +129,18 @@ def test_fusion_answers_every_user_turn(spark, folder):
     hits = {q for q, _ in keyword(10)}
     assert {r.question_id for r in got} == {f"{c}:{n}" for c, n, role, _ in TURNS if role == "user"}
     assert all((r.score_type == "rrf") == (r.question_id in hits) for r in got)
+
+
+def test_fuzzy_pairs_of_all_parts(spark, folder):
+    assert {tuple(r) for r in run(spark, folder, "fuzzy_pairs")} == {("B1", "almond plum", "almond plums", 1), ("B1", "azure nose", "azure rose", 1)}
+
+
+def test_knn_pairs_of_all_vectors(spark, folder):
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    want = {}
+    for a, x in VECTORS:
+        near = sorted((-dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)), b) for b, y in VECTORS)[:6]
+        want |= {(min(a, b), max(a, b)): -s for s, b in near if b != a and -s >= 0.4}
+    got = {(r.a, r.b): r.score for r in run(spark, folder, "knn_pairs")}
+    assert got.keys() == want.keys() and any(a >= 300 for a, _ in got)
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
