@@ -17,6 +17,7 @@ LINES = [(10, 1, 3), (10, 450, 900), (11, 2, 3), (12, 450, 900), (13, 460, 3), (
 DOCUMENTS = [(1, "red fox runs", "en", "src1"), (2, "blue whale sings\nred sky", "en", "src2"), (310, "the answer is Alpha, beta!", "de", "src9"), (345, "slow green turtle", "de", "src9"), (9000, "\n".join(f"line number {i}" for i in range(25)) + "\nquiet fox ＡＢＣ ガス軸受", "fr", "src3")]
 TURNS = [(3, 0, "user", "where is the red fox"), (3, 1, "assistant", "blue"), (3, 2, "user", "blue whale whale"), (25, 1, "user", "green turtle alpha"), (777, 0, "user", "nothing matches here"), (777, 4, "user", "red sky line")]
 VECTORS = [(v, [1.0 + v % 3, float(v % 5), float(v % 7) - 2]) for v in (3, 25, 299, 301, 340, 777, 778, 900, 1203)]
+ITEMS = [(0, "slow green TURTLE."), (5, "alpha beta"), (41, "whale")]
 STARTS = ["customer:1", "customer:2", "nation:3"]
 
 
@@ -35,6 +36,7 @@ def folder(spark, tmp_path_factory):
     rows |= {
         "documents": (DOCUMENTS, "doc_id long, text string, lang string, source string"),
         "conversations": (TURNS, "conv_id long, turn long, role string, text string"),
+        "benchmark": (ITEMS, "item_id long, text string"),
         "embeddings": (VECTORS, "vec_id long, embedding array<float>"),
     }
     for name, (data, schema) in rows.items():
@@ -144,3 +146,40 @@ def test_knn_pairs_of_all_vectors(spark, folder):
     got = {(r.a, r.b): r.score for r in run(spark, folder, "knn_pairs")}
     assert got.keys() == want.keys() and any(a >= 300 for a, _ in got)
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def baskets():
+    buyer, out = dict(ORDERS), {}
+    for o, p, _ in LINES:
+        out.setdefault(buyer[o], []).append((o, p))
+    return out
+
+
+def test_coverage_of_all_customers(spark, folder):
+    rows = [(len({p for o, p in b if o % 2 == 0}), len({p for _, p in b})) for b in baskets().values()]
+    want = (len(rows), sum(h == g for h, g in rows) / len(rows), sum(h / g for h, g in rows) / len(rows), sum(h for h, _ in rows) / sum(g for _, g in rows))
+    assert tuple(run(spark, folder, "coverage")[0]) == pytest.approx(want, abs=1e-8)
+
+
+def test_recall_of_all_customers(spark, folder):
+    shares = []
+    for b in baskets().values():
+        gold, found = {p for _, p in b}, {p for o, p in b if o % 3}
+        shares.append(len(found) / len(gold))  # fewer than five each
+    want = (sum(shares) / len(shares), sum(s == 1 for s in shares) / len(shares))
+    assert {r.k: (r.recall, r.full) for r in run(spark, folder, "recall_at_k")} == {k: pytest.approx(want, abs=1e-8) for k in (5, 10, 20)}
+
+
+def test_traces_of_all_customers(spark, folder):
+    want = {(c, p, p % 2 == 0, p % 3 == 0) for c, b in baskets().items() for _, p in b}
+    assert {(r.question_id, r.id, r.vector, r.graph) for r in run(spark, folder, "route_trace")} == want
+
+
+def test_answers_of_all_documents_against_all_items(spark, folder):
+    form = lambda text: re.sub(r"[\s,.!]", "", text.lower())
+    want = {}
+    for d, text, lang, _ in DOCUMENTS:
+        gold, own = form(ITEMS[d % 3][1]), want.setdefault(lang, [])
+        own.append((form(text) == gold, gold in form(text)))
+    want = {lang: (len(x), pytest.approx(sum(e for e, _ in x) / len(x)), pytest.approx(sum(c for _, c in x) / len(x))) for lang, x in want.items()}
+    assert {r.lang: (r.n, r.exact, r.contained) for r in run(spark, folder, "answer_matches")} == want
