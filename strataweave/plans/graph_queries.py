@@ -371,7 +371,7 @@ def connected_components(t: Tables) -> DataFrame:
 @query("""SELECT chunk_id, source, CAST(floor((rn - 1) / 20) * 20 AS BIGINT) AS page_offset FROM (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS rn FROM chunks WHERE source IN ('src1', 'src2')) WHERE rn % 7 = 0""")
 def chunk_page_focus(t: Tables) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("source").orderBy("chunk_id"))
-    rows = t.chunks.where("source IN ('src1', 'src2')").withColumn("rn", rn).where("rn % 7 = 0")
+    rows = t.chunks.withColumn("rn", rn)
     return rows.select("chunk_id", "source", (F.floor((F.col("rn") - 1) / 20) * 20).cast("long").alias("page_offset"))
 
 

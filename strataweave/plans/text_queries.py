@@ -106,8 +106,8 @@ def answer_matches(t: Tables) -> DataFrame:
 
 @query()
 def nfkc_keys(t: Tables) -> DataFrame:
-    rows = t.read("documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
-    norm = rows.withColumn("norm", tx.normalize_entity("head"))
+    rows = t.read("documents").select("doc_id", "text")
+    norm = rows.withColumn("norm", tx.normalize_entity("text"))
     return norm.select("doc_id", "norm", tx.kana_skeleton(F.col("norm")).alias("skeleton"))
 
 

@@ -1,7 +1,9 @@
 """Registered queries against brute force on small tables whose rows lie past every prefix of ids."""
 
+import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -183,3 +185,17 @@ def test_answers_of_all_documents_against_all_items(spark, folder):
         own.append((form(text) == gold, gold in form(text)))
     want = {lang: (len(x), pytest.approx(sum(e for e, _ in x) / len(x)), pytest.approx(sum(c for _, c in x) / len(x))) for lang, x in want.items()}
     assert {r.lang: (r.n, r.exact, r.contained) for r in run(spark, folder, "answer_matches")} == want
+
+
+def test_keys_are_of_whole_texts(spark, folder):
+    want = {d: " ".join(unicodedata.normalize("NFKC", text).lower().split()) for d, text, *_ in DOCUMENTS}
+    assert {r.doc_id: r.norm for r in run(spark, folder, "nfkc_keys")} == want
+
+
+def test_every_chunk_has_its_page_offset(spark, folder):
+    ids = {}
+    for _, text, _, source in DOCUMENTS:
+        ids.setdefault(source, set()).update(hashlib.sha256(f"{source}\n{line}".encode()).hexdigest() for line in text.split("\n"))
+    want = {(c, source, n // 20 * 20) for source, all_ in ids.items() for n, c in enumerate(sorted(all_))}
+    got = run(spark, folder, "chunk_page_focus")
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
