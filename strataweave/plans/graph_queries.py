@@ -164,15 +164,12 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(5))
 def pagerank_fixed_rounds(t: Tables) -> DataFrame:
-    nodes = t.nodes.where("label IN ('region', 'nation', 'customer', 'supplier')")
-    edges = t.edges.where("type IN ('PART_OF', 'BELONGS_TO_CATEGORY')")
-    return enrich.pagerank(nodes, edges, most_rounds=5, tolerance=None).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return enrich.pagerank(t.nodes, t.edges, most_rounds=5, tolerance=None).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query()
 def pagerank(t: Tables) -> DataFrame:
-    nodes = t.nodes.where("label IN ('region', 'nation', 'customer', 'supplier')")
-    return enrich.pagerank(nodes, t.edges.where("type IN ('PART_OF', 'BELONGS_TO_CATEGORY')"))
+    return enrich.pagerank(t.nodes, t.edges)
 
 
 _RULED = """
@@ -365,7 +362,8 @@ def fuzzy_pairs(t: Tables) -> DataFrame:
     UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
     SELECT node, min(node) OVER (PARTITION BY r) AS component FROM located""")
 def connected_components(t: Tables) -> DataFrame:
-    return enrich.connected(t.edges.where("type IN ('PART_OF', 'BELONGS_TO_CATEGORY')").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    alone = t.nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
+    return enrich.connected(t.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(alone))
 
 
 @query("""SELECT chunk_id, source, CAST(floor((rn - 1) / 20) * 20 AS BIGINT) AS page_offset FROM (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS rn FROM chunks WHERE source IN ('src1', 'src2')) WHERE rn % 7 = 0""")

@@ -13,7 +13,7 @@ from strataweave.plans import registry
 NATIONS = [(n, f"N{n}", n % 2) for n in range(5)]
 CUSTOMERS = [(1, 3), (2, 1), (7, 3), (120, 0), (260, 3), (505, 4)]
 SUPPLIERS = [(3, 3), (900, 2)]
-PARTS = [(1, "almond plum", "B1"), (2, "azure rose", "B1"), (450, "almond plums", "B1"), (460, "azure nose", "B1"), (470, "azure rose", "B2")]
+PARTS = [(1, "almond plum", "B1"), (2, "azure rose", "B1"), (450, "almond plums", "B1"), (460, "azure nose", "B1"), (470, "azure rose", "B2"), (999, "lone thing", "B3")]
 ORDERS = [(10, 1), (11, 2), (12, 7), (13, 120), (14, 260), (15, 505), (16, 260)]
 LINES = [(10, 1, 3), (10, 450, 900), (11, 2, 3), (12, 450, 900), (13, 460, 3), (14, 1, 900), (14, 470, 3), (15, 470, 900), (16, 470, 3), (16, 2, 900)]
 DOCUMENTS = [(1, "red fox runs", "en", "src1"), (2, "blue whale sings\nred sky", "en", "src2"), (310, "the answer is Alpha, beta!", "de", "src9"), (345, "slow green turtle", "de", "src9"), (9000, "\n".join(f"line number {i}" for i in range(25)) + "\nquiet fox ＡＢＣ ガス軸受", "fr", "src3")]
@@ -199,3 +199,27 @@ def test_every_chunk_has_its_page_offset(spark, folder):
     want = {(c, source, n // 20 * 20) for source, all_ in ids.items() for n, c in enumerate(sorted(all_))}
     got = run(spark, folder, "chunk_page_focus")
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def ranks(rounds):
+    ids = [f"{kind}:{r[0]}" for kind, rows in (("region", [(0,), (1,)]), ("nation", NATIONS), ("customer", CUSTOMERS), ("supplier", SUPPLIERS), ("part", PARTS)) for r in rows]
+    links = {(s, d) for s, _, d in all_edges()}
+    out, rank = Counter(s for s, _ in links), dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(rounds):
+        loose = sum(r for i, r in rank.items() if not out[i])
+        given = Counter()
+        for s, d in links:
+            given[d] += rank[s] / out[s]
+        rank = {i: 0.15 / len(ids) + 0.85 * (given[i] + loose / len(ids)) for i in ids}
+    return rank
+
+
+@pytest.mark.parametrize("name, rounds, near", [("pagerank_fixed_rounds", 5, 2e-9), ("pagerank", 200, 1e-4)])
+def test_ranks_of_the_whole_graph(spark, folder, name, rounds, near):
+    got = {r.id: r.pagerank for r in run(spark, folder, name)}
+    assert got == {i: pytest.approx(r, abs=near) for i, r in ranks(rounds).items()}
+
+
+def test_components_of_the_whole_graph(spark, folder):
+    got = {r.node: r.component for r in run(spark, folder, "connected_components")}
+    assert got == {i: i if i == "part:999" else "customer:1" for i in ranks(0)}
