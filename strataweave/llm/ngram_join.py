@@ -219,9 +219,14 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, text: str, threshold:
     # only documents that can be members meet the shuffle; the filter's size is fixed
     known = member_filter(placed.select(F.col("doc_id").alias("key")))
     texts = with_alarm(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), F.col("doc_id"), known).where("alarm").drop("alarm")
+    # a class without any doc_id has its text fetched by its set's key
+    nameless = docs.where(F.col("doc_id").cast("long").isNull()).select(F.col(text).alias("text")).transform(bounded)
+    nameless = nameless.mapInArrow(lambda batches: _batches(_keyed(batches, n), pa.schema([("key", pa.binary()), ("text", pa.string())]), 64), "key binary, text string")
+    nameless = nameless.groupBy("key").agg(F.first("text").alias("text")).join(placed.where("doc_id IS NULL"), "key")
     met = (
         texts.join(placed, "doc_id")
         .select("cluster", "block", "blocks", "key", "text")
+        .unionByName(nameless.select("cluster", "block", "blocks", "key", "text"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "text")
     )
@@ -241,6 +246,14 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, text: str, threshold:
     return met.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").transform(bounded).mapInArrow(work, "a binary, b binary, links long")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """``key, text`` of the texts with words."""
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text and len(grams := shingle_set(text, n)):
+                yield xxhash.xxh3_128_digest(grams.tobytes()), text
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Rows ``cluster, i, j, block, key, text`` with the text turned into its set, where it is the key's."""
 

@@ -62,6 +62,16 @@ def test_join_matches_brute_force(spark, near, block):
     assert Counter((r.doc_id, r.class_id, r.class_size, r.same_set, r.links) for r in found) == brute_join(near)
 
 
+@pytest.mark.parametrize("block", [1024, 1])
+def test_rows_without_doc_id_link(spark, block):
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "end"])), (7, " ".join([*words, "more"])), (None, " ".join(other)), (None, " ".join([*other, "end"])), (None, " ".join([*other, "end"]))]
+    found = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_sets=block).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size, r.same_set, r.links) for r in found) == brute_join(rows)
+    assert sorted(r.links for r in found) == [1, 1, 1, 2, 2, 2]
+
+
 def test_join_of_odd_tables(spark, clashing, empty):
     assert nj.near_duplicates(empty).count() == 0
     kept = nj.keep_one(clashing)
