@@ -9,6 +9,7 @@ File format (all integers little-endian)::
     then          block offsets, uint64 each, one more than blocks
     then          document starts in ids, uint64 each, one more than documents
     then          document ids, int64 each
+    then          a byte for each document: 1 if it has an id (else the id is 0)
     last 24 bytes number of ids, number of documents, position of the block offsets, uint64 each
 
 A block holds its ids in ``bits`` bits each, lowest bit first, and fills up with
@@ -68,16 +69,20 @@ class TokenFileWriter:
         self.out = self.store.open_output_stream(self.part)
         self.bits, self.block = bits, block
         self.out.write(HEAD.pack(MAGIC, bits, block))
-        self.at, self.offsets, self.rest = HEAD.size, [HEAD.size], np.zeros(0, np.uint32)
+        self.at, self.offsets, self.held, self.n_held = HEAD.size, [HEAD.size], [], 0
         self.starts, self.doc_ids = [0], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(-1 if doc_id is None else doc_id)
+        self.doc_ids.append(doc_id)
         self.starts.append(self.starts[-1] + len(ids))
-        self.rest = np.concatenate([self.rest, ids]) if len(self.rest) else ids
-        while len(self.rest) >= self.block:
-            self._flush(self.rest[: self.block])
-            self.rest = self.rest[self.block :]
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= self.block:
+            rest = np.concatenate(self.held)
+            whole = len(rest) - len(rest) % self.block
+            for at in range(0, whole, self.block):
+                self._flush(rest[at : at + self.block])
+            self.held, self.n_held = [rest[whole:]], len(rest) - whole
 
     def _flush(self, ids: np.ndarray) -> None:
         data = pack_bits(ids, self.bits)
@@ -86,10 +91,10 @@ class TokenFileWriter:
         self.offsets.append(self.at)
 
     def close(self) -> int:
-        if len(self.rest):
-            self._flush(self.rest)
+        if self.n_held:
+            self._flush(np.concatenate(self.held))
         tail = self.at
-        for values, kind in ((self.offsets, "<u8"), (self.starts, "<u8"), (self.doc_ids, "<i8")):
+        for values, kind in ((self.offsets, "<u8"), (self.starts, "<u8"), ([d or 0 for d in self.doc_ids], "<i8"), ([d is not None for d in self.doc_ids], "u1")):
             self.out.write(np.array(values, kind).tobytes())
         self.out.write(TAIL.pack(self.starts[-1], len(self.doc_ids), tail))
         self.out.close()
@@ -112,6 +117,7 @@ class TokenFile:
         self.offsets = np.frombuffer(rest, "<u8", self.n_blocks + 1)
         self.starts = np.frombuffer(rest, "<u8", self.n_docs + 1, 8 * (self.n_blocks + 1)).astype(np.int64)
         self.doc_ids = np.frombuffer(rest, "<i8", self.n_docs, 8 * (self.n_blocks + self.n_docs + 2))
+        self.has_id = np.frombuffer(rest, "u1", self.n_docs, 8 * (self.n_blocks + 2 * self.n_docs + 2)).astype(bool)
 
     def read_block(self, k: int) -> np.ndarray:
         begin, end = int(self.offsets[k]), int(self.offsets[k + 1])
@@ -134,10 +140,13 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Writes all documents in ascending doc_id order; one row per file.
 
     Files are numbered in that order: ``part, path, n_ids, n_docs``. Rows are
-    dealt out by ranges of doc_id and sorted in each. A task that runs again
-    writes its file again under the same name. Rows without doc_id come first
-    (-1 in the file); rows of equal doc_id follow each other. Null texts are
-    empty: the end id alone. An empty table gives no file.
+    dealt out by ranges of doc_id (rows of one doc_id by a hash of the text) and
+    sorted in each, equal rows side by side, so a task that runs again writes the
+    same file again under the same name. Rows without doc_id come first, marked
+    as such in the file; any doc_id, also a negative one, comes back as it is.
+    Null texts are empty: the end id alone. A long text is encoded in pieces and
+    written block by block. Other columns are not read. An empty table gives no
+    file.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +166,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_ids": [n], "n_docs": [len(out.doc_ids)]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     return written(ordered.transform(bounded).mapInArrow(work, "part int, path string, n_ids long, n_docs long"), "token-files")
 
 
@@ -201,7 +211,7 @@ def _digests(file: TokenFile, first: int, most: int = 20_000) -> Iterator[pa.Rec
         b = min(len(found), a + most)
         ids = file.doc_ids[a:b]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=ids == -1), pa.array(first + file.starts[a:b]), pa.array(file.starts[a + 1 : b + 1] - file.starts[a:b]), pa.array(found[a:b], pa.int64())],
+            [pa.array(ids, pa.int64(), mask=~file.has_id[a:b]), pa.array(first + file.starts[a:b]), pa.array(file.starts[a + 1 : b + 1] - file.starts[a:b]), pa.array(found[a:b], pa.int64())],
             ["doc_id", "start", "n_tokens", "ids_crc32"],
         )
 

@@ -2,17 +2,18 @@
 
 The tokenizers library encodes every *distinct* pre-token; numpy finds the
 pre-tokens and puts their ids together. Corpora repeat their words, so this
-costs a fraction of encoding each text by itself and gives the same ids.
+costs a fraction of encoding each text by itself and gives the same ids. Texts
+with one of the vocabulary's added tokens go to the library as they are.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
 LETTER, NUMBER, OTHER, SPACE, BREAK, UNKNOWN = range(6)
-_BASE = 0x9E3779B97F4A7C15
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
@@ -33,26 +34,21 @@ class BatchEncoder:
     characters worked on at a time.
     """
 
-    def __init__(self, path: str, words: int = 250_000, piece: int = 500_000):
+    def __init__(self, path: str, words: int = 500_000, piece: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words, self.piece = words, piece
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self._forget()
-        self._powers(piece + 1024)
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots = _Slots()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.lengths, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def _powers(self, n: int) -> None:
-        inverse = pow(_BASE, -1, 1 << 64)
-        self.up = np.cumprod(np.full(n, _BASE, np.uint64), dtype=np.uint64)
-        self.down = np.cumprod(np.full(n, inverse, np.uint64), dtype=np.uint64)
-
     def _learn(self, points: np.ndarray) -> None:
         """Asks the tokenizer for the kind of each new character."""
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -84,6 +80,11 @@ class BatchEncoder:
             held, owner, size = [], [], 0
 
         for i, text in enumerate(texts):
+            if self.added and self.added.search(text):
+                flush()
+                parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                counts[i] = len(parts[-1])
+                continue
             for part in self._cut(text):
                 if size + len(part) > self.piece:
                     flush()
@@ -106,8 +107,6 @@ class BatchEncoder:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        if len(points) >= len(self.up):
-            self._powers(len(points) + 1)
         breaks = np.cumsum([len(t) + 1 for t in texts]) - 1
         kinds = self.kinds[points]
         if (new := kinds == UNKNOWN).any():
@@ -119,11 +118,7 @@ class BatchEncoder:
         ends = np.append(at[1:], len(points))
         keep = kinds[at] != BREAK
         at, ends = at[keep], ends[keep]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.up[: len(points)], dtype=np.uint64)])
-        hashes = (sums[ends] - sums[at]) * self.down[at]
-        hashes ^= (ends - at).astype(np.uint64) << np.uint64(56)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = self._slots(unique, first, at, ends, joined)[inverse]
+        slots = self._slots([joined[b:e] for b, e in zip(at.tolist(), ends.tolist())])
         lengths = self.lengths[slots]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.starts[slots] - total[:-1], lengths) + np.arange(total[-1])]
@@ -154,30 +149,37 @@ class BatchEncoder:
             starts[found + length] = True
         return starts
 
-    def _slots(self, unique: np.ndarray, first: np.ndarray, at: np.ndarray, ends: np.ndarray, joined: str) -> np.ndarray:
-        keys = unique.tolist()
+    def _slots(self, tokens: list[str]) -> np.ndarray:
+        """Where the ids of each pre-token are held; those not yet known are encoded."""
         if len(self.slots) > self.words:
             self._forget()
-        get = self.slots.get
-        slots = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            begin, end = at[first[new]].tolist(), ends[first[new]].tolist()
-            coded = self.tokenizer.encode([joined[b:e] for b, e in zip(begin, end)], is_pretokenized=True, add_special_tokens=False)
+        held = len(self.slots)
+        slots = np.fromiter(map(self.slots.__getitem__, tokens), np.int64, len(tokens))
+        if new := list(islice(reversed(self.slots), len(self.slots) - held))[::-1]:
+            try:
+                coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            except BaseException:
+                self._forget()
+                raise
             ids = np.array(coded.ids, np.uint32)
             lengths = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(new))
-            n = len(self.slots)
             self.ids = _room(self.ids, self.used, len(ids))
-            self.starts, self.lengths = _room(self.starts, n, len(new)), _room(self.lengths, n, len(new))
+            self.starts, self.lengths = _room(self.starts, held, len(new)), _room(self.lengths, held, len(new))
             self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[n : n + len(new)] = lengths
+            self.starts[held : held + len(new)] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[held : held + len(new)] = lengths
             self.used += len(ids)
-            slots[new] = np.arange(n, n + len(new))
-            self.slots.update(zip((keys[i] for i in new.tolist()), range(n, n + len(new))))
         return slots
 
 
+class _Slots(dict[str, int]):
+    """Numbers keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
     if used + more <= len(array):
         return array

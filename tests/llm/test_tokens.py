@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from strataweave.llm import packing, token_counts, token_files
 from strataweave.llm.tokens import BatchEncoder, byte_bpe_path
@@ -16,8 +17,11 @@ def coder():
     return BatchEncoder(byte_bpe_path())
 
 
-def one_by_one(coder, texts):
-    return [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+LIBRARY = Tokenizer.from_file(byte_bpe_path())
+
+
+def one_by_one(texts):
+    return [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def as_lists(coder, texts):
@@ -29,18 +33,27 @@ def test_batches_encode_like_single_texts(coder):
     rng = random.Random(0)
     signs = " '  \n\t's tredvlmLL'reéß1²9!?.-日本 　<|endoftext|>😀́\x00\x1c\x85 ١"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + ["", " ", "a" * 5000]
-    assert as_lists(coder, texts) == one_by_one(coder, texts)
+    assert as_lists(coder, texts) == one_by_one(texts)
+
+
+def test_added_tokens_long_texts_and_texts_of_equal_polynomial_hash(coder):
+    thue_morse, swap = "a", str.maketrans("ab", "ba")
+    while len(thue_morse) < 2048:
+        thue_morse += thue_morse.translate(swap)
+    texts = ["<|endoftext|> hi", "x<|endoftext|>\n<|endoftext|>", "<|endoftext", thue_morse[:1024], thue_morse[:1024].translate(swap), thue_morse, thue_morse.translate(swap)]
+    texts += ["word and more words " * 60_000, "x" * 20_000 + " <|endoftext|> " + "and on " * 90_000]
+    assert as_lists(coder, texts) == one_by_one(texts)
 
 
 def test_small_pieces_and_a_small_memory_change_nothing():
     small = BatchEncoder(byte_bpe_path(), words=20, piece=50)
     texts = ["it's we'll they're 100% of the time " * 20, "", "no\n\n\nspace", "y" * 300]
-    assert as_lists(small, texts) == one_by_one(small, texts)
+    assert as_lists(small, texts) == one_by_one(texts)
 
 
 def test_histogram_answers_every_limit(spark, coder, messy, clashing, empty):
     sums = token_counts.suffix_sums(token_counts.length_histogram(clashing, byte_bpe_path())).cache()
-    lengths = sorted(len(i) for i in one_by_one(coder, [r.text for r in messy.collect()]))
+    lengths = sorted(len(i) for i in one_by_one([r.text for r in messy.collect()]))
     assert {r.n_tokens: r.n_docs for r in sums.collect()} == Counter(lengths)
     for r in sums.collect():
         assert r.tokens_truncated == sum(min(n, r.n_tokens) for n in lengths)
@@ -74,7 +87,7 @@ def test_the_level_rule_minimises_the_sum_of_squares():
 def test_packing_places_each_id_once(spark, coder, messy, clashing, empty):
     pieces = packing.pack(clashing.repartition(2), byte_bpe_path(), 256).collect()
     ids = Counter()
-    for r, coded in zip(messy.collect(), one_by_one(coder, [r.text for r in messy.collect()])):
+    for r, coded in zip(messy.collect(), one_by_one([r.text for r in messy.collect()])):
         whole = np.array([*coded, 0], np.uint32)
         ids[r.doc_id] += len(whole)
         for p in pieces:
@@ -99,10 +112,19 @@ def test_bit_packing_round_trip(bits, ids):
     assert (token_files.unpack_bits(data, bits, len(ids)) == ids).all()
 
 
+def test_any_doc_id_comes_back_from_token_files(spark):
+    rows = [(-1, "one"), (None, "two"), (0, "three"), (-5, "four"), (7, "b"), (7, "a"), (7, "a"), (None, None)]
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), byte_bpe_path()).collect())
+    assert [g[1] for g in got] == [None, None, -5, -1, 0, 7, 7, 7]
+    assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), byte_bpe_path()).collect()
+    assert sorted((p.doc_id is not None, p.doc_id or 0) for p in pieces) == sorted((r[0] is not None, r[0] or 0) for r in rows)
+
+
 def test_token_files_round_trip_and_random_access(spark, coder, messy, clashing, empty, tmp_path):
     files = token_files.write_token_files(clashing, f"file://{tmp_path}/out", byte_bpe_path(), block=100)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(files).collect())
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0), r.doc_id, c) for r, c in zip(messy.collect(), one_by_one(coder, [r.text for r in messy.collect()])))
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0), r.doc_id, c) for r, c in zip(messy.collect(), one_by_one([r.text for r in messy.collect()])))
     expected, start = [], 0
     for _, doc_id, coded in rows:
         whole = np.array([*coded, 0], np.uint32)
