@@ -1,23 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained. Both start with the same ordinary text;
-one ends with more ordinary text, the other with segments of toxic text: word
-beginnings and words that toxic documents hold significantly more often
-(likelihood ratio). A window of a few words is compressed with either. Ordinary
-words cost the same with both, so the difference of the two lengths, the gap,
-shows what only toxic text explains. A document's score is a logistic function
-of its windows' gaps, fitted on labelled documents that the dictionaries have
-not seen, so that the threshold is a calibrated probability.
+Two zstandard dictionaries are trained, one on windows of toxic text and one on
+windows of ordinary text. A window is a word with a space on either side. Windows
+that both classes have are left out before training, and so are those seen in few
+different surroundings, which teach the words of one text and its copies. Every
+window of a text is compressed with either dictionary; the gap is how many bytes
+shorter it is with the toxic one. A document's score is a logistic function of
+its windows' gaps, fitted on labelled documents that the dictionaries have not
+seen, so that the threshold is a calibrated probability. The same documents
+decide in how many surroundings a window has to be seen.
+
+Windows are counted and texts are scored on the executors. The driver gets a
+bounded sample of windows and a few numbers of each calibration document.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, free_name, slices, text_or_empty
+from .common import bounded, free_name, text_or_empty, written
 
 _WORD = re.compile(r"[^\W_]+")
-_SLICE = 500_000
+_BREAK = re.compile(r"[\W_]")
+#: Characters of a text worked on at a time.
+_PIECE = 250_000
+#: A match is only looked for where eight bytes follow.
+_PAD = b"\n" * 8
+#: Windows whose gaps are remembered.
+_REMEMBERED = 400_000
 #: At most so many labelled documents are used to train; a documented bound.
 SAMPLE = 10_000
+#: At most so many different windows of a class go into its dictionary; a documented bound.
+WINDOWS = 40_000
+#: In how many surroundings a window has to be seen; calibration chooses one.
+SURROUNDINGS = (2, 3, 4, 6, 9)
+N_FEATURES = 10
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,93 +51,104 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def windows(text: str, words: int) -> list[bytes]:
-    found = _WORD.findall(text.lower())
-    return [(" " + " ".join(found[i : i + words]) + " ").encode() for i in range(0, len(found), words)]
-
-
-def _segments(text: str) -> set[str]:
-    """Words with the spaces around them, and beginnings of words."""
-    out = set()
-    for w in set(_WORD.findall(text.lower())):
-        out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in (4, 5, 6) if len(w) > n)
-    return out
-
-
-def _ratio(a: int, b: int, n1: int, n0: int) -> float:
-    """Likelihood ratio of a in n1 against b in n0; 0 if the share is not higher."""
-    if a * n0 <= b * n1:
-        return 0.0
-
-    def log(k: int, n: int, q: float) -> float:
-        return (k * math.log(q) if k else 0.0) + ((n - k) * math.log(1 - q) if n > k else 0.0)
-
-    p = (a + b) / (n1 + n0)
-    return 2 * (log(a, n1, a / n1) + log(b, n0, b / n0) - log(a, n1, p) - log(b, n0, p))
+def words(text: str) -> Iterator[list[str]]:
+    """The words of a text in lower case, a piece of it at a time."""
+    at = 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + _PIECE) if len(text) - at > _PIECE else None
+        end = cut.start() if cut else len(text)
+        yield _WORD.findall(text[at:end].lower())
+        at = end
 
 
 @dataclass
-class Model:
-    """The two dictionaries and the calibration."""
+class Dictionaries:
+    """The two dictionaries; trained ones, or plain text where there was too little to train on."""
 
     ordinary: bytes
     toxic: bytes
-    weights: np.ndarray
-    means: np.ndarray
-    scales: np.ndarray
-    words: int
-    level: int
+    trained: bool = False
+    level: int = 6
 
     def __post_init__(self) -> None:
         self._compressors = None
+        self._known: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_compressors": None}
+        return {**self.__dict__, "_compressors": None, "_known": {}}
 
-    def gaps(self, parts: list[bytes]) -> np.ndarray:
-        """Compressed length with the ordinary less that with the toxic dictionary, for each window."""
-        if not parts:
-            return np.zeros(0, np.int64)
+    def _lengths(self, windows: list[str]) -> Iterator[np.ndarray]:
         if self._compressors is None:
+            kind = zstandard.DICT_TYPE_FULLDICT if self.trained else zstandard.DICT_TYPE_RAWCONTENT
+            settings = zstandard.ZstdCompressionParameters.from_level(self.level, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._compressors = []
             for content in (self.ordinary, self.toxic):
-                settings = zstandard.ZstdCompressionParameters.from_level(self.level, write_content_size=False, write_checksum=False, write_dict_id=False)
-                dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                dictionary = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=kind)
                 dictionary.precompute_compress(compression_params=settings)
                 self._compressors.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings))
-        lengths = []
+        parts = [b" " + w.encode() + b" " + _PAD for w in windows]
         for compressor in self._compressors:
             out = compressor.multi_compress_to_buffer(parts, threads=1)
-            lengths.append(np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out)))
-        return lengths[0] - lengths[1]
+            yield np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
+
+    def gaps(self, windows: list[str]) -> np.ndarray:
+        """Compressed length with the ordinary less that with the toxic dictionary, for each window."""
+        known = self._known
+        new = [w for w in set(windows) if w not in known]
+        if new:
+            a, b = self._lengths(new)
+            known.update(zip(new, (a - b).tolist()))
+        found = np.fromiter(map(known.__getitem__, windows), np.int64, len(windows))
+        if len(known) > _REMEMBERED:
+            known.clear()
+        return found
 
     def features(self, texts: list[str]) -> np.ndarray:
-        parts = [windows(t, self.words) for t in texts]
-        sizes = np.array([len(p) for p in parts])
-        flat = self.gaps([w for p in parts for w in p])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        return _features(flat, owner, sizes)
+        """Of each text: the largest gap, windows with a clear gap, what they have above it, both by size, the same the other way, its size."""
+        rows = np.zeros((len(texts), N_FEATURES))
+        for row, text in zip(rows, texts):
+            most = clear = above = against = n = 0
+            for piece in words(text):
+                if piece:
+                    gaps = self.gaps(piece)
+                    most = max(most, int(gaps.max()))
+                    clear += int(np.count_nonzero(gaps >= 3))
+                    above += int(np.maximum(gaps - 2, 0).sum())
+                    against += int(np.count_nonzero(gaps <= -3))
+                    n += len(piece)
+            size = max(n, 1)
+            row[:] = most, min(most, 6), math.log1p(clear), math.log1p(above), clear / math.sqrt(size), above / math.sqrt(size), clear / size, math.log1p(against), against / size, math.log1p(n)
+        return rows
+
+
+def train_dictionaries(ordinary: list[tuple[str, int]], toxic: list[tuple[str, int]], size: int = 8_192, segment: int = 64, grams: int = 6) -> Dictionaries:
+    """A dictionary of each class from its windows and how often each counts."""
+    samples = []
+    for rows in (ordinary, toxic):
+        found = [b" " + w.encode() + b" " for w, n in sorted(rows) for _ in range(min(n, 64))]
+        np.random.default_rng(0).shuffle(found)
+        samples.append(found)
+    try:
+        content = [zstandard.train_dictionary(size, s, k=segment, d=grams).as_bytes() for s in samples]
+        return Dictionaries(*content, trained=True)
+    except zstandard.ZstdError:  # too little text of a class
+        return Dictionaries(*(b"".join(dict.fromkeys(s))[-size:] for s in samples))
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        x = (self.features(texts) - self.means) / self.scales
-        z = np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)
-        return 1 / (1 + np.exp(-z))
 
+@dataclass
+class Model:
+    dictionaries: Dictionaries
+    weights: np.ndarray
+    means: np.ndarray
+    scales: np.ndarray
 
-def _features(gaps: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of each document: the largest gap, windows and weight of clear gaps (as they are and by size), its size."""
-    n = len(sizes)
-    most = np.zeros(n)
-    np.maximum.at(most, owner, gaps)
-    sums = [np.bincount(owner, w, minlength=n) for w in ((gaps >= 2).astype(float), (gaps >= 4).astype(float), np.maximum(gaps - 1, 0), np.maximum(gaps - 3, 0), np.maximum(-gaps - 1, 0))]
-    root = np.sqrt(np.maximum(sizes, 1))
-    columns = [most, np.minimum(most, 5), *(np.log1p(s) for s in sums), *(s / root for s in sums[:4]), *(s / np.maximum(sizes, 1) for s in sums), np.log1p(sizes)]
-    return np.stack(columns, axis=1)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        x = (self.dictionaries.features(texts) - self.means) / self.scales
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights (first: constant) by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 100) -> np.ndarray:
+    """Weights (first: constant) by Newton's method with a ridge."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
@@ -138,70 +162,94 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w
 
 
-def fit(texts: list[str], toxic: list[int], words: int = 3, level: int = 3, least_ratio: float = 35.0, least_odds: float = 4.0, main_size: int = 16_384, most_size: int = 8_192) -> Model:
-    """Trains on labelled texts: three of five make the dictionaries, the others calibrate.
+def _loss(model: Model, x: np.ndarray, y: np.ndarray) -> float:
+    z = np.clip(model.weights[0] + (x - model.means) / model.scales @ model.weights[1:], -30, 30)
+    return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y))) if len(y) else 0.0
 
-    With labels of one kind only, every score is the share of that kind.
-    """
-    seen, pairs = set(), []
-    for t, y in zip(texts, toxic):
-        if t not in seen:
-            seen.add(t)
-            pairs.append((t, int(y)))
-    for_words = [p for i, p in enumerate(pairs) if i % 5 < 3]
-    n1 = sum(y for _, y in for_words)
-    n0 = len(for_words) - n1
-    often = Counter(s for t, y in for_words if y for s in _segments(t))
-    often = {s: a for s, a in often.items() if a >= 4 and n0}
-    plainly: Counter[str] = Counter()  # of these segments only: ordinary text has far more
-    for t, y in for_words:
-        if not y:
-            plainly.update(s for s in _segments(t) if s in often)
-    ratios = {s: _ratio(a, plainly[s], n1, n0) for s, a in often.items()}
-    chosen = sorted((s for s, r in ratios.items() if r >= least_ratio and often[s] * n0 >= least_odds * n1 * plainly[s]), key=lambda s: (ratios[s], s))
-    toxic_end = "".join(chosen).encode()[-most_size:]
-    plain = list(islice((w for t, y in for_words if not y for w in windows(t, words)), 60_000))
-    try:
-        main = zstandard.train_dictionary(main_size, plain).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        main = b"".join(plain)[-main_size:]
-    plain_end = b"".join(islice((w for t, y in reversed(for_words) if not y for w in windows(t, words)), most_size))[: len(toxic_end)]
-    plain_end += b" " * (len(toxic_end) - len(plain_end))
-    pad = b" " * 8
-    model = Model(pad + main + plain_end, pad + main + toxic_end, np.zeros(1), np.zeros(0), np.ones(0), words, level)
-    rest = [p for i, p in enumerate(pairs) if i % 5 >= 3] or pairs
-    y = np.array([q for _, q in rest], float)
-    share = (y.sum() + 1e-9) / (len(y) + 1) if len(y) else 0.0
-    x = model.features([t for t, _ in rest]) if rest else np.zeros((0, 17))
-    model.means, model.scales = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+
+def calibrate(dictionaries: Dictionaries, x: np.ndarray, y: np.ndarray) -> Model:
+    """The logistic function; with labels of one kind only, the share of that kind."""
+    means, scales = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     if 0 < y.sum() < len(y):
-        model.weights = _logistic((x - model.means) / model.scales, y)
-    else:
-        model.weights = np.zeros(x.shape[1] + 1)
-        model.weights[0] = math.log((share + 1e-12) / (1 - share + 1e-12))
-    return model
+        return Model(dictionaries, _logistic((x - means) / scales, y), means, scales)
+    weights = np.zeros(N_FEATURES + 1)
+    weights[0] = math.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)) if len(y) else -20.0
+    return Model(dictionaries, np.clip(weights, -20, 20), means, scales)
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``text, toxic, calibrates``: one row for each of at most ``sample`` labelled documents, equal texts once."""
+    usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty().alias("text"))
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    once = once.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    return once.select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(5)) >= 3).alias("calibrates"))
+
+
+def _surroundings(rows: DataFrame) -> DataFrame:
+    """``window, toxic, around``: each window with a hash of the windows beside it."""
+    schema = pa.schema([("window", pa.string()), ("toxic", pa.int32()), ("around", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                for piece in words(text.as_py()):
+                    seen = sorted({(b, xxh3_64_intdigest(f"{a} {c}") >> 1) for a, b, c in zip(["", *piece], piece, [*piece[1:], ""])})
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([toxic] * len(seen), pa.int32()), pa.array([h for _, h in seen], pa.int64())], schema=schema)
 
+    return rows.select("text", "toxic").transform(bounded).mapInArrow(work, "window string, toxic int, around long")
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model:
+
+def _windows(rows: DataFrame, most: int) -> list[tuple[str, int, int]]:
+    """``window, toxic, surroundings`` of the windows of one class alone, at most ``most`` of each class: those seen most widely."""
+    counted = _surroundings(rows).distinct().groupBy("window").agg(*(F.count(F.when(F.col("toxic") == y, 1)).alias(f"n{y}") for y in (0, 1)))
+    alone = counted.where(f"(n0 = 0 AND n1 >= {min(SURROUNDINGS)}) OR (n1 = 0 AND n0 >= {min(SURROUNDINGS)})")
+    alone = alone.select("window", (F.col("n1") > 0).cast("int").alias("toxic"), (F.col("n0") + F.col("n1")).cast("int").alias("n"))
+    tops = [alone.where(f"toxic = {y}").orderBy(F.desc("n"), "window").limit(most).collect() for y in (0, 1)]
+    return [(r.window, r.toxic, r.n) for top in tops for r in top]
+
+
+def _measured(rows: DataFrame, candidates: list[Dictionaries]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the calibration documents with each of the candidates, and their labels."""
+    shared = rows.sparkSession.sparkContext.broadcast(candidates)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            x = np.concatenate([d.features(texts) for d in shared.value], axis=1) if texts else np.zeros((0, N_FEATURES * len(shared.value)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
+
+    found = rows.where("calibrates").select("text", "toxic").transform(bounded).mapInArrow(work, "toxic int, x array<double>").collect()
+    found.sort()
+    x = np.array([r.x for r in found], float).reshape(len(found), len(candidates), N_FEATURES)
+    return x, np.array([r.toxic for r in found], float)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Model:
     """Fits on at most ``sample`` labelled documents, chosen by a hash of doc_id, that are not held out.
 
-    Rows without label or doc_id are not used. Of a doc_id with several labels
-    one is used. The sample, and nothing else, comes to the driver.
+    Three of five, by a hash of the text, make the dictionaries, the others
+    calibrate. Of a doc_id with several rows or labels one text and the highest
+    label are used; rows without label or doc_id are not; null texts are empty,
+    long ones are read whole, piece by piece. With labels of one kind only, every
+    score is nearly the share of that kind.
     """
-    usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = (
-        docs.where(~held_out(F.col("doc_id")))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "toxic", text_or_empty().alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .toLocalIterator()
-    )
-    texts, toxic = [], []
-    for r in rows:
-        texts.append(r.text)
-        toxic.append(r.toxic)
-    return fit(texts, toxic, **options)
+    rows = written(_sampled(docs, labels, sample), "toxic-sample")
+    found = _windows(rows.where("NOT calibrates"), windows)
+    candidates = []
+    for least in SURROUNDINGS:
+        kept = {y: [(w, n) for w, t, n in found if t == y and n >= least] for y in (0, 1)}
+        if kept[1] or not candidates:
+            candidates.append(train_dictionaries(kept[0], kept[1]))
+    x, y = _measured(rows, candidates)
+    # half of the documents weigh the candidates that the other half has calibrated, and the other way round
+    halves = [np.arange(len(y)) % 2 == h for h in (0, 1)]
+    losses = [sum(_loss(calibrate(d, x[a, k], y[a]), x[~a, k], y[~a]) for a in halves) for k, d in enumerate(candidates)]
+    best = int(np.argmin(losses))
+    return calibrate(candidates[best], x[:, best], y)
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
@@ -213,8 +261,7 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", text: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.scores(texts) for _, texts in slices(batch, column, _SLICE)]
-            scores = np.concatenate(found) if found else np.zeros(0)
+            scores = shared.value.scores([t.as_py() or "" for t in batch.column(column)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*others, name])
 
     return docs.select(*others).transform(bounded).mapInArrow(work, result)
@@ -224,14 +271,15 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     Only the text is an input of the score. Null and empty texts have the score
-    of a text without windows. Equal texts have equal scores, so repeated rows
-    do too. An empty table gives no rows. A missing doc_id is not held out.
+    of a text without windows; very long ones are read whole, piece by piece.
+    Equal texts have equal scores, so repeated rows do too. Other columns are not
+    read. An empty table gives no rows. A missing doc_id is not held out.
     """
     scored = with_scores(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score less than the threshold, with the same columns."""
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score less than the threshold, with the same columns (see :func:`classify`)."""
     name = free_name(docs, "score")
     return with_scores(docs, model, name).where(F.col(name) < threshold).select(*docs.columns)

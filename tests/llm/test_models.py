@@ -106,11 +106,48 @@ def test_labels_of_held_out_rows_are_not_used(spark, labelled):
     docs = spark.createDataFrame([(i, t) for i, t, _ in labelled[:200]], "doc_id long, text string")
     labels = lambda flip: spark.createDataFrame([(i, 1 - y if flip and zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, _, y in labelled[:200]], "doc_id long, toxic int")
     a, b = (toxicity.train(docs, labels(f)) for f in (False, True))
-    assert a.toxic == b.toxic and (a.weights == b.weights).all()
+    assert a.dictionaries.toxic == b.dictionaries.toxic and (a.weights == b.weights).all()
+
+
+def test_dictionaries_train_on_windows_of_one_class_in_several_surroundings(spark):
+    rows = [("alpha good beta", 0, False), ("gamma good delta", 0, False), ("alpha bad beta", 1, False), ("gamma bad delta", 1, False), ("same vile words", 1, False), ("same vile words again", 1, False)]
+    found = toxicity._windows(spark.createDataFrame(rows, "text string, toxic int, calibrates boolean"), 10)
+    around = Counter()  # brute force: different neighbours of each window by class
+    for w in {w for t, _, _ in rows for w in t.split()}:
+        for y in (0, 1):
+            around[w, y] = len({(["", *t.split()][i], [*t.split(), ""][i + 1]) for t, z, _ in rows if z == y for i, v in enumerate(t.split()) if v == w})
+    expected = {(w, y, n) for (w, y), n in around.items() if n >= 2 and not around[w, 1 - y]}
+    assert set(found) == expected and {w for w, _, _ in found} == {"good", "bad", "words"}
+
+
+def test_gaps_are_differences_of_compressed_lengths():
+    import zstandard
+
+    rng = random.Random(5)
+    plain = [("".join(rng.choice("abcdefgh") for _ in range(7)), 9) for _ in range(400)]
+    toxic = [("".join(rng.choice("stuvwxyz") for _ in range(7)), 9) for _ in range(400)]
+    d = toxicity.train_dictionaries(plain, toxic)
+    assert d.trained
+    asked = [plain[0][0], toxic[0][0], "other", "other"]
+    lengths = []
+    for content in (d.ordinary, d.toxic):
+        settings = zstandard.ZstdCompressionParameters.from_level(d.level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        one = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=settings)
+        lengths.append([len(one.compress(f" {w} ".encode() + b"\n" * 8)) for w in asked])
+    assert d.gaps(asked).tolist() == [a - b for a, b in zip(*lengths)]
+    assert np.median(d.gaps([w for w, _ in toxic])) > 2 > -2 > np.median(d.gaps([w for w, _ in plain]))
+
+
+def test_long_texts_are_scored_whole(labelled):
+    d = toxicity.Dictionaries(b"plain words", b" horrid ")
+    whole = "plain " * 200_000
+    a, b = d.features([whole + " horrid", whole])
+    assert a[-1] > b[-1] and [sum(map(len, toxicity.words(t))) for t in (whole, "x" * 900_000, "")] == [200_000, 1, 0]
 
 
 def test_toxicity_of_odd_tables(spark, messy, clashing, empty, labelled):
-    model = toxicity.fit([t for _, t, _ in labelled], [y for _, _, y in labelled])
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, toxic int"))
     rows = toxicity.classify(clashing, model).collect()
     assert len(rows) == messy.count()
     scores = {r.doc_id: r.score for r in rows}
@@ -118,6 +155,8 @@ def test_toxicity_of_odd_tables(spark, messy, clashing, empty, labelled):
     kept = toxicity.drop_toxic(clashing, model)
     assert kept.columns == clashing.columns
     assert toxicity.classify(empty, model).count() == 0
-    for labels in ([], [0] * 5, [1] * 5):
-        constant = toxicity.fit(["some text here"] * len(labels), labels)
-        assert len(set(constant.scores(["", "anything at all"]).tolist())) == 1
+    for ys in ([], [0] * 5, [1] * 5):
+        labels = spark.createDataFrame(list(enumerate(ys)), "doc_id long, toxic int")
+        constant = toxicity.train(docs, labels)
+        found = constant.scores(["", "anything at all"])
+        assert found[0] == found[1] and (found[0] > 0.5) == (sum(ys) > 0)
