@@ -14,8 +14,8 @@ from strataweave.llm import decontaminate, exact_dedup, ngram_join, packing, tox
 from strataweave.llm.common import DOCUMENT_COLUMNS, documents, written
 from strataweave.llm.tokens import byte_bpe_path
 
-#: A document goes if its calibrated probability to be toxic is at least this.
-TOXIC = 0.5
+#: A document goes if its calibrated probability to be toxic is at least this, as in the operator's own query.
+TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
