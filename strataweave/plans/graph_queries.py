@@ -49,9 +49,10 @@ def duplicate_ids(t: Tables) -> DataFrame:
     return enrich.duplicate_ids(t.nodes)
 
 
-@query("SELECT label, count(*) AS n FROM nodes WHERE id NOT IN (SELECT a FROM both_ways) GROUP BY label")
+@query("SELECT label, count(*) AS n FROM nodes ANTI JOIN (SELECT src AS id FROM edges WHERE type = 'USES' UNION ALL SELECT dst FROM edges WHERE type = 'USES') u USING (id) GROUP BY label")
 def isolated_nodes(t: Tables) -> DataFrame:
-    return t.nodes.join(paths.degrees(t.edges), "id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Nodes that no sale joins to anything."""
+    return t.nodes.join(paths.degrees(t.edges.where("type = 'USES'")), "id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -97,16 +98,16 @@ def _starts(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([("customer:1",), ("customer:2",), ("nation:3",)], "id string")
 
 
-@query(f"SELECT w.a AS start, w.type, w.b AS \"end\", w.extraction_count FROM small_ways w JOIN (VALUES {_STARTS}) s(id) ON s.id = w.a")
+@query(f"SELECT w.a AS start, w.type, w.b AS \"end\", w.extraction_count FROM both_ways w JOIN (VALUES {_STARTS}) s(id) ON s.id = w.a")
 def paths_1hop(t: Tables) -> DataFrame:
     return paths.one_hop(t.edges, _starts(t))
 
 
 def _trail_sql(hops: int) -> str:
-    one = f"t1 AS (SELECT [s.id, w.b] AS nodes, [w.type] AS types, [w.edge_id] AS eids, CAST(w.extraction_count AS DOUBLE) AS strength FROM (VALUES {_STARTS}) s(id) JOIN small_ways w ON w.a = s.id)"
+    one = f"t1 AS (SELECT [s.id, w.b] AS nodes, [w.type] AS types, [w.edge_id] AS eids, CAST(w.extraction_count AS DOUBLE) AS strength FROM (VALUES {_STARTS}) s(id) JOIN both_ways w ON w.a = s.id)"
     more = "".join(
         f", t{i} AS (SELECT list_append(t.nodes, w.b) AS nodes, list_append(t.types, w.type) AS types, list_append(t.eids, w.edge_id) AS eids, t.strength + w.extraction_count AS strength"
-        f" FROM t{i - 1} t JOIN small_ways w ON w.a = t.nodes[-1] WHERE NOT list_contains(t.eids, w.edge_id))"
+        f" FROM t{i - 1} t JOIN both_ways w ON w.a = t.nodes[-1] WHERE NOT list_contains(t.eids, w.edge_id))"
         for i in range(2, hops + 1)
     )
     union = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(1, hops + 1))
@@ -157,9 +158,9 @@ def _pagerank_sql(rounds: int) -> str:
     steps = ", r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS rank FROM ids)"
     for i in range(1, rounds + 1):
         steps += f""", g{i} AS (SELECT l.dst AS id, sum(r.rank / o.n) AS given FROM links l JOIN r{i - 1} r ON r.id = l.src JOIN outs o ON o.src = l.src GROUP BY l.dst),
-        r{i} AS (SELECT i.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (coalesce(g.given, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM outs)) / (SELECT count(*) FROM ids)) AS rank
+        r{i} AS MATERIALIZED (SELECT i.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (coalesce(g.given, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} ANTI JOIN outs ON src = id) / (SELECT count(*) FROM ids)) AS rank
             FROM ids i LEFT JOIN g{i} g ON g.id = i.id)"""
-    return f"+ ids AS (SELECT DISTINCT id FROM nodes WHERE label IN ('region', 'nation', 'customer', 'supplier')), links AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('PART_OF', 'BELONGS_TO_CATEGORY')), outs AS (SELECT src, count(*) AS n FROM links GROUP BY src){steps} SELECT id, round(rank, 9) AS pagerank FROM r{rounds}"
+    return f"+ ids AS MATERIALIZED (SELECT DISTINCT id FROM nodes), links AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), outs AS (SELECT src, count(*) AS n FROM links GROUP BY src){steps} SELECT id, round(rank, 9) AS pagerank FROM r{rounds}"
 
 
 @query(_pagerank_sql(5))
@@ -234,10 +235,14 @@ def keep_first_edge(t: Tables) -> DataFrame:
     return t.edges.withColumn("n", ranked).where("n = 1").select("src", "type", "dst")
 
 
-@query("""SELECT a.src, a.dst, a.type AS type_a, b.type AS type_b FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.type < b.type""")
+@query("""+ both AS (SELECT src, type, dst FROM edges UNION ALL SELECT dst, 'PART_OF', src FROM edges WHERE type = 'HAS_PART')
+    SELECT a.src, a.dst, a.type AS type_a, b.type AS type_b FROM both a JOIN both b ON a.src = b.dst AND a.dst = b.src WHERE a.type < b.type""")
 def inverse_pairs(t: Tables) -> DataFrame:
-    b = t.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("type").alias("type_b"))
-    return t.edges.select("src", "dst", F.col("type").alias("type_a")).join(b, ["src", "dst"]).where("type_a < type_b")
+    """The graph with every HAS_PART said the other way round as well."""
+    stored = t.edges.select("src", "dst", "type")
+    a = stored.unionByName(stored.where("type = 'HAS_PART'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("PART_OF").alias("type")))
+    b = a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("type").alias("type_b"))
+    return a.withColumnRenamed("type", "type_a").join(b, ["src", "dst"]).where("type_a < type_b")
 
 
 _OLD, _NEW = "SELECT chunk_id FROM order_chunks WHERE CAST(split_part(chunk_id, ':', 2) AS BIGINT) % 3 <> 0", "SELECT chunk_id FROM order_chunks WHERE CAST(split_part(chunk_id, ':', 2) AS BIGINT) % 4 <> 0"
@@ -253,15 +258,15 @@ def chunk_delta(t: Tables) -> DataFrame:
 _GONE = "SELECT chunk_id FROM order_chunks WHERE source = '1-URGENT'"
 
 
-@query(f"""+ gone AS ({_GONE}), flat AS (SELECT src, type, dst, unnest(source_chunks) AS c FROM edges WHERE source_chunks IS NOT NULL)
-    SELECT src, type, dst, count(*) AS n_chunks FROM flat WHERE c NOT IN (SELECT chunk_id FROM gone) GROUP BY ALL
+@query(f"""+ gone AS ({_GONE}), flat AS (SELECT src, type, dst, unnest(source_chunks) AS chunk_id FROM edges WHERE source_chunks IS NOT NULL)
+    SELECT src, type, dst, count(*) AS n_chunks FROM flat ANTI JOIN gone USING (chunk_id) GROUP BY ALL
     UNION ALL SELECT src, type, dst, 0 FROM edges WHERE source_chunks IS NULL""")
 def prune_edges(t: Tables) -> DataFrame:
     pruned = maintain.prune_edges(t.edges, t.order_chunks.where("source = '1-URGENT'"))
     return pruned.select("src", "type", "dst", F.size(F.coalesce("source_chunks", F.array())).cast("long").alias("n_chunks"))
 
 
-@query("SELECT DISTINCT id FROM nodes WHERE id NOT IN (SELECT node_id FROM mentions) AND id NOT IN (SELECT src FROM edges WHERE type = 'USES') AND id NOT IN (SELECT dst FROM edges WHERE type = 'USES')")
+@query("SELECT DISTINCT id FROM nodes ANTI JOIN (SELECT node_id AS id FROM mentions UNION ALL SELECT src FROM edges WHERE type = 'USES' UNION ALL SELECT dst FROM edges WHERE type = 'USES') m USING (id)")
 def orphans(t: Tables) -> DataFrame:
     return maintain.orphans(t.nodes, t.mentions, t.edges.where("type = 'USES'"))
 
@@ -276,7 +281,7 @@ def _records(t: Tables) -> DataFrame:
     return t.sales.groupBy("o_custkey").agg(F.collect_set(F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey"))).alias("predicted"), F.collect_set("l_partkey").alias("correct"))
 
 
-_COVERAGE = """+ r AS (SELECT o_custkey, list(DISTINCT l_partkey) FILTER (WHERE l_orderkey % 2 = 0) AS p, list(DISTINCT l_partkey) AS c FROM sales WHERE o_custkey < 200 GROUP BY o_custkey),
+_COVERAGE = """+ r AS (SELECT o_custkey, list(DISTINCT l_partkey) FILTER (WHERE l_orderkey % 2 = 0) AS p, list(DISTINCT l_partkey) AS c FROM sales GROUP BY o_custkey),
     s AS (SELECT len(coalesce(list_intersect(p, c), [])) AS h, len(c) AS g FROM r)
     SELECT count(*) AS n, round(avg(CASE WHEN h = g THEN 1.0 ELSE 0.0 END), 9) AS full_coverage, round(avg(h / g), 9) AS match_rate, round(sum(h) / sum(g), 9) AS micro_match_rate FROM s"""
 
@@ -298,8 +303,8 @@ def prf1(t: Tables) -> DataFrame:
     return row.select("hits", "gold", "found", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query("""+ gold AS (SELECT DISTINCT o_custkey AS question_id, l_partkey AS id FROM sales WHERE o_custkey < 100),
-    ranked AS (SELECT o_custkey AS question_id, l_partkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT o_custkey, l_partkey FROM sales WHERE o_custkey < 100 AND l_orderkey % 3 <> 0)),
+@query("""+ gold AS (SELECT DISTINCT o_custkey AS question_id, l_partkey AS id FROM sales),
+    ranked AS (SELECT o_custkey AS question_id, l_partkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_partkey) AS rank FROM (SELECT DISTINCT o_custkey, l_partkey FROM sales WHERE l_orderkey % 3 <> 0)),
     j AS (SELECT g.question_id, r.rank, k FROM gold g LEFT JOIN ranked r USING (question_id, id), unnest([5, 10, 20]) u(k)),
     q AS (SELECT k, question_id, avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END) AS recall FROM j GROUP BY ALL)
     SELECT k, round(avg(recall), 9) AS recall, round(avg(CASE WHEN recall = 1 THEN 1.0 ELSE 0.0 END), 9) AS "full" FROM q GROUP BY k""")
@@ -349,7 +354,7 @@ def legend_counts(t: Tables) -> DataFrame:
     return ends.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""+ n AS (SELECT DISTINCT p_brand AS label, p_name AS id FROM part WHERE p_partkey < 400),
+@query("""+ n AS (SELECT DISTINCT p_brand AS label, p_name AS id FROM part),
     p AS (SELECT a.label, a.id AS a, b.id AS b, levenshtein(lower(a.id), lower(b.id)) AS distance, least(2, greatest(1, floor(0.2 * least(length(a.id), length(b.id))))) AS most FROM n a JOIN n b ON a.label = b.label AND a.id < b.id WHERE length(a.id) >= 4 AND length(b.id) >= 4)
     SELECT label, a, b, CAST(distance AS INTEGER) AS distance FROM p WHERE distance <= most AND distance > 0""")
 def fuzzy_pairs(t: Tables) -> DataFrame:
@@ -357,16 +362,21 @@ def fuzzy_pairs(t: Tables) -> DataFrame:
     return linking.fuzzy_pairs(names)
 
 
-@query("""+ located AS (
-    SELECT 'region:' || r_regionkey AS node, r_regionkey AS r FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_regionkey FROM nation
-    UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
-    SELECT node, min(node) OVER (PARTITION BY r) AS component FROM located""")
+def _components_sql(rounds: int) -> str:
+    """The least node within so many steps; the graph of the tables is narrower than that."""
+    steps = ", c0 AS (SELECT DISTINCT id, id AS component FROM nodes)"
+    for i in range(1, rounds + 1):
+        steps += f", c{i} AS MATERIALIZED (SELECT id, min(component) AS component FROM (SELECT id, component FROM c{i - 1} UNION ALL SELECT w.b, c.component FROM both_ways w JOIN c{i - 1} c ON c.id = w.a) GROUP BY id)"
+    return f"+ {steps.lstrip(', ')} SELECT id AS node, component FROM c{rounds}"
+
+
+@query(_components_sql(10))
 def connected_components(t: Tables) -> DataFrame:
     alone = t.nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
     return enrich.connected(t.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(alone))
 
 
-@query("""SELECT chunk_id, source, CAST(floor((rn - 1) / 20) * 20 AS BIGINT) AS page_offset FROM (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS rn FROM chunks WHERE source IN ('src1', 'src2')) WHERE rn % 7 = 0""")
+@query("""SELECT chunk_id, source, CAST(floor((rn - 1) / 20) * 20 AS BIGINT) AS page_offset FROM (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS rn FROM chunks)""")
 def chunk_page_focus(t: Tables) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("source").orderBy("chunk_id"))
     rows = t.chunks.withColumn("rn", rn)
@@ -389,20 +399,19 @@ def fallback_triples(t: Tables) -> DataFrame:
     return paths.incident_triples(t.edges, t.spark.createDataFrame([("nation:3",), ("region:1",)], "id string"))
 
 
-@query("""SELECT e.src AS start, e.type, e.dst AS "end", s.label AS start_type, d.label AS end_type FROM small_edges e
+@query("""SELECT e.src AS start, e.type, e.dst AS "end", s.label AS start_type, d.label AS end_type FROM edges e
     LEFT JOIN (SELECT id, min(label) AS label FROM nodes GROUP BY id) s ON s.id = e.src LEFT JOIN (SELECT id, min(label) AS label FROM nodes GROUP BY id) d ON d.id = e.dst""")
 def annotated_triples(t: Tables) -> DataFrame:
     return paths.with_labels(t.edges.select(F.col("src").alias("start"), "type", F.col("dst").alias("end")), t.nodes)
 
 
-@query("""+ gold AS (SELECT DISTINCT o_custkey AS question_id, l_partkey AS id FROM sales WHERE o_custkey < 50)
+@query("""+ gold AS (SELECT DISTINCT o_custkey AS question_id, l_partkey AS id FROM sales)
     SELECT question_id, id, id % 2 = 0 AS vector, id % 3 = 0 AS graph, concat_ws('+', CASE WHEN id % 2 = 0 THEN 'vector' END, CASE WHEN id % 3 = 0 THEN 'graph' END) AS found_by FROM gold""")
 def route_trace(t: Tables) -> DataFrame:
     gold = t.sales.select(F.col("o_custkey").alias("question_id"), F.col("l_partkey").alias("id"))
     return retrieval.trace(gold, {"vector": gold.where("id % 2 = 0"), "graph": gold.where("id % 3 = 0")})
 
 
-@query("SELECT src, type, dst, src NOT LIKE 'nation:1%' AS added FROM edges WHERE type = 'PART_OF'")
+@query("SELECT src, type, dst, type = 'HAS_PART' OR extraction_count > 1 AS added FROM edges")
 def merge_edge_list(t: Tables) -> DataFrame:
-    some = t.edges.where("type = 'PART_OF'")
-    return writers.merge_edges(some.where("src LIKE 'nation:1%'"), some)
+    return writers.merge_edges(t.edges.where("type <> 'HAS_PART' AND extraction_count = 1"), t.edges)

@@ -86,15 +86,13 @@ WITH nodes AS (
     UNION ALL SELECT 'part:' || p_partkey, 'part', p_name FROM part
     UNION ALL SELECT 'customer:' || c_custkey, c_mktsegment, c_name FROM customer WHERE c_custkey % 10 = 0),
 sales AS (SELECT l_orderkey, l_partkey, l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-edges AS (
+edges AS MATERIALIZED (
     SELECT 'nation:' || n_nationkey AS src, 'PART_OF' AS type, 'region:' || n_regionkey AS dst, CAST(1 AS BIGINT) AS extraction_count, CAST(NULL AS VARCHAR[]) AS source_chunks FROM nation
     UNION ALL SELECT 'customer:' || c_custkey, 'BELONGS_TO_CATEGORY', 'nation:' || c_nationkey, 1, NULL FROM customer
     UNION ALL SELECT 'supplier:' || s_suppkey, 'BELONGS_TO_CATEGORY', 'nation:' || s_nationkey, 1, NULL FROM supplier
     UNION ALL SELECT 'customer:' || o_custkey, 'USES', 'part:' || l_partkey, count(*), list_sort(list(DISTINCT 'order:' || l_orderkey)) FROM sales GROUP BY o_custkey, l_partkey
     UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'HAS_PART', 'part:' || l_partkey, 1, NULL FROM lineitem),
-small_edges AS (
-    SELECT * FROM edges WHERE type = 'PART_OF' OR (type IN ('USES', 'BELONGS_TO_CATEGORY') AND src IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey < 5))),
-mentions AS (
+mentions AS MATERIALIZED (
     SELECT 'order:' || l_orderkey AS chunk_id, 'customer:' || o_custkey AS node_id FROM sales
     UNION SELECT 'order:' || l_orderkey, 'part:' || l_partkey FROM sales
     UNION SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey FROM sales),
@@ -103,11 +101,8 @@ lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, ge
 chunks AS (
     SELECT sha256(source || chr(10) || text) AS chunk_id, source, CAST(first(page ORDER BY doc_id, page) AS INTEGER) AS page, text
     FROM lines WHERE trim(text) <> '' GROUP BY source, text),
-both_ways AS (
+both_ways AS MATERIALIZED (
     SELECT src AS a, dst AS b, type, src || '|' || type || '|' || dst AS edge_id, extraction_count FROM edges
     UNION ALL SELECT dst, src, type, src || '|' || type || '|' || dst, extraction_count FROM edges WHERE src <> dst),
-small_ways AS (
-    SELECT src AS a, dst AS b, type, src || '|' || type || '|' || dst AS edge_id, extraction_count FROM small_edges
-    UNION ALL SELECT dst, src, type, src || '|' || type || '|' || dst, extraction_count FROM small_edges WHERE src <> dst),
-questions AS (SELECT conv_id AS question_id, arg_min(text, turn) AS text FROM conversations WHERE conv_id < 20 AND role = 'user' GROUP BY conv_id)
+questions AS (SELECT conv_id || ':' || turn AS question_id, conv_id, text FROM conversations WHERE role = 'user')
 """

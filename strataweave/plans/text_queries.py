@@ -66,7 +66,7 @@ def threshold_facts(t: Tables) -> DataFrame:
     return conditions.route(asked, facts, 20).select("question_id", F.col("fact_id").cast("long").alias("event_id"), "value_num")
 
 
-@query("""SELECT src, type, dst, CASE type WHEN 'PART_OF' THEN src || 'は' || dst || 'の一部である' WHEN 'USES' THEN src || 'は' || dst || 'を使用する' WHEN 'BELONGS_TO_CATEGORY' THEN src || 'は' || dst || 'に属する' ELSE src || 'は' || dst || 'を含む' END AS sentence FROM small_edges""")
+@query("""SELECT src, type, dst, CASE type WHEN 'PART_OF' THEN src || 'は' || dst || 'の一部である' WHEN 'USES' THEN src || 'は' || dst || 'を使用する' WHEN 'BELONGS_TO_CATEGORY' THEN src || 'は' || dst || 'に属する' ELSE src || 'は' || dst || 'を含む' END AS sentence FROM edges""")
 def triple_sentences(t: Tables) -> DataFrame:
     return t.edges.select("src", "type", "dst", tx.triple_sentence(F.col("src"), F.col("type"), F.col("dst")).alias("sentence"))
 
@@ -94,7 +94,7 @@ def prediction_stats(t: Tables) -> DataFrame:
     return parts
 
 
-@query("""WITH a AS (SELECT lang, lower(regexp_replace(d.text, '[\\s\\p{P}]', '', 'g')) AS p, lower(regexp_replace(b.text, '[\\s\\p{P}]', '', 'g')) AS g FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.doc_id < 300)
+@query("""WITH a AS (SELECT lang, lower(regexp_replace(d.text, '[\\s\\p{P}]', '', 'g')) AS p, lower(regexp_replace(b.text, '[\\s\\p{P}]', '', 'g')) AS g FROM documents d JOIN (SELECT row_number() OVER (ORDER BY item_id, text) - 1 AS at, text FROM benchmark) b ON b.at = d.doc_id % (SELECT count(*) FROM benchmark))
     SELECT lang, count(*) AS n, round(avg(CASE WHEN p = g THEN 1.0 ELSE 0.0 END), 9) AS exact, round(avg(CASE WHEN g <> '' AND contains(p, g) THEN 1.0 ELSE 0.0 END), 9) AS contained FROM a GROUP BY lang""", prelude=False)
 def answer_matches(t: Tables) -> DataFrame:
     at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id", "text")) - 1
@@ -141,6 +141,6 @@ def entity_documents(t: Tables) -> DataFrame:
     return t.read("customer").select(tx.entity_document(F.col("c_name"), F.col("c_mktsegment"), properties, F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("text"))
 
 
-@query("SELECT src || '、k。' || src || ' ' || type || ' ' || dst AS text FROM small_edges")
+@query("SELECT src || '、k。' || src || ' ' || type || ' ' || dst AS text FROM edges")
 def relation_documents(t: Tables) -> DataFrame:
     return t.edges.select(tx.relation_document(F.array("src", F.lit("k")), F.col("src"), F.col("type"), F.col("dst")).alias("text"))
