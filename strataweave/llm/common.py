@@ -22,13 +22,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``. Only where that is unset (tests in
-    one JVM) a temporary folder of this machine takes its place.
+    The folder is ``spark.checkpoint.dir``. Where that is unset it is an error,
+    but in one JVM (tests), where a temporary folder of this machine will do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _LOCAL_SCRATCH.setdefault(app, "file://" + tempfile.mkdtemp(prefix="strataweave-"))
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _LOCAL_SCRATCH.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="strataweave-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -16,8 +16,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     (Kiveris et al., "Connected components in MapReduce and beyond") alternate
     until no edge changes; each step is an aggregation and a join, its result is
     written. The neighbours of a node that very many share are not brought
-    together: its smallest one is broadcast to them. Loops (a = b) keep single
-    nodes. An empty table gives no rows.
+    together: its smallest one is dealt out to them. Loops (a = b) keep single
+    nodes. An empty table gives no rows. Rounds grow with the logarithm of the
+    nodes; if ``most_rounds`` are not enough, that is an error.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "component-edges")
@@ -35,4 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before, n = state, state[0]
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -27,10 +27,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, partitions, written
+from .common import bounded, free_name, partitions, written
 from .components import components
 from .exact_dedup import join_groups, member_filter, with_alarm
 
@@ -167,22 +167,31 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 5_000) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def _row(text: str) -> Column:
+    """128 bits of doc_id and text, by which a row is found again, also without doc_id."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.struct(F.xxhash64(doc_id, F.col(text)).alias("a"), F.xxhash64(F.col(text), doc_id, F.lit(1)).alias("b"))
+
+
+def _located(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(text).alias("row"), F.col(text).alias("text"))
+
+
 def _signed(docs: DataFrame, n: int, text: str) -> DataFrame:
-    """``doc_id, key, size, signature``; key: a digest of the set, null without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("size", pa.int64()), ("signature", pa.binary())])
+    """``doc_id, row, key, size, signature``; key: a digest of the set, null without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.struct([("a", pa.int64()), ("b", pa.int64())])), ("key", pa.binary()), ("size", pa.int64()), ("signature", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                grams = shingle_set(batch.column(1)[k].as_py(), n)
-                doc_id = batch.column(0)[k].as_py()
+            for k, (doc_id, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                grams = shingle_set(batch.column(2)[k].as_py(), n)
                 if len(grams):
-                    yield doc_id, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), signature(grams).tobytes()
+                    yield doc_id, row, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), signature(grams).tobytes()
                 else:
-                    yield doc_id, None, 0, None
+                    yield doc_id, row, None, 0, None
 
     work = lambda batches: _batches(rows(batches), schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(work, "doc_id long, key binary, size long, signature binary")
+    return _located(docs, text).transform(bounded).mapInArrow(work, "doc_id long, row struct<a:long,b:long>, key binary, size long, signature binary")
 
 
 def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -213,20 +222,14 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, text: str, threshold:
     totals = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
     blocks = totals.select("cluster", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks"))
     placed = written(
-        members.join(blocks, "cluster").select("key", "doc_id", "cluster", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")),
+        members.join(blocks, "cluster").select("key", "row", "cluster", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")),
         "join-members",
     )
-    # only documents that can be members meet the shuffle; the filter's size is fixed
-    known = member_filter(placed.select(F.col("doc_id").alias("key")))
-    texts = with_alarm(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), F.col("doc_id"), known).where("alarm").drop("alarm")
-    # a class without any doc_id has its text fetched by its set's key
-    nameless = docs.where(F.col("doc_id").cast("long").isNull()).select(F.col(text).alias("text")).transform(bounded)
-    nameless = nameless.mapInArrow(lambda batches: _batches(_keyed(batches, n), pa.schema([("key", pa.binary()), ("text", pa.string())]), 64), "key binary, text string")
-    nameless = nameless.groupBy("key").agg(F.first("text").alias("text")).join(placed.where("doc_id IS NULL"), "key")
+    # only rows that can be members meet the shuffle; the filter's size is fixed
+    known = member_filter(placed.select(F.col("row").alias("key")))
+    texts = with_alarm(_located(docs, text), F.col("row"), known).where("alarm").groupBy("row").agg(F.first("text").alias("text"))
     met = (
-        texts.join(placed, "doc_id")
-        .select("cluster", "block", "blocks", "key", "text")
-        .unionByName(nameless.select("cluster", "block", "blocks", "key", "text"))
+        texts.join(placed, "row")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "text")
     )
@@ -234,7 +237,7 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, text: str, threshold:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (_, i, j), found in _groups(_with_sets(batches, n), 3):
-            sets = {m[1]: m for m in found if m[2] is not None}  # a text whose set isn't the key's belongs to another row of this doc_id
+            sets = {m[1]: m for m in found if m[2] is not None}  # a text whose set isn't the key's has another's hash by chance
             found = sorted(sets.values(), key=lambda m: (m[0], m[1]))
             split = sum(m[0] == i for m in found) if i != j else None
             if not found or split in (0, len(found)):
@@ -246,14 +249,6 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, text: str, threshold:
     return met.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block").transform(bounded).mapInArrow(work, "a binary, b binary, links long")
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
-    """``key, text`` of the texts with words."""
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text and len(grams := shingle_set(text, n)):
-                yield xxhash.xxh3_128_digest(grams.tobytes()), text
-
-
 def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Rows ``cluster, i, j, block, key, text`` with the text turned into its set, where it is the key's."""
 
@@ -312,35 +307,47 @@ def near_duplicates(
     ``same_set`` counts the rows with its set. ``class_id`` is the smallest
     doc_id among all that chains of links join, ``class_size`` their rows. Texts
     without words (null, empty) have no links and stay alone, also from each
-    other. Rows without doc_id count, but do not name a class unless nothing
-    else does. Repeated rows belong to the same class. Other columns are not
+    other. Rows without doc_id count and are linked like any other, but do not
+    name a class unless nothing else does. Repeated rows belong to the same
+    class. Long texts are turned into their sets whole. Other columns are not
     read; an empty table gives no rows.
     """
+    return _classes(docs, threshold, n, tolerance, text, block_sets, block_grams).drop("row", "keeper")
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, tolerance: float, text: str, block_sets: int, block_grams: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with their hash and that of the row that stands for the class."""
     signed = written(_signed(docs, n, text), "join-signatures")
     some = signed.where("key IS NOT NULL")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("same_set"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    classes = some.groupBy("key").agg(first, F.min("row").alias("row"), F.count(F.lit(1)).alias("same_set"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     classes = written(classes, "join-classes")
     clusters = components(_candidates(classes, threshold, tolerance))
-    members = classes.join(clusters.withColumnRenamed("node", "key").withColumnRenamed("component", "cluster"), "key").select("key", "doc_id", "size", "cluster")
+    members = classes.join(clusters.withColumnRenamed("node", "key").withColumnRenamed("component", "cluster"), "key").select("key", "row", "size", "cluster")
     checked = written(_verified(docs, members, n, text, threshold, block_sets, block_grams), "join-links")
     linked = components(checked.select("a", "b")).withColumnRenamed("node", "key").withColumnRenamed("component", "root")
     links = checked.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
-    named = classes.select("key", "doc_id", "same_set").join(linked, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    roots = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("same_set").alias("class_size"))
-    table = written(named.join(roots, "root").select("key", "class_id", "class_size", "same_set", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "join-table")
-    found = join_groups(some.select("doc_id", "key"), table, "key", "same_set", signed.count()).select("doc_id", "class_id", "class_size", "same_set", "links")
+    named = classes.select("key", "first", "same_set").join(linked, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = named.groupBy("root").agg(F.min("first").alias("first"), F.sum("same_set").alias("class_size"))
+    roots = roots.select("root", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("keeper"))
+    table = written(named.join(roots, "root").select("key", "class_id", "class_size", "same_set", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "keeper"), "join-table")
+    found = join_groups(some.select("doc_id", "row", "key"), table, "key", "same_set", signed.count()).select("doc_id", "class_id", "class_size", "same_set", "links", "row", "keeper")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    alone = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("same_set"), none.alias("links"))
+    alone = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("same_set"), none.alias("links"), "row", F.col("row").alias("keeper"))
     return found.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller doc_id.
+def keep_one(
+    docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, text: str = "text", block_sets: int = 1024, block_grams: int = 1_000_000
+) -> DataFrame:
+    """One row of each class of ``docs`` with all columns: that of the smallest doc_id, a missing one last.
 
-    Rows in classes of one are never dropped; all columns stay. A doc_id stands
-    for its rows: those of a dropped one all go, those of the kept one all stay.
-    Rows without doc_id stay.
+    Rows in classes of one are never dropped. Other rows of a dropped doc_id are
+    not touched. Rows of equal doc_id and text are one row here: they all stay or
+    all go.
     """
-    found = near_duplicates(docs, **options)
-    dropped = written(found.where("doc_id <> class_id").select("doc_id").distinct(), "join-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    found = _classes(docs, threshold, n, tolerance, text, block_sets, block_grams)
+    dropped = written(found.where("row <> keeper").select("row").distinct(), "join-dropped")
+    name = free_name(docs, "row")
+    located = docs.withColumn(name, _row(text))
+    return located.join(dropped.withColumnRenamed("row", name), name, "left_anti").select(*docs.columns)

@@ -79,6 +79,20 @@ def test_join_of_odd_tables(spark, clashing, empty):
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4, None, 6, 7, 8}
 
 
+def test_only_the_near_copies_go(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*words, "end"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, " ".join(words)), (2, near), (2, other), (None, near + " too"), (None, other + " more"), (None, "alone here"), (-4, other + " again")]
+    kept = nj.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([rows[0], rows[5], rows[6]])
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        components(chain, most_rounds=1).count()
+
+
 def test_pruning_keeps_similar_pairs():
     least = nj.least_agreements(0.8, 1e-6)
     assert all(0 < m < n for n, m in least.items())
