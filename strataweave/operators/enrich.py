@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +43,15 @@ RELATION_RULES: dict[str, tuple[str, bool]] = {
 }
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sees that checkpoints have a folder: the session's, or in one JVM alone (tests) a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strataweave-"))
+
+
 def mention_counts(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
     """``id, mention_count``: different chunks that mention a node, 0 kept."""
     counts = mentions.groupBy(F.col("node_id").alias("id")).agg(F.count_distinct("chunk_id").alias("mention_count"))
@@ -54,12 +63,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, most_round
 
     The rank of nodes without outgoing edges is spread over all. Stops when the
     ranks change by less than nodes times ``tolerance`` in all; without a
-    tolerance after ``most_rounds``. Returns no rows if it doesn't get there.
+    tolerance after ``most_rounds``. Not getting there is an error.
     The ranks of each round are written to the checkpoint folder: the next one reads them thrice.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataweave-"))
+    checkpoint_folder(nodes.sparkSession)
     ids = nodes.select("id").distinct().persist()
     n = ids.count()
     if not n:
@@ -81,7 +88,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, most_round
         ranks = new.select("id", "dangling", "rank")
         if change < n * tolerance:
             return ranks.select("id", F.col("rank").alias("pagerank"))
-    return ranks.select("id", F.col("rank").alias("pagerank")) if tolerance is None else ranks.select("id", F.col("rank").alias("pagerank")).limit(0)
+    if tolerance is not None:
+        raise RuntimeError(f"the ranks still changed after {most_rounds} rounds")
+    return ranks.select("id", F.col("rank").alias("pagerank"))
 
 
 def search_keys(nodes: DataFrame, normalize=tx.normalize_entity) -> DataFrame:
@@ -157,10 +166,11 @@ def kana_mapping(nodes: DataFrame) -> DataFrame:
 
 
 def connected(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """``node, component`` (its smallest node) by passing the smallest name along edges ``a, b``, with shortcuts."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataweave-"))
+    """``node, component`` (its smallest node) by passing the smallest name along edges ``a, b``, with shortcuts.
+
+    Not settling in ``most_rounds`` is an error.
+    """
+    checkpoint_folder(pairs.sparkSession)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
     names = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
     for _ in range(most_rounds):
@@ -171,8 +181,9 @@ def connected(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
         changed = new.where("old <> component").limit(1).count()
         names = new.select("node", "component")
         if not changed:
-            break
-    return names
+            both.unpersist()
+            return names
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def direct_clusters(pairs: DataFrame, scores: DataFrame, most: int = 5) -> DataFrame:
@@ -238,7 +249,7 @@ def canonical_relations(similar: DataFrame, least: float = 0.8, shortlist: int =
     return similar.withColumn("rank", rank).where(F.col("rank") <= shortlist).withColumn("chosen", (F.col("rank") == 1) & (F.col("score") >= least))
 
 
-def once(edges: DataFrame, order: Column) -> DataFrame:
-    """The first edge of each (src, type, dst)."""
-    rank = F.row_number().over(Window.partitionBy(*EDGE_KEY).orderBy(order))
+def once(edges: DataFrame, order: Column, keys: list[str] = EDGE_KEY) -> DataFrame:
+    """The first edge of each (src, type, dst), or of other keys."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return edges.withColumn("_n", rank).where("_n = 1").drop("_n")

@@ -111,10 +111,10 @@ def judge_distribution(scores: DataFrame) -> DataFrame:
     return scores.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg(s.cast("double")).alias("mean"), F.count_if(s == 2).alias("full"), F.count_if(s == 1).alias("partial"), F.count_if(s == 0).alias("none"))
 
 
-def prediction_stats(records: DataFrame, refusal: str) -> DataFrame:
-    """``n, refusals, empty_references, mean_references``."""
+def prediction_stats(records: DataFrame, refusal: str, group: list[str] | None = None) -> DataFrame:
+    """``n, refusals, empty_references, mean_references`` of all records or of each group."""
     refs = F.size(F.coalesce("predicted", F.array().cast("array<string>")))
-    return records.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer").rlike(refusal)).alias("refusals"), F.count_if(refs == 0).alias("empty_references"), F.avg(refs.cast("double")).alias("mean_references"))
+    return records.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer").rlike(refusal)).alias("refusals"), F.count_if(refs == 0).alias("empty_references"), F.avg(refs.cast("double")).alias("mean_references"))
 
 
 def recurrence(keys: DataFrame, least: int = 2) -> DataFrame:

@@ -56,15 +56,20 @@ def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return merged_edges(moved.where(~(changed & (src == dst))).select(src.alias("src"), "type", dst.alias("dst"), "extraction_count", "source_chunks"))
 
 
-def settled(mapping: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """``old, new`` with chains followed to their end (a to b and b to c: a to c)."""
+def settled(mapping: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """``old, new`` with chains followed to their end (a to b and b to c: a to c); each round doubles the steps.
+
+    A circle has no end: not settling in ``most_rounds`` is an error.
+    """
+    cut = mapping.sparkSession.sparkContext.getCheckpointDir() is not None
     for _ in range(most_rounds):
         step = mapping.select(F.col("old").alias("new"), F.col("new").alias("next"))
-        mapping = mapping.join(step, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved"))
-        if mapping.where("moved").limit(1).count() == 0:
-            return mapping.drop("moved")
-        mapping = mapping.drop("moved").checkpoint() if mapping.sparkSession.conf.get("spark.checkpoint.dir", None) else mapping.drop("moved")
-    return mapping
+        moved = mapping.join(step, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved"))
+        moved = moved.checkpoint() if cut else moved
+        mapping = moved.drop("moved")
+        if moved.where("moved").limit(1).count() == 0:
+            return mapping
+    raise RuntimeError(f"the mapping has chains that do not end in {most_rounds} rounds")
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -231,12 +231,11 @@ def export_keys(t: Tables) -> DataFrame:
 
 @query("SELECT src, max(type) AS type, dst FROM edges GROUP BY src, dst")
 def keep_first_edge(t: Tables) -> DataFrame:
-    ranked = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("type")))
-    return t.edges.withColumn("n", ranked).where("n = 1").select("src", "type", "dst")
+    return enrich.once(t.edges, F.desc("type"), ["src", "dst"]).select("src", "type", "dst")
 
 
-@query("""+ both AS (SELECT src, type, dst FROM edges UNION ALL SELECT dst, 'PART_OF', src FROM edges WHERE type = 'HAS_PART')
-    SELECT a.src, a.dst, a.type AS type_a, b.type AS type_b FROM both a JOIN both b ON a.src = b.dst AND a.dst = b.src WHERE a.type < b.type""")
+@query("""+ said AS (SELECT src, type, dst FROM edges UNION ALL SELECT dst, 'PART_OF', src FROM edges WHERE type = 'HAS_PART')
+    SELECT a.src, a.dst, a.type AS type_a, b.type AS type_b FROM said a JOIN said b ON a.src = b.dst AND a.dst = b.src WHERE a.type < b.type""")
 def inverse_pairs(t: Tables) -> DataFrame:
     """The graph with every HAS_PART said the other way round as well."""
     stored = t.edges.select("src", "dst", "type")

@@ -24,4 +24,4 @@ def query(sql: str | None = None, prelude: bool = True) -> Callable:
     return register
 
 
-from . import graph_queries, search_queries, text_queries  # noqa: E402, F401
+from . import graph_queries, operator_queries, search_queries, text_queries  # noqa: E402, F401

@@ -90,8 +90,7 @@ def event_properties(t: Tables) -> DataFrame:
 @query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, 'Licensed under')) AS refusals, CAST(0 AS BIGINT) AS empty_references, 1.0::DOUBLE AS mean_references FROM documents GROUP BY source""", prelude=False)
 def prediction_stats(t: Tables) -> DataFrame:
     rows = t.read("documents").select("source", F.col("text").alias("answer"), F.array("source").alias("predicted"))
-    parts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer").rlike("Licensed under")).alias("refusals"), F.count_if(F.size("predicted") == 0).alias("empty_references"), F.avg(F.size("predicted").cast("double")).alias("mean_references"))
-    return parts
+    return evaluate.prediction_stats(rows, "Licensed under", ["source"])
 
 
 @query("""WITH a AS (SELECT lang, lower(regexp_replace(d.text, '[\\s\\p{P}]', '', 'g')) AS p, lower(regexp_replace(b.text, '[\\s\\p{P}]', '', 'g')) AS g FROM documents d JOIN (SELECT row_number() OVER (ORDER BY item_id, text) - 1 AS at, text FROM benchmark) b ON b.at = d.doc_id % (SELECT count(*) FROM benchmark))
