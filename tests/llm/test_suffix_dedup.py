@@ -1,7 +1,12 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
+import numpy as np
+
 import strataweave.llm.induced as induced
 from strataweave.llm import suffix_dedup
 
@@ -13,9 +18,11 @@ def starts(segments, depth):
 
 def test_induced_sorting_matches_brute_force(monkeypatch):
     rng = random.Random(0)
-    for trial in range(250):
-        if trial == 120:
-            monkeypatch.setattr(induced, "BLOCK", 7)
+    for trial in range(300):
+        # small blocks, queues and base cases: several levels of recursion, runs on disk, keys larger than a block
+        monkeypatch.setattr(induced, "BLOCK", rng.choice([3, 7, 1 << 16]))
+        monkeypatch.setattr(induced, "HELD", rng.choice([5, 20, 1 << 18]))
+        monkeypatch.setattr(induced, "FEW", rng.choice([2, 8, 1 << 16]))
         alphabet = rng.choice([b"ab", b"abc", b"\x00\xffab", bytes(range(256)), b"a"])
         depth = rng.choice([1, 2, 3, 5, 8, 20])
         segments = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 8))]
@@ -25,14 +32,47 @@ def test_induced_sorting_matches_brute_force(monkeypatch):
         assert [r.tolist() for r in induced.repeated_starts(segments, depth)] == starts(segments, depth)
 
 
-def test_queues_spill_to_disk_in_order(tmp_path):
-    import numpy as np
+def test_a_shard_larger_than_memory_is_sorted_on_disk(tmp_path):
+    """A process that may take 40 MB more than it has sorts 4 MB of text, which in memory would need ten arrays of 8 bytes a position."""
+    script = f"""
+import random, resource, sys
+sys.path.insert(0, {str(tmp_path.parent)!r}); sys.path.insert(0, {os.getcwd()!r})
+import strataweave.llm.induced as induced
+induced.BLOCK, induced.HELD, induced.FEW = 1 << 14, 1 << 16, 1 << 15
+rng = random.Random(1)
+folder = {str(tmp_path)!r}
+shard, passage = induced.Shard(folder), rng.randbytes(700)
+for i in range(4000):
+    shard.add(rng.randbytes(1000) if i % 100 else rng.randbytes(150) + passage + rng.randbytes(150))
+data = int(next(l for l in open('/proc/self/status') if l.startswith('VmData')).split()[1]) * 1024
+resource.setrlimit(resource.RLIMIT_DATA, (data + (40 << 20),) * 2)
+found = {{}}
+for owner, at in shard.repeated(400):
+    for o, a in zip(owner.tolist(), at.tolist()):
+        found.setdefault(o, []).append(a)
+assert sorted(found) == list(range(0, 4000, 100)), len(found)
+assert all(set(range(150, 451)) <= set(f) <= set(range(148, 453)) for f in found.values())  # a neighbouring byte may agree by chance
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=300)
 
-    queue = induced.BucketQueue(str(tmp_path), "q", 3, memory=10)
-    for i in range(0, 60, 4):
-        queue.push(1, np.array([(i + k, k) for k in range(4)], induced._TUPLE))
-    assert [t["at"] for b in queue.pop_all(1) for t in b] == list(range(60))
-    assert [t["at"] for b in queue.backwards(1) for t in b] == list(range(59, -1, -1))
+
+def test_queues_spill_to_disk_in_order(tmp_path):
+    rng = random.Random(4)
+    queue, expected, at = induced.TupleQueue(str(tmp_path), "q", held=10), [], 0
+    for _ in range(40):
+        keys = sorted(rng.randint(0, 9) for _ in range(rng.randint(1, 6)))
+        expected += [(k, at + i) for i, k in enumerate(keys)]
+        queue.push((np.array(keys, np.uint32), np.arange(at, at + len(keys)), np.zeros(len(keys), np.uint16)))
+        at += len(keys)
+    found = []
+    assert queue.on_disk
+    while (low := queue.least()) >= 0:
+        high = queue.bound(7)
+        block = queue.peek(high) if high > low else queue.take(low, 3)
+        if high > low:
+            queue.drop(high)
+        found += zip(block[0].tolist(), block[1].tolist())
+    assert found == sorted(expected)
 
 
 def brute(rows, length):
@@ -50,6 +90,7 @@ def brute(rows, length):
 def check(docs, length, **options):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     found = suffix_dedup.digest(docs, length, shard_bytes=2_000, **options).collect()
+    assert all(r.repeats == (r.n_removed > 0) for r in found)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(rows, length)
 
 
@@ -69,6 +110,7 @@ def test_a_common_passage_is_parted_by_offset(spark):
     rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 90))) + passage + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 90)))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     check(docs, 90, together=2)
+    check(docs, 90, together=1)  # one offset, parted by the strings' hashes
 
 
 def test_removal_of_odd_tables(spark, clashing, empty):
