@@ -42,6 +42,7 @@ def check_pii(docs):
         expected[(r.doc_id, *(n[k] for k in BASE), hashlib.sha256(joined.encode()).hexdigest())] += 1
     found = pii.digest(docs).collect()
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found) == expected
+    assert all(r.has_pii == (r.spans != "") for r in found)
     texts = {r.doc_id: r.text or "" for r in rows}
     for r in found:
         assert {f"{k}:{a}:{b}" for a, _, b, k in base_spans(texts[r.doc_id])} <= set(r.spans.split(","))
@@ -55,6 +56,27 @@ def test_base_spans_match_brute_force(spark):
     check_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_trees_know_real_cards_by_their_looks(spark):
+    """Valid cards are introduced and grouped, other digits are not; the checksum is no feature."""
+    rng = random.Random(8)
+
+    def card(good):
+        while True:
+            d = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(d) == good:
+                return d
+
+    rows = []
+    for i in range(600):
+        d = card(i % 2 == 0)
+        rows.append((i, f"pay by card {d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]} now" if i % 2 == 0 else f"build{rng.choice('xyz')} {d}{rng.choice(['a', 'b', ' '])}done"))
+    trained = pii.train(pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")))
+    n, share, recall = trained.measured["card"]
+    assert n > 150 and 0.4 < share < 0.7 and recall > 0.9 and trained.thresholds["card"] < 1
+    assert trained.thresholds["ip"] == 2.0  # nothing to calibrate on
+    assert not {"digits", "checksum", "largest", "length"} & set(pii.FEATURES)
+
+
 def test_pii_of_odd_tables(spark, messy, clashing, empty):
     assert pii.digest(clashing).count() == messy.count()
     assert pii.digest(empty).count() == 0
