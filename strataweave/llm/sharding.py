@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import partitions, written
+
 _MULTIPLIER = "2862933555777941757"
 
 
@@ -56,11 +58,13 @@ def assign_shards(docs: DataFrame, shards: int = 16, rows_per_cell: int = 250_00
 
     ``size`` is the text's bytes plus 1 (null: 1) and ``text_crc32`` that of its
     UTF-8 bytes (null: of none). The law is ``key``: doc_id and the number of
-    shards decide. ``slot`` counts a shard's rows from 0 without gaps. A shard
-    may be larger than a task can hold, so its rows are dealt into cells by a
-    hash of the row; each cell is ranked alone and starts where the cells before
-    it end. Cells grow in number with the rows, not in size. Equal rows get
-    different slots. A missing doc_id counts as key 0. No text is shuffled.
+    shards decide. ``slot`` counts a shard's rows
+    from 0 without gaps, by doc_id (missing ones first), then by the other
+    columns. A shard may be larger than a task can hold, so rows are dealt into
+    cells by ranges of that order; each cell is ranked alone and starts where the
+    cells before it end. Cells grow in number with the rows, not in size. Equal
+    rows get different slots. A missing doc_id counts as key 0. Long texts are
+    only measured and summed; no text is shuffled.
     """
     keyed = docs.select(
         F.col("doc_id"),
@@ -68,13 +72,14 @@ def assign_shards(docs: DataFrame, shards: int = 16, rows_per_cell: int = 250_00
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         jump_shards(F.col("doc_id"), shards).alias("walk"),
     ).select("doc_id", "size", "text_crc32", "walk.shard", "walk.grown_shard")
-    cells = max(1, -(-docs.count() // (rows_per_cell * shards)))
-    keyed = keyed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int"))
-    # shards x cells rows: one for every rows_per_cell documents
+    order = ["doc_id", "text_crc32", "size"]
+    cells = max(partitions(docs.sparkSession), -(-docs.count() // rows_per_cell))
+    keyed = written(written(keyed, "shard-rows").repartitionByRange(cells, "shard", *order).withColumn("cell", F.spark_partition_id()), "shard-cells")
+    # a row for each shard and cell: one for every rows_per_cell documents
     counts = keyed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy(*order))
     return (
         keyed.withColumn("rank", rank)
         .join(firsts, ["shard", "cell"])

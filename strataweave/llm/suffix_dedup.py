@@ -249,7 +249,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", shard
         "repeat-digests",
     )
     runs = written(_runs(texts, length), "repeat-runs")
-    filters = written(repeated_filter(runs.select(F.col("minimizer").alias("key"))), "repeat-filter")
+    filters = repeated_filter(runs.select(F.col("minimizer").alias("key")))
     runs = written(with_alarm(runs, F.col("minimizer"), filters).where("alarm OR inner").drop("alarm"), "repeat-candidates")
     # a minimizer's runs by content, with one place of each
     kinds = runs.groupBy("minimizer", "content").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.min(F.struct("key", "start", "strings")).alias("place"))
@@ -266,9 +266,9 @@ def repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", shard
     places = runs.select("key", "content", "start").distinct()
     spans = join_groups(places, table, "content", "n", runs.count()).select("key", "start", F.explode("ranges").alias("r"))
     spans = written(spans.select("key", (F.col("start") + F.col("r.from")).alias("start"), (F.col("start") + F.col("r.to") + (length - 1)).alias("end")), "repeat-spans")
-    again = with_alarm(texts, F.col("key"), written(member_filter(spans.select("key")), "repeat-filter")).where("alarm").groupBy("key").agg(F.first("text").alias("text"))
+    again = with_alarm(texts, F.col("key"), member_filter(spans.select("key"))).where("alarm").groupBy("key").agg(F.first("text").alias("text"))
     changed = written(_without(again, spans, length), "repeat-changed")
-    asked = with_alarm(slim, F.col("key"), written(member_filter(changed.select("key")), "repeat-filter"))
+    asked = with_alarm(slim, F.col("key"), member_filter(changed.select("key")))
     none = F.lit(0).cast("long")
     kind = "array<struct<start:long,end:long>>"
     clean = asked.where("NOT alarm").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast(kind).alias("removed"))

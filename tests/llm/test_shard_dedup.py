@@ -22,8 +22,8 @@ def test_jump_hash_matches_the_published_loop(spark):
     assert {r.doc_id: (r.shard, r.grown_shard) for r in rows} == {k: (jump(k, 16), jump(k, 17)) for k in keys}
     assert all(r.grown_shard in (r.shard, 16) for r in rows)
     for shard in range(16):
-        slots = sorted(r.slot for r in rows if r.shard == shard)
-        assert slots == list(range(len(slots)))
+        by_key = sorted(((r.doc_id, r.slot) for r in rows if r.shard == shard))
+        assert [slot for _, slot in by_key] == list(range(len(by_key)))  # many cells, one order
 
 
 def test_sharding_of_odd_rows(spark, messy, clashing, empty):
@@ -52,13 +52,21 @@ def test_exact_duplicates_match_brute_force(spark, clashing, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
-def test_a_full_filter_changes_nothing(spark):
+def test_a_joined_filter_changes_nothing(spark):
     rows = [(i, f"text {i % 70}" + " " * (i % 3)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = exact_dedup.exact_duplicates(docs, words=1).collect()
+    found = exact_dedup.exact_duplicates(docs, most_words=1).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found) == brute(rows)
 
 
+def test_filters_grow_with_what_they_hold(spark):
+    keys = spark.range(40_000).selectExpr("id % 30000 AS key")
+    known = exact_dedup.repeated_filter(keys)
+    assert known.words == 1 << (10_000 * exact_dedup.BITS // 64).bit_length()
+    alarms = exact_dedup.with_alarm(keys.distinct(), keys["key"], known).selectExpr("sum(int(alarm AND key < 10000))", "sum(int(alarm AND key >= 10000))").head()
+    assert alarms[0] == 10_000 and alarms[1] < 1_000
+
+
 def test_large_groups_join_without_loss(spark):
     rows = [(i, "same" if i < 1500 else f"t{i}") for i in range(1800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
