@@ -150,3 +150,43 @@ def is_multihop(records: DataFrame) -> DataFrame:
     several = F.size(F.array_distinct("correct")) > 1
     named = F.lower(F.coalesce("question_type", F.lit(""))).rlike("multi|compositional|comparison") if "question_type" in records.columns else F.lit(False)
     return records.withColumn("multihop", several | named)
+
+
+def source_triples(edges: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``source, s, p, o``: for each source the edges both of whose ends its chunks mention.
+
+    Two joins on (node, source) pairs; the edges of a hub meet only the sources that mention it.
+    """
+    seen = mentions.join(chunks.select("chunk_id", "source"), "chunk_id").select("source", F.col("node_id").alias("s")).distinct()
+    spo = edges.select(F.col("src").alias("s"), F.col("type").alias("p"), F.col("dst").alias("o")).distinct()
+    return spo.join(seen, "s").join(seen.withColumnRenamed("s", "o"), ["source", "o"], "left_semi").select("source", "s", "p", "o")
+
+
+def _either_way(triples: DataFrame, symmetric: tuple[str, ...]) -> DataFrame:
+    spo = triples.select("s", "p", "o")
+    turned = spo.where(F.col("p").isin(list(symmetric))).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    return spo.unionByName(turned).distinct()
+
+
+def graded_recall(gold: DataFrame, found: DataFrame, symmetric: tuple[str, ...] = ("SAME_AS", "RELATED_TO")) -> DataFrame:
+    """``criticality, n, hits, recall`` of gold triples ``s, p, o, criticality``; symmetric relations match either way."""
+    known = _either_way(found, symmetric).withColumn("_hit", F.lit(1))
+    rows = gold.select("s", "p", "o", F.coalesce("criticality", F.lit("must_have")).alias("criticality")).distinct().join(known, ["s", "p", "o"], "left")
+    counts = rows.groupBy("criticality").agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"))
+    return counts.withColumn("recall", F.col("hits") / F.col("n"))
+
+
+def triple_differences(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """``s, p, o, kind``: hit, miss (in gold alone) or extra (found alone)."""
+    both = gold.select("s", "p", "o").distinct().withColumn("_g", F.lit(1)).join(found.select("s", "p", "o").distinct().withColumn("_f", F.lit(1)), ["s", "p", "o"], "full")
+    return both.select("s", "p", "o", F.when(F.col("_f").isNull(), "miss").when(F.col("_g").isNull(), "extra").otherwise("hit").alias("kind"))
+
+
+def judge_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row ``n, agreed, share, kappa`` of two judges' verdicts (``question, ok``) on the questions both judged."""
+    rows = a.select("question", F.col("ok").alias("a")).join(b.select("question", F.col("ok").alias("b")), "question")
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("agreed"), F.count_if(F.col("a")).alias("_a"), F.count_if(F.col("b")).alias("_b"))
+    n = F.col("n").cast("double")
+    chance = (F.col("_a") * F.col("_b") + (n - F.col("_a")) * (n - F.col("_b"))) / (n * n)
+    share = F.when(n > 0, F.col("agreed") / n)
+    return one.select("n", "agreed", share.alias("share"), F.when(chance < 1, (share - chance) / (1 - chance)).alias("kappa"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import enrich, evaluate, linking, maintain, model, paths, retrieval
+from ..operators import enrich, evaluate, linking, maintain, model, paths, reports, retrieval
 from ..sources import writers
 from .registry import query
 from .tables import Tables
@@ -14,13 +14,12 @@ from .tables import Tables
 
 @query("SELECT source, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM chunks GROUP BY source")
 def source_chunk_counts(t: Tables) -> DataFrame:
-    counts = t.chunks.groupBy(F.coalesce("source", F.lit("(unknown)")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return reports.chunks_by_source(t.chunks)
 
 
 @query("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
 def graph_stats(t: Tables) -> DataFrame:
-    return t.nodes.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(t.edges.agg(F.count(F.lit(1)).alias("edges"))))  # one row each
+    return reports.graph_stats(t.nodes, t.edges)
 
 
 @query("SELECT n.id, count(DISTINCT m.chunk_id) AS mention_count FROM (SELECT DISTINCT id FROM nodes) n LEFT JOIN mentions m ON m.node_id = n.id GROUP BY n.id")
@@ -35,13 +34,12 @@ def degree_topk(t: Tables) -> DataFrame:
 
 @query("SELECT label, count(*) AS n FROM nodes GROUP BY label")
 def label_histogram(t: Tables) -> DataFrame:
-    return t.nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return reports.label_histogram(t.nodes)
 
 
 @query("SELECT type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM edges GROUP BY type")
 def relation_histogram(t: Tables) -> DataFrame:
-    counts = t.edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
+    return reports.relation_histogram(t.edges)
 
 
 @query("SELECT id, count(*) AS n, list_sort(list(DISTINCT label)) AS labels FROM nodes GROUP BY id HAVING count(*) > 1")
@@ -52,7 +50,7 @@ def duplicate_ids(t: Tables) -> DataFrame:
 @query("SELECT label, count(*) AS n FROM nodes ANTI JOIN (SELECT src AS id FROM edges WHERE type = 'USES' UNION ALL SELECT dst FROM edges WHERE type = 'USES') u USING (id) GROUP BY label")
 def isolated_nodes(t: Tables) -> DataFrame:
     """Nodes that no sale joins to anything."""
-    return t.nodes.join(paths.degrees(t.edges.where("type = 'USES'")), "id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return reports.label_histogram(reports.isolated(t.nodes, t.edges.where("type = 'USES'")))
 
 
 @query("""
@@ -239,9 +237,8 @@ def keep_first_edge(t: Tables) -> DataFrame:
 def inverse_pairs(t: Tables) -> DataFrame:
     """The graph with every HAS_PART said the other way round as well."""
     stored = t.edges.select("src", "dst", "type")
-    a = stored.unionByName(stored.where("type = 'HAS_PART'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("PART_OF").alias("type")))
-    b = a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("type").alias("type_b"))
-    return a.withColumnRenamed("type", "type_a").join(b, ["src", "dst"]).where("type_a < type_b")
+    turned = stored.where("type = 'HAS_PART'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("PART_OF").alias("type"))
+    return reports.inverse_pairs(stored.unionByName(turned))
 
 
 _OLD, _NEW = "SELECT chunk_id FROM order_chunks WHERE CAST(split_part(chunk_id, ':', 2) AS BIGINT) % 3 <> 0", "SELECT chunk_id FROM order_chunks WHERE CAST(split_part(chunk_id, ':', 2) AS BIGINT) % 4 <> 0"
@@ -349,8 +346,7 @@ def recurrence(t: Tables) -> DataFrame:
 
 @query("SELECT src_label AS label, count(*) AS n FROM (SELECT DISTINCT split_part(src, ':', 1) AS src_label, src FROM edges UNION SELECT DISTINCT split_part(dst, ':', 1), dst FROM edges) GROUP BY src_label")
 def legend_counts(t: Tables) -> DataFrame:
-    ends = t.edges.select(F.col("src").alias("id")).unionByName(t.edges.select(F.col("dst").alias("id"))).distinct()
-    return ends.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return reports.legend_counts(t.edges, F.split_part("id", F.lit(":"), F.lit(1)))
 
 
 @query("""+ n AS (SELECT DISTINCT p_brand AS label, p_name AS id FROM part),
@@ -377,9 +373,7 @@ def connected_components(t: Tables) -> DataFrame:
 
 @query("""SELECT chunk_id, source, CAST(floor((rn - 1) / 20) * 20 AS BIGINT) AS page_offset FROM (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS rn FROM chunks)""")
 def chunk_page_focus(t: Tables) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("chunk_id"))
-    rows = t.chunks.withColumn("rn", rn)
-    return rows.select("chunk_id", "source", (F.floor((F.col("rn") - 1) / 20) * 20).cast("long").alias("page_offset"))
+    return reports.page_offsets(t.chunks, 20)
 
 
 @query("SELECT source, page, count(*) AS n FROM chunks GROUP BY source, page")
@@ -389,8 +383,7 @@ def chunk_dedupe(t: Tables) -> DataFrame:
 
 @query("""SELECT source, chunk_id, page FROM (SELECT *, min(page) OVER (PARTITION BY source) AS f FROM chunks) WHERE page <= f + 1""")
 def first_pages(t: Tables) -> DataFrame:
-    first = F.min("page").over(Window.partitionBy("source"))
-    return t.chunks.withColumn("f", first).where(F.col("page") <= F.col("f") + 1).select("source", "chunk_id", "page")
+    return reports.first_pages(t.chunks).select("source", "chunk_id", "page")
 
 
 @query("SELECT src AS start, type, dst AS \"end\" FROM edges WHERE src IN ('nation:3', 'region:1') OR dst IN ('nation:3', 'region:1') ORDER BY 1, 2, 3 LIMIT 20")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import conditions, enrich, evaluate, linking, model, paths, retrieval
+from ..functions import vectors
+from ..operators import conditions, enrich, evaluate, linking, maintain, model, paths, reports, retrieval
 from ..sources import readers, writers
 from .registry import query
 from .tables import Tables
@@ -321,3 +322,81 @@ def fact_condition_bridge(t: Tables) -> DataFrame:
     both, one = F.array(cond("b", "gt", "y"), cond("a", "eq", "x")), F.array(cond("b", "gt", "y"))
     facts = t.read("events").where("user_id IS NOT NULL").select(F.col("event_id").alias("fact_id"), F.when(F.col("user_id") % 2 == 0, both).otherwise(one).alias("conditions"))
     return conditions.fact_conditions(facts).select("fact_id", "cond_id")
+
+
+@query("""+ seen AS (SELECT DISTINCT source, node_id FROM mentions JOIN order_chunks USING (chunk_id) WHERE source IN ('1-URGENT', '5-LOW'))
+    SELECT a.source, e.src AS s, e.type AS p, e.dst AS o FROM edges e JOIN seen a ON a.node_id = e.src JOIN seen b ON b.node_id = e.dst AND b.source = a.source""".replace(" WHERE source IN ('1-URGENT', '5-LOW')", ""))
+def source_triples(t: Tables) -> DataFrame:
+    return evaluate.source_triples(t.edges, t.mentions, t.order_chunks)
+
+
+_FOUND = """gold AS (SELECT DISTINCT src AS s, CASE WHEN type = 'HAS_PART' THEN 'RELATED_TO' ELSE type END AS p, dst AS o, CASE WHEN extraction_count > 1 OR type = 'HAS_PART' THEN 'must_have' ELSE 'should_have' END AS criticality FROM edges),
+    found AS (SELECT DISTINCT CASE WHEN type = 'HAS_PART' THEN dst ELSE src END AS s, CASE WHEN type = 'HAS_PART' THEN 'RELATED_TO' ELSE type END AS p, CASE WHEN type = 'HAS_PART' THEN src ELSE dst END AS o FROM edges WHERE (length(src) + length(dst)) % 2 = 0)"""
+
+
+def _gold_and_found(t: Tables) -> tuple[DataFrame, DataFrame]:
+    part = F.col("type") == "HAS_PART"
+    p = F.when(part, "RELATED_TO").otherwise(F.col("type")).alias("p")
+    weight = F.when((F.col("extraction_count") > 1) | part, "must_have").otherwise("should_have").alias("criticality")
+    gold = t.edges.select(F.col("src").alias("s"), p, F.col("dst").alias("o"), weight)
+    found = t.edges.where((F.length("src") + F.length("dst")) % 2 == 0)
+    return gold, found.select(F.when(part, F.col("dst")).otherwise(F.col("src")).alias("s"), p, F.when(part, F.col("src")).otherwise(F.col("dst")).alias("o"))
+
+
+@query(f"""+ {_FOUND}, known AS (SELECT s, p, o FROM found UNION SELECT o, p, s FROM found WHERE p = 'RELATED_TO')
+    SELECT criticality, count(*) AS n, count(k.s) AS hits, round(count(k.s) / count(*), 9) AS recall FROM gold g LEFT JOIN known k ON k.s = g.s AND k.p = g.p AND k.o = g.o GROUP BY criticality""")
+def graded_recall(t: Tables) -> DataFrame:
+    return evaluate.graded_recall(*_gold_and_found(t)).withColumn("recall", F.round("recall", 9))
+
+
+@query(f"""+ {_FOUND} SELECT s, p, o, CASE WHEN f IS NULL THEN 'miss' WHEN g IS NULL THEN 'extra' ELSE 'hit' END AS kind FROM (SELECT DISTINCT s, p, o, 1 AS g FROM gold) FULL JOIN (SELECT s, p, o, 1 AS f FROM found) USING (s, p, o)""")
+def triple_differences(t: Tables) -> DataFrame:
+    return evaluate.triple_differences(*_gold_and_found(t))
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS agreed, count(*) FILTER (WHERE a) AS x, count(*) FILTER (WHERE b) AS y FROM (SELECT quality = 1 AS a, toxic = 1 AS b FROM labels)),
+    k AS (SELECT *, agreed / n AS share, (x * y + (n - x) * (n - y)) / (CAST(n AS DOUBLE) * n) AS chance FROM c)
+    SELECT n, agreed, round(share, 9) AS share, round((share - chance) / (1 - chance), 9) AS kappa FROM k""", prelude=False)
+def judge_agreement(t: Tables) -> DataFrame:
+    judged = lambda c: t.read("labels").select(F.col("doc_id").alias("question"), (F.col(c) == 1).alias("ok"))
+    return evaluate.judge_agreement(judged("quality"), judged("toxic")).select("n", "agreed", F.round("share", 9).alias("share"), F.round("kappa", 9).alias("kappa"))
+
+
+@query("SELECT vec_id, 'part:' || (vec_id - vec_id % 3) AS entity_id FROM embeddings", prelude=False)
+def rewired_vectors(t: Tables) -> DataFrame:
+    """Every vector stands for a part; parts go to the one before them whose key 3 divides."""
+    own = t.read("embeddings").select("vec_id", _key("part", "vec_id").alias("entity_id"))
+    keys = own.where("vec_id % 3 <> 0")
+    mapping = keys.select(F.col("entity_id").alias("old"), F.concat(F.lit("part:"), (F.col("vec_id") - F.col("vec_id") % 3).cast("string")).alias("new"))
+    return maintain.rewire_vectors(own, mapping)
+
+
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e
+    WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) >= 0.15""", prelude=False)
+def vectors_above(t: Tables) -> DataFrame:
+    """Every row whose id is divisible by 50 against all rows, without a limit on how many are near."""
+    e = t.read("embeddings")
+    return vectors.above(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 0.15).withColumn("score", F.round("score", 6))
+
+
+_PATHS = f"""+ t1 AS (SELECT [s.id, w.b] AS nodes, [w.type] AS types, [w.edge_id] AS eids, CAST(w.extraction_count AS DOUBLE) AS strength FROM {_STARTS} JOIN both_ways w ON w.a = s.id),
+    t2 AS (SELECT list_append(t.nodes, w.b) AS nodes, list_append(t.types, w.type) AS types, list_append(t.eids, w.edge_id) AS eids, t.strength + w.extraction_count AS strength FROM t1 t JOIN both_ways w ON w.a = t.nodes[-1] WHERE NOT list_contains(t.eids, w.edge_id)),
+    best AS (SELECT DISTINCT nodes, types, strength / len(types) AS s, array_to_string(nodes, '>') || '>#>' || array_to_string(types, '>') AS k FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) WHERE nodes[1] <> nodes[-1]),
+    top AS (SELECT nodes, types, CAST(row_number() OVER (ORDER BY s DESC, k) AS INTEGER) AS rank FROM best QUALIFY row_number() OVER (ORDER BY s DESC, k) <= 40)"""
+
+
+@query(_PATHS + """, src AS (SELECT node_id AS id, min(source) AS source FROM mentions JOIN order_chunks USING (chunk_id) GROUP BY node_id),
+    n AS (SELECT top.*, coalesce(a.source, b.source) AS source FROM top LEFT JOIN src a ON a.id = nodes[1] LEFT JOIN src b ON b.id = nodes[-1])
+    SELECT rank * 1000 AS place, CASE WHEN len(types) > 1 THEN '推論パス' ELSE 'トリプル' END || rank || ': ' || nodes[1] || ' -[' || types[1] || ']-> ' || nodes[2] || CASE WHEN len(types) > 1 THEN ' -[' || types[2] || ']-> ' || nodes[3] ELSE '' END || coalesce(' [出典: ' || source || ']', '') AS text FROM n
+    UNION ALL SELECT rank * 1000 + i, '  [P' || rank || '-E' || i || '] ' || nodes[i] || ' -[' || types[i] || ']-> ' || nodes[i + 1] FROM (SELECT *, unnest(range(1, len(types) + 1)) AS i FROM n WHERE len(types) > 1)""")
+def labelled_graph_lines(t: Tables) -> DataFrame:
+    best = paths.best_paths(paths.scored(paths.trails(t.edges, _starts(t), 2)), 40)
+    sources = t.mentions.join(t.order_chunks.select("chunk_id", "source"), "chunk_id").select(F.col("node_id").alias("id"), "source")
+    return retrieval.graph_lines(best, sources)
+
+
+@query("SELECT chunk_id, source, page FROM chunks WHERE source = (SELECT min(source) FROM chunks) ORDER BY chunk_id OFFSET 40 LIMIT 20")
+def chunk_page(t: Tables) -> DataFrame:
+    """The third page of the first source's chunks."""
+    first = t.read("documents").agg(F.min("source")).head()[0]
+    return reports.page_of(t.chunks, first, 40).select("chunk_id", "source", "page")

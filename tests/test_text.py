@@ -1,6 +1,5 @@
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from strataweave.functions import text as tx
 from strataweave.operators import chunking, conditions, hooks, references
