@@ -7,14 +7,17 @@ equal meets in one shard. Runs whose minimizer occurs once in the corpus (in oth
 runs and in themselves) cannot repeat and are dropped before they move (a Bloom
 filter, then exact counts). Runs of equal bytes are counted, not moved: all their strings repeat. What is left,
 different runs of one minimizer, is sorted by external induced sorting
-(:mod:`.induced`), shard by shard, with queues on the task's disk. A minimizer
-with very many runs is parted by how far a string starts before it, which is the
-same for equal strings, so no task has to take them all.
+(:mod:`.induced`), shard by shard, with queues on the task's disk: a shard may be
+far larger than a task's memory. A minimizer with very many runs is parted by how
+far a string starts before it, which is the same for equal strings, and where a
+part is one offset, its strings of one length are dealt on by their own hash, so
+no task has to take them all.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded, partitions, text_or_empty, written
 from .exact_dedup import join_groups, member_filter, repeated_filter, with_alarm
-from .induced import repeated_starts
+from .induced import Shard
 
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = 64
 _RUN = 4096  # strings in a run at most
 _SLICE = 1 << 20
-#: Bytes of segments that a task sorts at a time; more, if one minimizer has more.
-SHARD_BYTES = 4 << 20
+#: Bytes of segments that a task sorts at a time; more, if one part of a minimizer has more.
+SHARD_BYTES = 1 << 20
 #: Different runs of one minimizer that stay together; more are parted by offset.
 TOGETHER = 500
 
@@ -152,9 +155,10 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``minimizer, part, content, skip, bytes`` of the wanted runs, cut from their texts.
 
     A run of a minimizer with ``width`` below the number of offsets comes in
-    parts; ``skip`` is the first string of the part.
+    parts; ``skip`` is the first string of the part. Where a part is one offset
+    its segments are single strings, so their hash makes parts of it.
     """
-    schema = pa.schema([("minimizer", pa.int64()), ("part", pa.int32()), ("content", pa.binary()), ("skip", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("minimizer", pa.int64()), ("part", pa.int64()), ("content", pa.binary()), ("skip", pa.int64()), ("bytes", pa.binary())])
     offsets = length - min(_GRAM, length) + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,42 +169,54 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for r in batch.column(1)[k].as_py():
                     run = data[r["start"] : r["start"] + r["strings"] + length - 1]
                     parts = [(0, 0, r["strings"])] if r["width"] >= offsets else offset_parts(run, r["minimizer"], length, r["width"], powers)
-                    rows += [(r["minimizer"], p, r["content"], a, run[a : b + length - 1]) for p, a, b in parts]
+                    single = r["width"] == 1 < offsets
+                    for p, a, b in parts:
+                        piece = run[a : b + length - 1]
+                        rows.append((r["minimizer"], p << 48 | xxhash.xxh3_64_intdigest(piece) >> 16 if single else p, r["content"], a, piece))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     listed = wanted.groupBy("key").agg(F.collect_list(F.struct("minimizer", "content", "start", "strings", "width")).alias("runs"))
-    return texts.join(listed, "key").select("text", "runs").transform(bounded).mapInArrow(work, "minimizer long, part int, content binary, skip long, bytes binary")
+    return texts.join(listed, "key").select("text", "runs").transform(bounded).mapInArrow(work, "minimizer long, part long, content binary, skip long, bytes binary")
 
 
 def _sorted(segments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """``content, from, to``: ranges of strings of a run that repeat in its shard."""
     schema = pa.schema([("content", pa.binary()), ("from", pa.int64()), ("to", pa.int64())])
 
-    def ranges(content: list[tuple[bytes, int]], data: list[bytes]) -> pa.RecordBatch:
-        names, begin, end = [], [], []
-        for (name, skip), starts in zip(content, repeated_starts(data, length)):
-            if len(starts):
-                breaks = np.flatnonzero(np.diff(starts) > 1)
-                a, b = skip + starts[np.append(0, breaks + 1)], skip + starts[np.append(breaks, len(starts) - 1)] + 1
-                names += [name] * len(a)
-                begin += a.tolist()
-                end += b.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], schema=schema)
+    def ranges(shard: Shard, labels: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for owner, at in shard.repeated(length):
+            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
+            last = np.append(new[1:], len(at)) - 1
+            names, skips = zip(*(labels[k] for k in owner[new].tolist()))
+            begin = at[new] + np.array(skips, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(begin, pa.int64()), pa.array(begin + at[last] - at[new] + 1, pa.int64())], schema=schema)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+        """Rows, sorted by minimizer and part, in shards that end where a part ends."""
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)))
+        waiting = next(rows, None)
+
+        def shard() -> Iterator[tuple]:
+            nonlocal waiting
+            size = 0
+            while waiting:
+                now, waiting = waiting, next(rows, None)
+                size += len(now[4])
+                yield now
+                if waiting and size >= shard_bytes and waiting[:2] != now[:2]:
+                    return
+
+        while waiting:
+            yield shard()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows are sorted by minimizer and part: a shard ends where one ends
-        content, data, size, last = [], [], 0, None
-        for batch in batches:
-            for minimizer, part, name, skip, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                if (minimizer, part) != last and size >= shard_bytes:
-                    yield ranges(content, data)
-                    content, data, size = [], [], 0
-                content.append((name, skip))
-                data.append(piece)
-                size += len(piece)
-                last = (minimizer, part)
-        if data:
-            yield ranges(content, data)
+        for rows in shards(batches):
+            with tempfile.TemporaryDirectory(prefix="induced-") as folder:
+                shard, labels = Shard(folder), []
+                for _, _, name, skip, piece in rows:
+                    shard.add(piece)
+                    labels.append((name, skip))
+                yield from ranges(shard, labels)
 
     return segments.repartition(partitions(segments.sparkSession), "minimizer", "part").sortWithinPartitions("minimizer", "part").transform(bounded).mapInArrow(work, "content binary, from long, to long")
 
@@ -233,13 +249,14 @@ def _without(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", shard_bytes: int = SHARD_BYTES, together: int = TOGETHER) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed``.
+    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats, removed``.
 
     Removed are the bytes covered by a string of ``length`` bytes that also
     starts anywhere else in the table, overlaps and the same text included, as
     the texts are, not as they are after other removals. ``removed`` lists the
-    maximal runs by byte, the end exclusive (null: none). Null texts are empty;
-    texts shorter than ``length`` lose nothing. Repeated rows count as different
+    maximal runs by byte, the end exclusive (null: none), and ``repeats`` tells
+    whether there are any. Null texts are empty; texts shorter than ``length``
+    lose nothing, long ones are cut into runs and compared whole. Repeated rows count as different
     documents, so they lose everything that is long enough. Other columns are
     not read; an empty table gives no rows.
     """
@@ -271,11 +288,11 @@ def repeated_bytes(docs: DataFrame, length: int = 400, text: str = "text", shard
     asked = with_alarm(slim, F.col("key"), member_filter(changed.select("key")))
     none = F.lit(0).cast("long")
     kind = "array<struct<start:long,end:long>>"
-    clean = asked.where("NOT alarm").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast(kind).alias("removed"))
+    clean = asked.where("NOT alarm").select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(False).alias("repeats"), F.lit(None).cast(kind).alias("removed"))
     rows = asked.where("alarm").drop("alarm")
     groups = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(changed, "key", "left"), "repeat-groups")
     rest = join_groups(rows, groups, "key", "copies", slim.count())
-    rest = rest.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "removed")
+    rest = rest.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), (F.coalesce("n_removed", none) > 0).alias("repeats"), "removed")
     return clean.unionByName(rest)
 
 
