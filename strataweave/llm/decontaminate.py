@@ -5,25 +5,28 @@ shares at least m + 1 - q (e + 1) of its q-grams with it, all on e + 1
 neighbouring diagonals (place in the text less place in the item). Every task
 holds an index of the items' q-grams. It finds the q-grams of its texts in it,
 counts them in bands of diagonals that overlap by e, and keeps the bands that
-reach the bound. What is left is aligned with the item in a band.
+reach the bound. What is left is aligned with the item in a band. For an item too
+short for the usual q the grams are shorter, so that the bound is at least 1.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, free_name, slices
+from .common import bounded, free_name, slices, written
 
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 22
 _SLICE = 500_000
+#: Hits of grams that are held at a time.
+_HITS = 2_000_000
 LEAK = "struct<item_id: bigint, start: bigint, end: bigint, distance: bigint>"
 
 
@@ -53,9 +56,14 @@ def qgram_hashes(points: np.ndarray, q: int, powers: tuple[np.ndarray, np.ndarra
     return hashes * np.uint64(0xD6E8FEB86659FD93)
 
 
-def edit_budget(m: int, q: int, error: float) -> int:
-    """Edits allowed in an item of m characters: ``error`` of them, and few enough for the bound to be at least 1."""
-    return max(0, min(int(m * error), m // q - 1))
+def edit_budget(m: int, error: float) -> int:
+    """Edits allowed in an item of m characters: ``error`` of them."""
+    return int(m * error)
+
+
+def gram_size(m: int, q: int, error: float) -> int:
+    """q, or as much less as makes the bound of an item of m characters 1."""
+    return min(q, m // (edit_budget(m, error) + 1))
 
 
 def aligned(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int) -> tuple[int, int, int] | None:
@@ -94,18 +102,45 @@ def aligned(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int
     return (int(begin[best]), len(item) + int(diagonals[best]), int(row[best])) if row[best] <= most else None
 
 
+class Items:
+    """An index for each gram size that the items (``item_id, text`` as :func:`plain` gives it) need."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int, error: float):
+        sized: dict[int, list[tuple[int, str]]] = {}
+        for item in items:
+            sized.setdefault(gram_size(len(item[1]), q, error), []).append(item)
+        self.indexes = [ItemIndex(own, size, error, q) for size, own in sorted(sized.items())]
+
+    def leaks(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (as :func:`plain` gives it) its ``item_id, start, end, distance``, by item."""
+        found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        for index in self.indexes:
+            for all_, some in zip(found, index.leaks(texts)):
+                all_ += some
+        return [sorted(f) for f in found]
+
+
+def _summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different columns and the sums of their counts."""
+    order = np.lexsort(rows[::-1])
+    rows, counts = rows[:, order], counts[order]
+    start = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])) if rows.shape[1] else np.zeros(0, np.int64)
+    return rows[:, start], np.add.reduceat(counts, start) if len(start) else counts
+
+
 @dataclass
 class ItemIndex:
-    """The q-grams of some benchmark items, sorted by hash."""
+    """The q-grams of some benchmark items, sorted by hash; those of fewer than ``whole`` characters match between word boundaries only."""
 
     items: list[tuple[int, str]]
     q: int
     error: float
+    whole: int = 0
 
     def __post_init__(self) -> None:
         self.points = [_points(t) for _, t in self.items]
         self.sizes = np.array([len(p) for p in self.points], np.int64)
-        self.budgets = np.array([edit_budget(m, self.q, self.error) for m in self.sizes.tolist()], np.int64)
+        self.budgets = np.array([edit_budget(m, self.error) for m in self.sizes.tolist()], np.int64)
         self.bounds = self.sizes + 1 - self.q * (self.budgets + 1)
         self.steps = np.maximum(self.budgets, 8)
         self.powers = _powers(_SLICE + 1024)
@@ -140,8 +175,25 @@ class ItemIndex:
         where = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
         hit = self.grams[where] == hashes[at]
         at, where = at[hit], where[hit]
+        # a gram that many items hold, in a text that repeats it, has very many hits: they are counted in parts
+        total = np.cumsum(self.times[where])
+        parts = [self._bands(at[p], where[p], begin) for p in np.split(np.arange(len(at)), np.flatnonzero(np.diff(total // _HITS)) + 1) if len(p)]
+        if not parts:
+            return [[] for _ in texts]
+        rows, counts = _summed(np.concatenate([r for r, _ in parts], axis=1), np.concatenate([c for _, c in parts]))
+        enough = counts >= self.bounds[rows[1]]
+        for t, k, b in rows[:, enough].T.tolist():
+            m, e, s = int(self.sizes[k]), int(self.budgets[k]), int(self.steps[k])
+            low = b * s - m
+            match = self._verify(texts[t], k, low, low + s + e - 1, e)
+            if match and (k not in found[t] or (match[2], match[0]) < (found[t][k][2], found[t][k][0])):
+                found[t][k] = match
+        return [[(self.items[k][0], *f[k]) for k in sorted(f, key=lambda k: (self.items[k][0], k))] for f in found]
+
+    def _bands(self, at: np.ndarray, where: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``text, item, band`` of the hits, and how many each has."""
         times = self.times[where]
-        entry = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(at) else np.zeros(0, np.int64)
+        entry = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         at = np.repeat(at, times)
         owner, text = self.owner[entry], np.searchsorted(begin, at, side="right") - 1
         diagonal = at - begin[text] - self.place[entry] + self.sizes[owner]  # from the text's start, never negative
@@ -150,25 +202,16 @@ class ItemIndex:
         # a band holds the diagonals from its start to step + budget - 1, so it shares the last ones with the next
         also = (diagonal - band * step < self.budgets[owner]) & (band > 0)
         rows = np.stack([np.concatenate([text, text[also]]), np.concatenate([owner, owner[also]]), np.concatenate([band, band[also] - 1])])
-        order = np.lexsort(rows[::-1])
-        rows = rows[:, order]
-        if not rows.shape[1]:
-            return [[] for _ in texts]
-        start = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
-        counts = np.diff(np.append(start, rows.shape[1]))
-        enough = counts >= self.bounds[rows[1, start]]
-        for t, k, b in rows[:, start[enough]].T.tolist():
-            m, e, s = int(self.sizes[k]), int(self.budgets[k]), int(self.steps[k])
-            low = b * s - m
-            match = self._verify(texts[t], k, low, low + s + e - 1, e)
-            if match and (k not in found[t] or (match[2], match[0]) < (found[t][k][2], found[t][k][0])):
-                found[t][k] = match
-        return [[(self.items[k][0], *f[k]) for k in sorted(f, key=lambda k: (self.items[k][0], k))] for f in found]
+        return _summed(rows, np.ones(rows.shape[1], np.int64))
 
     def _verify(self, text: str, k: int, low: int, high: int, most: int) -> tuple[int, int, int] | None:
         item = self.items[k][1]
         origin = max(0, low - most)
         region = text[origin : max(0, high + len(item) + most)]
+        if len(item) < self.whole:
+            found = re.search(rf"(?<!\w){re.escape(item)}(?!\w)", text[max(0, origin - 1) : max(0, high + len(item) + most) + 1])
+            start = found and found.start() + max(0, origin - 1)
+            return found and (start, start + len(item), 0)
         exact = region.find(item)
         if exact >= 0:
             return origin + exact, origin + exact + len(item), 0
@@ -187,28 +230,36 @@ def find_leaks(
     that occurs in the text with at most ``error`` of its characters edited
     (places count characters of the text as :func:`plain` gives it; of several
     the nearest, then the first), by item_id. Items of fewer than q characters
-    after that, and null ones, are contained in nothing; short items allow only
-    as many edits as the q-gram bound can filter (:func:`edit_budget`). Equal items are each found. Null texts are
-    empty. An empty benchmark gives empty arrays. The benchmark is indexed in
-    blocks of at most ``block_chars`` characters (about 40 bytes each in a
-    task); a larger one takes more passes over the texts within each task.
+    occur where they stand between word boundaries as they are; empty and null
+    ones are contained in nothing. Equal items are each found. Null texts are
+    empty; long ones are searched whole. An empty benchmark gives empty arrays.
+    The benchmark is read in blocks of at most ``block_chars`` characters (about
+    40 bytes each in a task); the driver and the tasks hold one at a time, and
+    the texts found so far are written between blocks.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    blocks, held, size = [], [], 0
+    others = [c for c in docs.columns if c != name]
+    found = docs.select(*others, F.array().cast(f"array<{LEAK}>").alias(name))
+    passes = 0
+    for block in _blocks(benchmark, item_text, block_chars):
+        found = _pass(written(found, "leaks") if passes else found, sc.broadcast(block), q, error, text, others, found.schema)
+        passes += 1
+    return found
+
+
+def _blocks(benchmark: DataFrame, item_text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    held, size = [], 0
     for row in benchmark.select("item_id", F.col(item_text).alias("text")).orderBy("item_id", "text").toLocalIterator():
         item = plain(row.text)
-        if len(item) < q:
-            continue
-        if held and size + len(item) > block_chars:
-            blocks.append(sc.broadcast(held))
-            held, size = [], 0
-        held.append((row.item_id, item))
-        size += len(item)
-    blocks.append(sc.broadcast(held))
-    others = [c for c in docs.columns if c != name]
-    none = docs.select(*others, F.array().cast(f"array<{LEAK}>").alias(name))
-    return reduce(lambda df, b: _pass(df, b, q, error, text, others, none.schema), blocks, none)
+        if item:
+            if held and size + len(item) > block_chars:
+                yield held
+                held, size = [], 0
+            held.append((row.item_id, item))
+            size += len(item)
+    if held:
+        yield held
 
 
 def _pass(df: DataFrame, block, q: int, error: float, text: str, others: list[str], result) -> DataFrame:
@@ -216,7 +267,7 @@ def _pass(df: DataFrame, block, q: int, error: float, text: str, others: list[st
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "distance")]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(block.value, q, error)
+        index = Items(block.value, q, error)
         for batch in batches:
             found = []
             for _, texts in slices(batch, column, _SLICE):
@@ -230,7 +281,11 @@ def _pass(df: DataFrame, block, q: int, error: float, text: str, others: list[st
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, contaminated, n_items, item_ids, least_distance``."""
+    """One row per row of ``docs``: ``doc_id, contaminated, n_items, item_ids, least_distance`` (null: no item).
+
+    Nulls, empty and long texts, short items and an empty benchmark are as in
+    :func:`find_leaks`; repeated rows each have a row; an empty table gives none.
+    """
     found = find_leaks(docs.select("doc_id", "text"), benchmark, **options)
     ids = F.transform("leaks", lambda x: x["item_id"])
     return found.select(

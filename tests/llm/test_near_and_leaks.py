@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -127,7 +128,7 @@ def test_leaks_with_edits_match_brute_force():
     index = dc.ItemIndex(items, 12, 0.05)
     for _ in range(60):
         k = rng.randrange(len(items))
-        budget = dc.edit_budget(len(items[k][1]), 12, 0.05)
+        budget = dc.edit_budget(len(items[k][1]), 0.05)
         changed = list(items[k][1])
         for _ in range(rng.randint(0, budget + 2)):
             at = rng.randrange(len(changed))
@@ -140,6 +141,30 @@ def test_leaks_with_edits_match_brute_force():
             assert found[0][3] == true and distance(items[k][1], text[found[0][1] : found[0][2]]) == true
 
 
+def test_short_items_match_brute_force():
+    rng = random.Random(2)
+    items = [(m, dc.plain("".join(rng.choice("abcdefgh") for _ in range(m)))) for m in (3, 5, 8, 11, 12, 15, 19, 20, 21, 22, 23, 24, 30, 39, 40)]
+    index = dc.Items(items, 12, 0.05)
+    for _ in range(300):
+        m, item = rng.choice(items)
+        changed = list(item)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            changed[rng.randrange(len(changed))] = rng.choice("xyz")
+        text = dc.plain(rng.choice(["", "zz", "zz "]) + "".join(changed) + rng.choice(["", "y", " y"]))
+        found = {f[0] for f in index.leaks([text])[0]}
+        for k, t in items:
+            want = bool(re.search(rf"(?<!\w){t}(?!\w)", text)) if k < 12 else distance(t, text) <= dc.edit_budget(k, 0.05)
+            assert (k in found) == want, (k, t, text)
+
+
+def test_many_hits_of_one_gram_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(dc, "_HITS", 50)
+    items = [(i, "a" * 40) for i in range(30)] + [(99, "the quick brown fox jumps over it")]
+    texts = ["a" * 700, "b" * 50, "see the quick brown fox jumps over it now"]
+    found = dc.Items(items, 12, 0.05).leaks(texts)
+    assert [[f[0] for f in g] for g in found] == [list(range(30)), [], [99]]
+
+
 def test_decontamination_of_odd_tables(spark, clashing, empty):
     bench = spark.createDataFrame([(1, "Quick  BROWN fox jumps over"), (2, None), (3, "short"), (4, ""), (5, "quick brown fox jumps over")], "item_id long, text string")
     rows = {(r.doc_id, r.contaminated, r.n_items, tuple(r.item_ids)) for r in dc.report(clashing, bench).collect()}
