@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors
-from ..operators import conditions, enrich, evaluate, linking, maintain, model, paths, reports, retrieval
+from ..operators import bundles, conditions, enrich, evaluate, linking, maintain, model, paths, reports, retrieval
 from ..sources import readers, writers
 from .registry import query
 from .tables import Tables
@@ -400,3 +400,33 @@ def chunk_page(t: Tables) -> DataFrame:
     """The third page of the first source's chunks."""
     first = t.read("documents").agg(F.min("source")).head()[0]
     return reports.page_of(t.chunks, first, 40).select("chunk_id", "source", "page")
+
+
+@query("""SELECT src, CASE type WHEN 'USES' THEN 'BUYS' WHEN 'HAS_PART' THEN 'SUPPLIES' ELSE type END AS type, dst, extraction_count FROM edges""")
+def canonical_edges(t: Tables) -> DataFrame:
+    """Two relations find one of the schema that is near enough, one does not, one is protected."""
+    rows = [("USES", "BUYS", 0.9), ("USES", "SELLS", 0.85), ("HAS_PART", "SUPPLIES", 0.81), ("PART_OF", "LIES_IN", 0.5), ("BELONGS_TO_CATEGORY", "LIVES_IN", 0.95)]
+    choices = enrich.canonical_relations(t.spark.createDataFrame(rows, "type string, candidate string, score double"))
+    return bundles.with_canonical_relations(t.edges, choices, ["BELONGS_TO_CATEGORY"]).select("src", "type", "dst", "extraction_count")
+
+
+def _plain_nodes(t: Tables) -> DataFrame:
+    return t.nodes.select("id", "label", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("canonical_form"))
+
+
+@query("""SELECT n.id, count(DISTINCT m.chunk_id) AS mention_count, lower(n.id) AS norm_id FROM (SELECT DISTINCT id FROM nodes) n LEFT JOIN mentions m ON m.node_id = n.id GROUP BY n.id""")
+def enriched_lightly(t: Tables) -> DataFrame:
+    rows = bundles.enriched(_plain_nodes(t).dropDuplicates(["id"]), t.edges, t.mentions, light=True)
+    return rows.select("id", "mention_count", "norm_id")
+
+
+@query("SELECT id, string_agg(DISTINCT label, '|' ORDER BY label) AS label FROM nodes GROUP BY id")
+def consolidated_nodes(t: Tables) -> DataFrame:
+    return bundles.consolidated(_plain_nodes(t).drop("canonical_form"), t.edges)[0].select("id", "label")
+
+
+@query("""+ e AS (SELECT CASE src WHEN 'nation:2' THEN 'nation:1' ELSE src END AS src, type, CASE dst WHEN 'nation:2' THEN 'nation:1' ELSE dst END AS dst, extraction_count FROM edges)
+    SELECT src, type, dst, CAST(sum(extraction_count) AS BIGINT) AS extraction_count FROM e GROUP BY ALL""")
+def edges_with_dictionary(t: Tables) -> DataFrame:
+    entries = t.spark.createDataFrame([("nation:1", ["nation:2", "nation:99"], "c", "d", "n")], "canonical string, aliases array<string>, category string, definition string, notes string")
+    return bundles.with_dictionary(_plain_nodes(t).drop("canonical_form"), t.edges, t.mentions, entries)[1].select("src", "type", "dst", "extraction_count")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors
@@ -24,6 +25,8 @@ class Graph:
     edges: DataFrame
     references: DataFrame | None = None
     facts: DataFrame | None = None
+    #: Relation documents ``relation_id, start, type, end, embedding`` for the route by themes.
+    relations: DataFrame | None = None
 
 
 def build(documents: DataFrame, extract: Extractor, embedder: hooks.Embedder | None = None, processed: DataFrame | None = None, schema: list[str] | None = None, rank: bool = True) -> Graph:
@@ -66,15 +69,25 @@ class Options:
     follow_references: bool = False
     use_conditions: bool = False
     graph_lines: bool = True
+    fallback_entities: int = 5
+    theme_relations: int = 8
     extra: dict = field(default_factory=dict)
 
 
-def retrieve(graph: Graph, questions: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
+def retrieve(graph: Graph, questions: DataFrame, options: Options | None = None, themes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Documents, paths, triples and the context for each question (``question_id, text, names, embedding``).
 
     Everything is ranked by question in one plan; ``names`` are the entity names
-    that a model found in it. ``mode`` none searches the graph alone.
+    that a model found in it. The graph is entered in three ways: at the nodes of
+    these names; through relations near the question's themes (``themes``, a
+    table ``question_id, embedding``, and the graph's ``relations``); and, for a
+    question whose names lead nowhere, at nodes that hold one of its words.
+    ``mode`` none searches the graph alone. A followed reference adds chunks of
+    the documents referred to that the keyword search ranks best. What later
+    steps read several times (start nodes, paths, ranked documents; a bounded
+    number a question) is checkpointed once.
     """
+    enrich.checkpoint_folder(questions.sparkSession)
     o = options or Options()
     docs = graph.chunks.select(F.col("chunk_id").alias("id"), "text", "source", "page")
     searched = None
@@ -87,15 +100,21 @@ def retrieve(graph: Graph, questions: DataFrame, options: Options | None = None)
             vector = near.join(numbered.select("vec_id", "chunk_id"), "vec_id").select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("id"), "score", "rank")
         found = retrieval.search(o.mode if vector is not None else "keyword", vector if vector is not None else keyword, keyword, o.pool)
         texts = found.select("question_id", "id", "rank").join(docs.select("id", "text"), "id")
-        searched = retrieval.rerank(texts, retrieval.overlap_scores(texts, questions), o.k, o.pool)
+        searched = retrieval.rerank(texts, retrieval.overlap_scores(texts, questions), o.k, o.pool).checkpoint()
     keys = retrieval.match_keys(questions)
     alive = model.entities(graph.nodes)
-    starts = paths.start_nodes(alive, keys)
+    starts = paths.start_nodes(alive, keys).checkpoint()
+    lost = questions.join(starts.select("question_id").distinct(), "question_id", "left_anti")
+    starts = starts.unionByName(retrieval.keyword_entities(alive, lost, o.fallback_entities).select("question_id", "id").checkpoint())
     blocked = graph.nodes.where("is_value") if "is_value" in graph.nodes.columns else None
     walks = paths.trails(graph.edges, starts, o.hops, blocked, ["question_id"])
     best = paths.best_paths(paths.scored(walks, graph.nodes.select("id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))), paths.PATHS_BY_HOP.get(o.hops, 80), ["question_id"])
-    best = best.where(F.col("rank") <= o.relation_k).withColumn("path_text", tx.path_text(F.col("nodes"), F.col("types")))
+    best = best.where(F.col("rank") <= o.relation_k).withColumn("path_text", tx.path_text(F.col("nodes"), F.col("types"))).checkpoint()
     triples = paths.path_triples(best, ["question_id"])
+    if themes is not None and graph.relations is not None:
+        near = retrieval.theme_relations(graph.relations, themes, triples, o.theme_relations)
+        after = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("theme_score"), "start", "type", "end")) + 1_000_000
+        triples = triples.unionByName(near.select(*(after.cast("int").alias(c) if c == "ordinal" else c for c in triples.columns)))
     routes = []
     if searched is not None:
         routes.append(("documents", searched.join(docs.select("id", "text"), "id").select("question_id", "text", "rank")))
@@ -106,8 +125,16 @@ def retrieve(graph: Graph, questions: DataFrame, options: Options | None = None)
         hits = searched.join(docs, "id").select("question_id", "source", "page")
         followed = references.follow(hits, graph.chunks, graph.references).join(graph.chunks.select("chunk_id", "text"), "chunk_id")
         routes.append(("references", followed.select("question_id", "text", F.lit(1).alias("rank"))))
+        targets = followed.join(graph.chunks.select("text", "source"), "text").groupBy("question_id", "source").agg(F.lit(1).alias("ordinal"))
+        within = retrieval.scoped(keyword.join(docs.select("id", "source"), "id"), targets, o.k).join(docs.select("id", "text"), "id")
+        routes.append(("referred documents", within.select("question_id", "text", "rank")))
     documents = retrieval.merged_documents(*routes)
-    lines = best.select("question_id", F.col("path_text").alias("text"), F.col("rank").alias("place")) if o.graph_lines or o.mode == "none" else None
+    lines = None
+    if o.graph_lines or o.mode == "none":
+        sources = graph.mentions.join(graph.chunks.select("chunk_id", "source"), "chunk_id").select(F.col("node_id").alias("id"), "source")
+        own = retrieval.graph_lines(best, sources, ["question_id"])
+        none = questions.select("question_id").join(own.select("question_id").distinct(), "question_id", "left_anti")
+        lines = own.unionByName(none.select("question_id", F.lit(0).alias("place"), F.lit("(グラフデータなし)").alias("text")))
     facts = None
     if o.use_conditions and graph.facts is not None:
         facts = conditions.block(conditions.route(questions, graph.facts)).select("question_id", F.col("block").alias("text"), F.lit(1).alias("place"))
@@ -123,8 +150,6 @@ def answer(graph: Graph, questions: DataFrame, language_model: hooks.LanguageMod
 
 def sample_for_schema(chunks: DataFrame, documents: int, each: int) -> DataFrame:
     """The first ``each`` chunks of the first ``documents`` sources, to discover a vocabulary from."""
-    from pyspark.sql.window import Window
-
     first = chunks.select("source").distinct().orderBy("source").limit(documents)
     rank = F.row_number().over(Window.partitionBy("source").orderBy("page", "chunk_id"))
     return chunks.join(F.broadcast(first), "source").withColumn("n", rank).where(F.col("n") <= each).drop("n")
