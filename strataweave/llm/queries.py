@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, pii, suffix_dedup, toxicity
+from .collocations import collocations
 from .common import documents
 from .exact_dedup import exact_duplicates
 from .ngram_join import near_duplicates
@@ -58,6 +59,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), words=3, min_count=10, share=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op5_exact_dedup": op5_exact_dedup,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op7_pii": op7_pii,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -103,4 +109,36 @@ ORACLES: dict[str, str] = {
             FROM keyed)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
     """,
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(part, '[\x20\x09]+'), lambda w: w <> '') AS words
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+        occurrences AS (SELECT lang, piece, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM pieces),
+        followed AS (SELECT lang, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM occurrences WINDOW p AS (PARTITION BY piece ORDER BY place)),
+        f1 AS (SELECT lang, w, CAST(count(*) AS HUGEINT) AS f FROM followed GROUP BY ALL),
+        f2 AS (SELECT lang, w, w2, CAST(count(*) AS HUGEINT) AS f FROM followed WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w, w2, w3, CAST(count(*) AS HUGEINT) AS f FROM followed WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        cuts AS (
+            SELECT c.lang, c.w || ' ' || c.w2 AS phrase, 2 AS size, c.f AS a, 1 AS cut, l.f AS l, r.f AS r
+            FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.w = c.w JOIN f1 r ON r.lang = c.lang AND r.w = c.w2
+            UNION ALL
+            SELECT c.lang, c.w || ' ' || c.w2 || ' ' || c.w3, 3, c.f, 1, l.f, r.f
+            FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.w = c.w JOIN f2 r ON r.lang = c.lang AND r.w = c.w2 AND r.w2 = c.w3
+            UNION ALL
+            SELECT c.lang, c.w || ' ' || c.w2 || ' ' || c.w3, 3, c.f, 2, l.f, r.f
+            FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.w = c.w AND l.w2 = c.w2 JOIN f1 r ON r.lang = c.lang AND r.w = c.w3),
+        best AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, size, phrase ORDER BY score, cut) AS place
+            FROM (SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts)),
+        longer AS (
+            SELECT lang, phrase, max(f) AS f FROM (
+                SELECT lang, w || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+        ranked AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+            FROM best b LEFT JOIN longer o ON b.size = 2 AND o.lang = b.lang AND o.phrase = b.phrase
+            WHERE b.place = 1 AND (o.f IS NULL OR 100 * o.f < 50 * b.a)),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
