@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, quality_rules, suffix_dedup, toxicity
+from . import alignment, decontaminate, pii, quality_rules, suffix_dedup, toxicity
 from .collocations import collocations
 from .common import documents
 from .exact_dedup import exact_duplicates
@@ -63,6 +63,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir), words=3, min_count=10, share=50, top=2000)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), byte_bpe_path(), alignment.piece_path())
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.judge(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_quality_rules": op13_quality_rules,
 }
 
