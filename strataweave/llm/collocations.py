@@ -20,6 +20,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,7 @@ from .common import bounded, partitions, slices, written
 BITS, MOST_BITS = 16, 1 << 27
 #: A language that is missing.
 NO_LANGUAGE = "und"
-_SLICE = 6_000_000
+_SLICE = 4_000_000
 _ROWS = 100_000
 # A to Z in lower case; what ends a piece becomes a line feed
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -40,8 +41,26 @@ _COUNTS = "lang string, phrase string, n long"
 _SEED = 42  # of Spark's xxhash64
 
 
+def _chained(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """XXH64 of 8-byte integers, each with a seed of its own, as ``F.xxhash64`` goes on from column to column."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    h = seeds + p5 + np.uint64(8)
+    h = turned(h ^ (turned(values * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 class Slice:
-    """The words of some texts: a number for each, its piece and its language."""
+    """The words of some texts: a number for each, its piece and its language.
+
+    Phrases of the level at hand are numbered too: ``code`` has the number of the
+    phrase that begins at each word (-1: none), ``parts`` the words of each.
+    """
 
     def __init__(self, texts: list[str], langs: list[str]):
         coded = [t.encode() for t in texts]
@@ -57,40 +76,46 @@ class Slice:
         spoken = numbers[np.searchsorted(ends, at, "right")]
         words = np.empty(len(at), object)
         words[:] = data.split()
-        codes, self.words = pd.factorize(words)
-        self.langs = [name.encode() for name in names]
-        pairs, self.code = np.unique(codes * len(names) + spoken, return_inverse=True)
-        #: What each number of level 1 stands for.
-        self.level = [(self.langs[p % len(names)], self.words[p // len(names)]) for p in pairs.tolist()]
-        self.spelled = self.level
+        codes, different = pd.factorize(words)
+        self.names = pa.array([name.encode() for name in names], pa.binary())
+        self.words = pa.array(different, pa.binary())
+        #: Words are told apart by language: of each, its language, its number among all words, its hash.
+        pairs, self.first = np.unique(codes * len(names) + spoken, return_inverse=True)
+        self.lang, self.word = pairs % max(1, len(names)), pairs // max(1, len(names))
+        seeds = [xxhash.xxh64_intdigest(name.encode(), _SEED) for name in names]
+        self.hash = np.fromiter((xxhash.xxh64_intdigest(different[w], seeds[n]) for n, w in zip(self.lang.tolist(), self.word.tolist())), np.uint64, len(pairs))
+        self.code, self.parts = self.first, [np.arange(len(pairs))]
 
     def keep(self, frequent: np.ndarray) -> None:
         """Forgets the phrases of this level that are not in a bit array."""
-        mask = len(frequent) * 8 - 1
-        place = np.fromiter((xxhash.xxh64_intdigest(b"%b\t%b" % phrase, _SEED) & mask for phrase in self.level), np.int64, len(self.level))
-        known = (frequent[place >> 3] >> (place & 7)) & 1 == 1
+        place = np.full(len(self.parts[0]), _SEED, np.uint64)
+        for part in self.parts:
+            place = _chained(self.hash[part], place)
+        place = (place & np.uint64(len(frequent) * 64 - 1)).astype(np.int64)
+        known = (frequent[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
         if len(known):
             self.code = np.where((self.code >= 0) & known[np.maximum(self.code, 0)], self.code, -1)
 
-    def longer(self, size: int, first: np.ndarray) -> None:
-        """Numbers the phrases of ``size`` words whose overlapping parts are both kept; ``first`` numbers single words."""
-        code, n = self.code, len(self.code)
-        ends = np.arange(size - 1, n)
-        begins = ends - size + 1
+    def longer(self) -> None:
+        """Goes on to phrases of one word more whose overlapping parts are both kept."""
+        code, size = self.code, len(self.parts)
+        ends = np.arange(size, len(code))
+        begins = ends - size
         valid = (code[begins] >= 0) & (code[begins + 1] >= 0) & (self.piece[begins] == self.piece[ends])
         begins, ends = begins[valid], ends[valid]
-        width = len(self.spelled)
-        keys, found = np.unique(code[begins] * width + first[ends], return_inverse=True)
-        self.code = np.full(n, -1, np.int64)
+        width = max(1, len(self.hash))
+        keys, found = np.unique(code[begins] * width + self.first[ends], return_inverse=True)
+        self.code = np.full(len(code), -1, np.int64)
         self.code[begins] = found
-        level, spelled = self.level, self.spelled
-        self.level = [(level[k // width][0], b"%b %b" % (level[k // width][1], spelled[k % width][1])) for k in keys.tolist()]
+        self.parts = [*(part[keys // width] for part in self.parts), keys % width]
 
     def counts(self) -> Iterator[pa.RecordBatch]:
-        n = np.bincount(self.code[self.code >= 0], minlength=len(self.level))
-        for i in range(0, len(self.level), _ROWS):
-            langs, phrases = zip(*self.level[i : i + _ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n[i : i + _ROWS], pa.int64())], ["lang", "phrase", "n"])
+        n = np.bincount(self.code[self.code >= 0], minlength=len(self.parts[0]))
+        for i in range(0, len(n), _ROWS):
+            parts = [part[i : i + _ROWS] for part in self.parts]
+            spelled = [self.words.take(pa.array(self.word[part])) for part in parts]
+            phrases = pc.binary_join_element_wise(*spelled, b" ") if len(spelled) > 1 else spelled[0]
+            yield pa.RecordBatch.from_arrays([self.names.take(pa.array(self.lang[parts[0]])).cast(pa.string()), phrases.cast(pa.string()), pa.array(n[i : i + _ROWS], pa.int64())], ["lang", "phrase", "n"])
 
 
 def level(docs: DataFrame, size: int, frequent: list[Broadcast], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -101,25 +126,25 @@ def level(docs: DataFrame, size: int, frequent: list[Broadcast], text: str = "te
             langs = batch.column(1).to_pylist()
             for at, texts in slices(batch, 0, _SLICE):
                 held = Slice(texts, langs[at : at + len(texts)])
-                first = held.code
-                for k, bits in enumerate(frequent, 2):
-                    held.keep(np.frombuffer(bits.value, np.uint8))
-                    held.longer(k, first)
+                for bits in frequent:
+                    held.keep(np.frombuffer(bits.value, np.uint64))
+                    held.longer()
                 yield from held.counts()
 
     read = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
     return read.transform(bounded).mapInArrow(count, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def bit_array(frequent: DataFrame) -> Broadcast:
-    """A bit array of the phrases of a table, broadcast; its greatest size is fixed."""
+def bit_array(frequent: DataFrame, size: int) -> Broadcast:
+    """A bit array of the phrases of ``size`` words of a table, broadcast as 64-bit words; its greatest size is fixed."""
     spark = frequent.sparkSession
     bits = min(MOST_BITS, 1 << max(10, (frequent.count() * BITS - 1).bit_length()))
-    place = F.xxhash64(F.concat_ws("\t", "lang", "phrase")).bitwiseAND(bits - 1)
-    byte = F.call_function("shiftleft", F.lit(1), place.bitwiseAND(7).cast("int"))
-    filled = frequent.select(F.shiftright(place, 3).alias("at"), byte.alias("byte")).groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
-    array = np.zeros(bits // 8, np.uint8)
-    array[filled["at"].to_numpy()] = filled["byte"].to_numpy()
+    words = F.split("phrase", " ", -1)
+    place = F.xxhash64(*(F.xxhash64("lang", F.element_at(words, i + 1)) for i in range(size))).bitwiseAND(bits - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    filled = frequent.select(F.shiftright(place, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    array = np.zeros(bits // 64, np.int64)
+    array[filled["at"].to_numpy()] = filled["bits"].to_numpy()
     return spark.sparkContext.broadcast(array.tobytes())
 
 
@@ -131,7 +156,7 @@ def level_tables(docs: DataFrame, words: int, min_count: int, text: str = "text"
         found = level(docs, size, frequent, text, lang)
         tables.append(written(found if size == 1 else found.where(F.col("n") >= min_count), f"phrases-{size}"))
         if size < words:
-            frequent.append(bit_array(tables[-1].where(F.col("n") >= min_count)))
+            frequent.append(bit_array(tables[-1].where(F.col("n") >= min_count), size))
     for bits in frequent:
         bits.unpersist()
     return tables
