@@ -21,12 +21,15 @@ number of documents that hold a pair, then for the sums over these numbers.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import uuid
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, partitions, written
+from .common import bounded, partitions, scratch, written
 from .exact_dedup import join_groups
 
 #: Characters of texts in a block, unless a single text has more.
-BLOCK = 32_000_000
+BLOCK = 10_000_000
 #: Characters of texts in one compressed part of a block.
 _PART = 4_000_000
 #: Pair counts of at most so many rows (32 bytes each) are broadcast.
 BROADCAST_ROWS = 1 << 20
-_HELD_PAIRS = 4_000_000
+_HELD_PAIRS = 1_000_000
+#: Rounds that the blocks make their trips in.
+ROUNDS = 2
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
@@ -167,31 +172,24 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", bl
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(work, _BLOCKS)
 
 
-_CODED = "sid long, stretch string, same boolean, a array<int>, a_sizes array<int>, b array<int>, b_sizes array<int>"
+_CODED = "same boolean, a array<int>, a_sizes array<int>, b array<int>, b_sizes array<int>"
 
 
 def encode_stretches(stretches: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """``stretch`` with a number ``sid``, whether both tokenizers give its bytes (``same``), and ids and lengths of its tokens."""
+    """``stretch`` with whether both tokenizers give its bytes (``same``), and ids and lengths of its tokens."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at = coder(byte_level, pieces).encode, TaskContext.get().partitionId() << 32
+    @F.arrow_udf(_CODED)
+    def encoded(words: pa.Array) -> pa.Array:
         ints = pa.list_(pa.int32())
-        for batch in batches:
-            found = batch.column(0).to_pylist()
-            if found:
-                same, *rest = zip(*encode(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(at, at + len(found)), pa.int64()), batch.column(0), pa.array(same), *(pa.array(r, ints) for r in rest)],
-                    ["sid", "stretch", "same", "a", "a_sizes", "b", "b_sizes"],
-                )
-                at += len(found)
+        same, *rest = zip(*coder(byte_level, pieces).encode(words.to_pylist())) if len(words) else [()] * 5
+        return pa.StructArray.from_arrays([pa.array(same, pa.bool_()), *(pa.array(r, ints) for r in rest)], ["same", "a", "a_sizes", "b", "b_sizes"])
 
-    return stretches.select("stretch").transform(bounded).mapInArrow(work, _CODED)
+    return stretches.transform(bounded).select("stretch", encoded("stretch").alias("coded")).select("stretch", "coded.*")
 
 
 @contextmanager
-def _joins_keep_partitions(spark: SparkSession) -> Iterator[None]:
-    """Rows that lie together by some of a join's keys need not be shuffled again for all of them."""
+def _joins_keep_buckets(spark: SparkSession) -> Iterator[None]:
+    """Rows that lie together by some of a join's keys are not shuffled again for all of them."""
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
@@ -201,56 +199,77 @@ def _joins_keep_partitions(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def _bucketed(rows: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``rows`` as a table whose files are dealt by ``key``, for as long as it is needed."""
+    spark, n, name = rows.sparkSession, partitions(rows.sparkSession), f"stretches_{uuid.uuid4().hex}"
+    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def tokens(coded: DataFrame, side: str) -> DataFrame:
-    """``sid, pos, id, end``: the tokens of one side, and the byte at which each ends."""
-    split = coded.select("sid", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_sizes").alias("size")))).select("sid", "pos", "col.id", "col.size")
-    return split.withColumn("end", F.sum("size").over(Window.partitionBy("sid").orderBy("pos"))).drop("size")
+    """``key, pos, id, end``: the tokens of one side, and the byte at which each ends."""
+    split = coded.select("key", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_sizes").alias("size")))).select("key", "pos", "col.id", "col.size")
+    return split.withColumn("end", F.sum("size").over(Window.partitionBy("key").orderBy("pos"))).drop("size")
 
 
 def grouped_tokens(own: DataFrame, other: DataFrame) -> DataFrame:
-    """``sid, g, pos, id``: the tokens of one side with the number of cuts before them in their stretch.
+    """``key, g, pos, id``: the tokens of one side with the number of cuts before them in their stretch.
 
     A cut is where a token of the other side ends at the same byte.
     """
-    cuts = other.select("sid", "end", F.lit(1).alias("cut"))
-    before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return own.join(cuts, ["sid", "end"], "left").withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0))).select("sid", "g", "pos", "id")
+    cuts = other.select("key", "end", F.lit(1).alias("cut"))
+    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    return own.join(cuts, ["key", "end"], "left").withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0))).select("key", "g", "pos", "id")
 
 
 def _listed(grouped: DataFrame, side: str) -> DataFrame:
-    """``sid, g`` and the ids of a group on one side as text, in order."""
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"].cast("string"))
-    return grouped.groupBy("sid", "g").agg(F.array_join(ids, ",").alias(side))
+    """``key, g`` and the ids of a group on one side, in order."""
+    return grouped.groupBy("key", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"]).alias(side))
 
 
-def align_stretches(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups and links of the stretches of :func:`encode_stretches`, written.
+def align_stretches(stretches: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+    """``stretch, groups, pairs`` of different stretches, written.
 
-    The first table has ``sid, groups``: all groups as ``a1,a2|b1;a3|b2,b3``. The
-    second has ``sid, a, b``: a row for each pair of token occurrences that share a
-    group. Stretches whose bytes the tokenizers don't give back have no rows.
+    ``groups`` has all groups as ``a1,a2|b1;a3|b2,b3``, ``pairs`` every pair of
+    token occurrences that share a group, as a * 2**32 + b. Stretches whose bytes
+    the tokenizers don't give back have no rows. A token's row has a digest of its
+    stretch in its place; all joins and windows work on rows that were dealt by it
+    once.
     """
-    spark = coded.sparkSession
-    dealt = coded.where("same").drop("stretch", "same").repartition(partitions(spark), "sid")
-    a, b = tokens(dealt, "a"), tokens(dealt, "b")
-    in_a, in_b = grouped_tokens(a, b), grouped_tokens(b, a)
-    with _joins_keep_partitions(spark):
-        links = written(in_a.select("sid", "g", F.col("id").alias("a")).join(in_b.select("sid", "g", F.col("id").alias("b")), ["sid", "g"]).select("sid", "a", "b"), "token-links")
-        both = _listed(in_a, "a").join(_listed(in_b, "b"), ["sid", "g"])
-        in_order = F.sort_array(F.collect_list(F.struct("g", F.concat_ws("|", "a", "b").alias("text"))))
-        groups = written(both.groupBy("sid").agg(F.array_join(F.transform(in_order, lambda x: x["text"]), ";").alias("groups")), "token-groups")
-    return groups, links
+    spark = stretches.sparkSession
+    keyed = encode_stretches(stretches.select("stretch").distinct(), byte_level, pieces).withColumn("key", F.unhex(F.md5(F.col("stretch").cast("binary"))))
+    with _joins_keep_buckets(spark), _bucketed(keyed, "key") as coded:
+        _tidy(spark)
+        whole = coded.where("same")
+        a, b = tokens(whole, "a"), tokens(whole, "b")
+        both = _listed(grouped_tokens(a, b), "a").join(_listed(grouped_tokens(b, a), "b"), ["key", "g"])
+        text = F.concat(F.array_join(F.transform("a", lambda i: i.cast("string")), ","), F.lit("|"), F.array_join(F.transform("b", lambda i: i.cast("string")), ","))
+        linked = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * 2**32 + y)))
+        groups = F.sort_array(F.collect_list(F.struct("g", text.alias("text"), linked.alias("pairs"))))
+        found = coded.select("key", "stretch").join(both.groupBy("key").agg(groups.alias("groups")), "key")
+        return _kept(found.select("stretch", F.array_join(F.transform("groups", lambda g: g["text"]), ";").alias("groups"), F.flatten(F.transform("groups", lambda g: g["pairs"])).alias("pairs")), "token-groups")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`written`, packed tighter."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Told:
     """What a block is told about its stretches: by number, their groups and what follows from these."""
 
-    def __init__(self, n: int, ks: list[int], groups: list[str | None]):
+    def __init__(self, n: int, ks: list[int], groups: Iterable[pa.StringScalar]):
         self.groups: list[str | None] = [None] * n
         for k, g in zip(ks, groups):
-            self.groups[k] = g
+            self.groups[k] = g.as_py()
         self.figures = np.zeros((n, 4), np.int64)
-        pairs: list[int] = []
+        pairs = array("q")
         starts = np.zeros(n + 1, np.int64)
         for k, text in enumerate(self.groups):
             if text is not None:
@@ -264,7 +283,7 @@ class Told:
                     pairs.extend([x << 32 | y for x in left for y in right])
                 self.figures[k] = n_a, n_b, n_groups, n_links
             starts[k + 1] = len(pairs)
-        self.pairs, self.starts = np.array(pairs, np.int64), starts
+        self.pairs, self.starts = np.frombuffer(pairs, np.int64) if pairs else np.zeros(0, np.int64), starts
 
     def pairs_of(self, ks: np.ndarray) -> np.ndarray:
         """The different pairs that some stretches link."""
@@ -292,7 +311,8 @@ def first_trip(parts: DataFrame, told: DataFrame, byte_level: str, pieces: str)
         split = coder(byte_level, pieces).stretches
         block = block.sort_by("part")
         number = block.column("block")[0].as_py() if block.num_rows else 0
-        table = Told(known.num_rows, known.column("k").to_pylist(), known.column("groups").to_pylist())
+        table = Told(known.num_rows, known.column("k").to_pylist(), known.column("groups"))
+        del known
         rows: list[tuple] = []
         held: list[np.ndarray] = []
         size = 0
@@ -353,20 +373,37 @@ def pair_counts(first: DataFrame) -> DataFrame:
     return written(counts.join(most, "a").select("a", "b", "docs", (F.col("docs") == F.col("most")).alias("best")), "pair-ranks")
 
 
-def stretch_sums(links: DataFrame, counts: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``sid, n_best, count_sum`` over the links of a stretch.
+def stretch_sums(aligned: DataFrame, counts: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``stretch, n_best, count_sum`` over the links of a stretch.
 
     Up to a checked number of pairs their counts are broadcast; beyond, links meet
     them by pair, where frequent pairs are dealt out.
     """
+    key = (F.col("a").cast("long") * 2**32 + F.col("b")).alias("pair")
+    counts = counts.select(key, "docs", F.col("best").cast("long").alias("best"))
+    links = aligned.select("stretch", F.explode("pairs").alias("pair"))
     if counts.count() <= most_rows:
-        found = links.join(F.broadcast(counts), ["a", "b"])
+        found = links.join(F.broadcast(counts), "pair")
     else:
-        key = F.col("a").cast("long") * 2**32 + F.col("b")
-        rows = links.select("sid", key.alias("pair"))
-        uses = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("uses"))
-        found = join_groups(rows, uses.join(counts.select(key.alias("pair"), "docs", "best"), "pair"), "pair", "uses", links.count())
-    return found.groupBy("sid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum"))
+        uses = links.groupBy("pair").agg(F.count(F.lit(1)).alias("uses"))
+        found = join_groups(links, uses.join(counts, "pair"), "pair", "uses", links.count())
+    return found.groupBy("stretch").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _in_rounds(payload: DataFrame, told: DataFrame, trip: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
+    """A trip of some of the blocks after the other: what is shuffled at a time takes less disk."""
+    parts = []
+    for i in range(ROUNDS):
+        some = F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == i
+        parts.append(written(trip(payload.where(some), told.where(some)), name))
+        _tidy(payload.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def align(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", block: int = BLOCK, most_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -384,18 +421,18 @@ def align(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", blo
     Repeated rows count as documents each; doc_id may be missing or repeated.
     Other columns are not read; an empty table gives no rows.
     """
-    parts = written(blocks(docs, byte_level, pieces, text, block), "token-blocks")
+    spark = docs.sparkSession
+    parts = _kept(blocks(docs, byte_level, pieces, text, block), "token-blocks")
     payload = parts.where("payload IS NOT NULL").select("block", "part", "payload")
     uses = parts.where("stretch IS NOT NULL").select("block", "k", "stretch")
-    coded = written(encode_stretches(uses.select("stretch").distinct(), byte_level, pieces), "token-stretches")
-    groups, links = align_stretches(coded)
-    names = coded.select("sid", "stretch")
-    told = uses.join(names.join(groups, "sid").select("stretch", "groups"), "stretch", "left").select("block", "k", "groups")
-    first = written(first_trip(payload, told, byte_level, pieces), "token-first")
-    sums = stretch_sums(links, pair_counts(first), most_rows)
-    told = uses.join(names.join(sums, "sid").select("stretch", "n_best", "count_sum"), "stretch", "left")
-    told = told.select("block", "k", *(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")))
-    second = second_trip(payload, told, byte_level, pieces)
+    aligned = align_stretches(uses, byte_level, pieces)
+    _tidy(spark)
+    told = uses.join(aligned.select("stretch", "groups"), "stretch", "left").select("block", "k", "groups")
+    first = _in_rounds(payload, told, lambda p, t: first_trip(p, t, byte_level, pieces), "token-first")
+    sums = written(stretch_sums(aligned, pair_counts(first), most_rows), "token-sums")
+    _tidy(spark)
+    told = uses.join(sums, "stretch", "left").select("block", "k", *(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")))
+    second = _in_rounds(payload, told, lambda p, t: second_trip(p, t, byte_level, pieces), "token-second")
     rows = first.where("at IS NOT NULL").join(second, ["block", "at"])
     whole = F.col("groups_sha256") != ""
     sums_of = [F.when(whole, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")]
