@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from .containment import containing
 
 
 def reify(extracted: DataFrame, normalize=tx.normalize_entity) -> DataFrame:
@@ -48,10 +49,15 @@ def route(questions: DataFrame, facts: DataFrame, k: int = 20) -> DataFrame:
     values = F.array_sort(F.array_distinct(F.transform("conditions", lambda c: c["value"])))
     plain = facts.select("fact_id", "label", "value_num", "unit", "source", values.alias("conds"), F.transform("conditions", lambda c: F.concat(c["value"], F.lit("\n"), F.coalesce(c["norm_value"], F.lit("")))).alias("texts"))
     bounds = asked.where("intent = 'rate_threshold'").select("question_id", tx.threshold(F.col("text")).alias("least"))
-    by_number = plain.join(bounds, F.col("value_num") >= F.col("least")).select("question_id", *plain.columns, (-F.col("value_num")).alias("by"))
-    keys = asked.where("intent <> 'rate_threshold'").select("question_id", tx.condition_keys(F.col("text")).alias("keys"))
-    hit = F.exists("texts", lambda t: F.exists("keys", lambda k: F.contains(t, k)))
-    by_key = plain.join(keys, hit).select("question_id", *plain.columns, F.col("value_num").alias("by"))
+    # the k largest of those that reach a bound are the first of the k largest of all
+    largest = plain.where("value_num IS NOT NULL").orderBy(F.desc("value_num"), "fact_id").limit(k)
+    listed = largest.agg(F.collect_list(F.struct(*plain.columns)).alias("facts"))
+    reached = bounds.crossJoin(F.broadcast(listed)).select("question_id", F.explode(F.filter("facts", lambda f: f["value_num"] >= F.col("least"))).alias("f"))  # one row of k facts
+    by_number = reached.select("question_id", "f.*").withColumn("by", -F.col("value_num"))
+    keys = asked.where("intent <> 'rate_threshold'").select("question_id", F.explode(tx.condition_keys(F.col("text"))).alias("key")).distinct()
+    texts = plain.select("fact_id", F.explode("texts").alias("text")).distinct()
+    hits = containing(texts.select("text"), keys.select("key")).join(keys, "key").join(texts, "text").select("question_id", "fact_id").distinct()
+    by_key = plain.join(hits, "fact_id").select("question_id", *plain.columns, F.col("value_num").alias("by"))
     both = by_number.unionByName(by_key)
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("by", "fact_id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "fact_id", "label", "value_num", "unit", "source", F.col("conds").alias("conditions"), "rank")

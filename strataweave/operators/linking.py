@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .containment import containing
+
 
 def numeric_like(name: Column, least: float = 0.5) -> Column:
     """At least half of the characters are digits."""
@@ -49,6 +51,7 @@ def safe_merges(pairs: DataFrame) -> DataFrame:
 def presence(entities: DataFrame, names: DataFrame) -> DataFrame:
     """For each asked ``name``: present (a node of that id), split (several contain it), dispersed (one does) or missing."""
     exact = names.join(entities.select(F.col("id").alias("name")).distinct().withColumn("_e", F.lit(True)), "name", "left")
-    part = names.join(entities.select("id").distinct(), F.contains("id", "name")).where("id <> name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    pairs = containing(entities.select(F.col("id").alias("text")), names.select(F.col("name").alias("key"))).toDF("id", "name")
+    part = pairs.where("id <> name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     joined = exact.join(part, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.select("name", F.when(F.col("_e"), "present").when(F.col("n") >= 2, "split").when(F.col("n") == 1, "dispersed").otherwise("missing").alias("status"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .containment import containing
 from .model import undirected
 
 #: Paths kept by number of hops, candidates after parsing, start nodes.
@@ -17,14 +18,14 @@ def start_nodes(nodes: DataFrame, keys: DataFrame, most: int = START_NODES) -> D
     """``question_id, id`` of at most ``most`` nodes whose search keys contain a question's key.
 
     ``keys`` has ``question_id, key``; a node without search keys has its id in
-    lower case. Exact matches come first, then higher pagerank, then id. Keys
-    are grouped by their text, so the nodes are scanned once for all questions;
-    the question keys are the small side.
+    lower case. Exact matches come first, then higher pagerank, then id. Terms
+    and keys meet by their grams (:func:`~.containment.containing`).
     """
     own = F.coalesce(F.col("search_keys"), F.array(F.lower("id"))) if "search_keys" in nodes.columns else F.array(F.lower("id"))
     rank = F.col("pagerank") if "pagerank" in nodes.columns else F.lit(0.0)
     terms = nodes.select("id", rank.alias("pagerank"), F.explode(own).alias("term"))
-    hits = terms.join(keys.where(F.length("key") > 0), F.contains("term", "key"))
+    pairs = containing(terms.select(F.col("term").alias("text")), keys).withColumnRenamed("text", "term")
+    hits = terms.join(pairs, "term").join(keys.select("question_id", "key").distinct(), "key")
     best = hits.groupBy("question_id", "id").agg(F.max((F.col("term") == F.col("key")).cast("int")).alias("exact"), F.max(F.coalesce("pagerank", F.lit(0.0))).alias("pagerank"))
     order = Window.partitionBy("question_id").orderBy(F.desc("exact"), F.desc("pagerank"), "id")
     return best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("question_id", "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from .ranges import between
 
 # What counts as a heading, a short name, and a reference to a document, page or section.
 HEADING = r"(?m)^\s*((?:[0-9]+\.){1,3}[0-9]+)\s*[ 　]?\S"
@@ -79,7 +80,7 @@ def extract(chunks: DataFrame, found: dict[str, DataFrame]) -> tuple[DataFrame,
     one = some.select("chunk_id", "source", F.posexplode(single).alias("at", "page"))
     by_page = one.join(pages.withColumnRenamed("chunk_id", "dst"), ["source", "page"]).select("chunk_id", "dst", F.lit("page").alias("kind"), F.concat(F.lit("P."), "page").alias("ref"), F.lit(1).alias("step"), "at", F.lit(0).alias("nth"))
     spans = some.select("chunk_id", "source", F.posexplode(zipped(SECTION_RANGE)).alias("at", "m")).select("chunk_id", "source", "at", F.col("m.all").alias("ref"), F.col("m.a").alias("a"), F.col("m.b").alias("b"))
-    in_span = spans.join(sections.withColumnRenamed("chunk_id", "dst"), "source").where("section BETWEEN a AND b").select("chunk_id", "dst", F.lit("section").alias("kind"), "ref", F.lit(2).alias("step"), "at", F.lit(0).alias("nth"))
+    in_span = between(sections.withColumnRenamed("chunk_id", "dst"), spans, ["source"], "section", "a", "b").select("chunk_id", "dst", F.lit("section").alias("kind"), "ref", F.lit(2).alias("step"), "at", F.lit(0).alias("nth"))
     named = some.select("chunk_id", "source", F.posexplode(_all(F.col("text"), SECTION, 1)).alias("at", "section"))
     by_name = named.join(sections.withColumnRenamed("chunk_id", "dst"), ["source", "section"]).select("chunk_id", "dst", F.lit("section").alias("kind"), F.col("section").alias("ref"), F.lit(3).alias("step"), "at", F.lit(0).alias("nth"))
     edges = by_range.unionByName(by_page).unionByName(in_span).unionByName(by_name).where("chunk_id <> dst")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import chunking, conditions, enrich, evaluate, hooks, references
+from ..operators import chunking, conditions, enrich, evaluate, hooks, ranges, references
 from ..streaming import revisions
 from .registry import query
 from .tables import Tables
@@ -19,26 +19,34 @@ def id_sanitize(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", url.rlike("^[0-9]").alias("is_value"), tx.normalize_entity_ascii(url).alias("norm"), tx.safe_identifier(url).alias("label"))
 
 
-_IDS = ["210円", "53", "1,000", "8.1%", "令和6年度", "2024年3月期", "牛乳", "第3版", "2025年度第3四半期", "約10時間"]
+_UNITS = ["円", "", "%", "年度", "年3月期", "牛乳", "版", "時間", "x", "年度第3四半期"]
 
 
 @query("""SELECT id, regexp_matches(id, '^[0-9０-９,，.．%％~〜+±▲△一-九十百千万億兆年月日円人件台時分秒回歳割約-]+$') OR regexp_matches(id, '^(令和|平成|昭和)[0-9０-９元一-九十]*(年度?|年)?$')
-    OR regexp_matches(id, '^[0-9０-９]{4}年?[0-9０-９]*月?(期|度)?(第[0-9０-９一-四]四半期)?$') AS is_value FROM (SELECT unnest(['""" + "', '".join(_IDS) + "']) AS id)", prelude=False)
+    OR regexp_matches(id, '^[0-9０-９]{4}年?[0-9０-９]*月?(期|度)?(第[0-9０-９一-四]四半期)?$') AS is_value
+    FROM (SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN '約' WHEN 1 THEN '令和' ELSE '' END || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || (['""" + "', '".join(_UNITS) + "'])[event_id % 10 + 1] AS id FROM events)", prelude=False)
 def value_flag(t: Tables) -> DataFrame:
-    return enrich.flag_values(t.spark.createDataFrame([(i,) for i in _IDS], "id string"))
+    """Amounts of events with and without units, as node ids."""
+    before = F.when(F.col("event_id") % 3 == 0, "約").when(F.col("event_id") % 3 == 1, "令和").otherwise("")
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("event_id") % 10 + 1).cast("int"))
+    ids = t.read("events").select(F.concat(before, F.floor("value").cast("long").cast("string"), unit).alias("id")).distinct()
+    return enrich.flag_values(ids)
 
 
-_QUESTIONS = ["休日の割増が３割以上の場合は", "すべての手当を列挙", "年5日以上取得できるか", "該当する条件は何か", "勤務時間は", "10%を超える割増"]
+_ASKED = ["割増が{}割以上の場合は", "手当をすべて列挙 {}", "年{}日以上取得できるか", "該当する条件{}は何か", "勤務時間{}は", "{}%を超える割増", "{}人と"]
 
 
-@query("""SELECT q, CASE WHEN regexp_matches(q, '全て|すべて|全部|列挙|網羅|もれなく|漏れなく|どんな場合|どのような場合|いずれの') THEN 'enumerate_all'
+@query("""SELECT event_id, CASE WHEN regexp_matches(q, '全て|すべて|全部|列挙|網羅|もれなく|漏れなく|どんな場合|どのような場合|いずれの') THEN 'enumerate_all'
     WHEN regexp_matches(q, '(以上|以下|未満|を超え|超える)') AND regexp_matches(q, '[0-9０-９]|％|%|割|倍') THEN 'rate_threshold'
     WHEN regexp_matches(q, '条件|が絡む|を含む|該当する') THEN 'condition_origin' ELSE 'none' END AS intent,
     coalesce(TRY_CAST(translate(regexp_extract(q, '([0-9０-９]+)\\s*(?:％|%|割|倍|日|円|時間|度)?\\s*(?:以上|を超え|超える|より大き)', 1), '０１２３４５６７８９', '0123456789') AS BIGINT), 0) AS threshold
-    FROM (SELECT unnest(['""" + "', '".join(_QUESTIONS) + "']) AS q)", prelude=False)
+    FROM (SELECT event_id, replace((['""" + "', '".join(_ASKED) + "'])[event_id % 7 + 1], '{}', translate(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), '0123456789', CASE WHEN event_id % 2 = 0 THEN '０１２３４５６７８９' ELSE '0123456789' END)) AS q FROM events)", prelude=False)
 def intent_classify(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(q,) for q in _QUESTIONS], "q string")
-    return rows.select("q", tx.condition_intent(F.col("q")).alias("intent"), tx.threshold(F.col("q")).alias("threshold"))
+    """Questions about the amounts of events, every other one in full-width digits."""
+    number = F.floor("value").cast("long").cast("string")
+    shown = F.when(F.col("event_id") % 2 == 0, F.translate(number, tx.DIGITS, tx.FULL_WIDTH_DIGITS)).otherwise(number)
+    asked = F.replace(F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("event_id") % 7 + 1).cast("int")), F.lit("{}"), shown)
+    return t.read("events").select("event_id", tx.condition_intent(asked).alias("intent"), tx.threshold(asked).alias("threshold"))
 
 
 @query("""SELECT doc_id, sha256(source || chr(10) || text) AS chunk_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents""", prelude=False)
@@ -58,14 +66,47 @@ def fact_ids(t: Tables) -> DataFrame:
     return conditions.reify(rows, lambda c: c).select("fact_id", "extraction_count")
 
 
-@query("""SELECT 1 AS question_id, event_id, CAST(value AS BIGINT) AS value_num FROM events WHERE CAST(floor(value) AS BIGINT) >= 60 AND value = floor(value) ORDER BY value_num DESC, CAST(event_id AS VARCHAR) LIMIT 20""".replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)").replace(" AND value = floor(value)", ""), prelude=False)
+@query("""SELECT question_id, event_id, value_num FROM (
+        SELECT c_custkey AS question_id, event_id, value_num, row_number() OVER (PARTITION BY c_custkey ORDER BY value_num DESC, CAST(event_id AS VARCHAR)) AS rank
+        FROM customer JOIN (SELECT event_id, CAST(floor(value) AS BIGINT) AS value_num, row_number() OVER (ORDER BY floor(value) DESC, CAST(event_id AS VARCHAR)) AS n FROM events QUALIFY n <= 20)
+        ON value_num >= greatest(0, CAST(floor(abs(c_acctbal)) AS BIGINT)) // 10) WHERE rank <= 20""", prelude=False)
 def threshold_facts(t: Tables) -> DataFrame:
+    """Every customer asks for amounts of a tenth of their balance or more."""
     none = F.array().cast("array<struct<value:string,norm_value:string>>")
     facts = t.read("events").select(F.col("event_id").cast("string").alias("fact_id"), F.lit("l").alias("label"), F.floor("value").cast("long").alias("value_num"), F.lit("%").alias("unit"), F.lit("s").alias("source"), none.alias("conditions"))
-    asked = t.spark.createDataFrame([(1, "60%以上の値は")], "question_id int, text string")
+    least = F.floor(F.floor(F.abs("c_acctbal")) / 10).cast("long").cast("string")
+    asked = t.read("customer").select(F.col("c_custkey").alias("question_id"), F.concat(least, F.lit("%以上の値は")).alias("text"))
     return conditions.route(asked, facts, 20).select("question_id", F.col("fact_id").cast("long").alias("event_id"), "value_num")
 
 
+@query("""WITH f AS (SELECT CAST(p_partkey AS VARCHAR) AS fact_id, p_size AS value_num, p_type AS cond FROM part),
+    q AS (SELECT CAST(s_suppkey AS VARCHAR) AS question_id, (['平日', '休日の場合', '深夜ー'])[s_suppkey % 3 + 1] || (['区分', '年度', '手当', '勤続'])[s_suppkey % 4 + 1] AS key FROM supplier),
+    c AS (SELECT fact_id, value_num, (['平日', '休日の場合', '深夜ー'])[CAST(fact_id AS BIGINT) % 3 + 1] || (['区分', '年度', '手当', '勤続'])[CAST(fact_id AS BIGINT) % 4 + 1] || (['', '割増', '時'])[CAST(fact_id AS BIGINT) % 5 % 3 + 1] AS cond FROM f)
+    SELECT question_id, fact_id FROM (SELECT question_id, fact_id, row_number() OVER (PARTITION BY question_id ORDER BY value_num, fact_id) AS rank FROM q JOIN c ON contains(cond, key)) WHERE rank <= 20""", prelude=False)
+def condition_routes(t: Tables) -> DataFrame:
+    """Suppliers ask about a condition; parts are facts that hold under one or a longer one."""
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (by % len(words) + 1).cast("int"))
+    name = lambda key: F.concat(pick(["平日", "休日の場合", "深夜ー"], key), pick(["区分", "年度", "手当", "勤続"], key))
+    k = F.col("p_partkey")
+    cond = F.concat(name(k), pick(["", "割増", "時"], k % 5))
+    facts = t.read("part").select(k.cast("string").alias("fact_id"), F.lit("l").alias("label"), F.col("p_size").cast("long").alias("value_num"), F.lit("").alias("unit"), F.lit("s").alias("source"), F.array(F.struct(cond.alias("value"), F.lit("").alias("norm_value"))).alias("conditions"))
+    asked = t.read("supplier").select(F.col("s_suppkey").cast("string").alias("question_id"), F.concat(F.lit("A "), name(F.col("s_suppkey")), F.lit(" を含む")).alias("text"))
+    return conditions.route(asked.withColumn("text", F.replace("text", F.lit(" を含む"), F.lit(" (を含む)"))), facts, 20).select("question_id", "fact_id")
+
+
+@query("""WITH p AS (SELECT l_suppkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, l_orderkey, l_linenumber FROM lineitem),
+    s AS (SELECT s_suppkey, '199' || (2 + s_suppkey % 6) || '-0' || (1 + s_suppkey % 9) || '-01' AS a, '199' || (2 + s_suppkey % 6) || '-12-' || (10 + s_suppkey % 20) AS b FROM supplier)
+    SELECT s_suppkey, day, count(*) AS n FROM p JOIN s ON l_suppkey = s_suppkey AND day BETWEEN a AND b GROUP BY ALL""", prelude=False)
+def section_ranges(t: Tables) -> DataFrame:
+    """Shipments as sections of their supplier's document, by day as text; each supplier refers to a range of days."""
+    k = F.col("s_suppkey")
+    year = F.concat(F.lit("199"), (2 + k % 6).cast("string"))
+    spans = t.read("supplier").select(k.alias("source"), F.concat(year, F.lit("-0"), (1 + k % 9).cast("string"), F.lit("-01")).alias("a"), F.concat(year, F.lit("-12-"), (10 + k % 20).cast("string")).alias("b"))
+    points = t.read("lineitem").select(F.col("l_suppkey").alias("source"), F.to_date("l_shipdate").cast("string").alias("section"))
+    found = ranges.between(points, spans, ["source"], "section", "a", "b")
+    return found.groupBy(F.col("source").alias("s_suppkey"), F.col("section").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT src, type, dst, CASE type WHEN 'PART_OF' THEN src || 'は' || dst || 'の一部である' WHEN 'USES' THEN src || 'は' || dst || 'を使用する' WHEN 'BELONGS_TO_CATEGORY' THEN src || 'は' || dst || 'に属する' ELSE src || 'は' || dst || 'を含む' END AS sentence FROM edges""")
 def triple_sentences(t: Tables) -> DataFrame:
     return t.edges.select("src", "type", "dst", tx.triple_sentence(F.col("src"), F.col("type"), F.col("dst")).alias("sentence"))
