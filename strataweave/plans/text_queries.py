@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import grammar, lattice
 from ..functions import text as tx
-from ..operators import chunking, conditions, enrich, evaluate, hooks, ranges, references
+from ..operators import chunking, conditions, enrich, evaluate, hooks, ranges, references, tables
 from ..streaming import revisions
 from .registry import query
 from .tables import Tables
@@ -184,3 +185,42 @@ def entity_documents(t: Tables) -> DataFrame:
 @query("SELECT src || '、k。' || src || ' ' || type || ' ' || dst AS text FROM edges")
 def relation_documents(t: Tables) -> DataFrame:
     return t.edges.select(tx.relation_document(F.array("src", F.lit("k")), F.col("src"), F.col("type"), F.col("dst")).alias("text"))
+
+
+@query("SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) AS words FROM part", prelude=False)
+def segmented_names(t: Tables) -> DataFrame:
+    """Names and types of parts written without spaces, cut by a lattice over the words of all of them."""
+    words = t.read("part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("word"))
+    cut = lattice.tokenizer(lattice.lexicon(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))))
+    joined = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_type"))
+    return t.read("part").select("p_partkey", F.array_join(cut(joined), " ").alias("words"))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(value AS DECIMAL(18, 2)) AS v, event_id % 4 AS k FROM events)
+    SELECT event_id, (['圧力', '寸法', '重量', '比率'])[k + 1] AS parameter, (['>=', '<=', '<', '>'])[k + 1] AS operator, CAST(v AS DOUBLE) AS value, (['kPa', 'mm', 'kg', '割'])[k + 1] AS unit,
+        round(CAST(v AS DOUBLE) * (['1000', '0.001', '1000', '10'])[k + 1]::DOUBLE, 6) AS base_value, (['Pa', 'm', 'g', '%'])[k + 1] AS base_unit FROM e""", prelude=False)
+def condition_predicates(t: Tables) -> DataFrame:
+    """Amounts of events as conditions in a sentence, with decimals, every other one in full-width digits."""
+    k = F.col("event_id") % 4
+    pick = lambda *words: F.element_at(F.array(*map(F.lit, words)), (k + 1).cast("int"))
+    amount = F.col("value").cast("decimal(18, 2)").cast("string")
+    amount = F.when(F.col("event_id") % 2 == 0, F.translate(amount, tx.DIGITS + ".", tx.FULL_WIDTH_DIGITS + "．")).otherwise(amount)
+    text = F.concat(F.lit("通常、"), pick("圧力", "寸法", "重量", "比率"), pick("が", "は", "の", "、"), amount, pick("kPa", "mm", "kg", "割"), pick("以上", "以下", "未満", "を超える"), F.lit("の場合"))
+    found = t.read("events").select("event_id", F.explode(grammar.predicates(text)).alias("p")).select("event_id", "p.*")
+    return found.select("event_id", "parameter", "operator", F.col("value").cast("double").alias("value"), "unit", F.round(F.col("base_value").cast("double"), 6).alias("base_value"), "base_unit")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_quantity) - 1 AS i FROM lineitem),
+    r AS (SELECT l_orderkey, i, '| ' || l_orderkey || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS BIGINT) || ' | ' || CASE WHEN i % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE 'q ' || i END || ' |' || CASE WHEN i = 0 THEN chr(10) || '| --- | --- | --- | --- |' ELSE '' END AS line FROM l)
+    SELECT CAST(l_orderkey AS VARCHAR) AS table_id, string_agg(line, chr(10) ORDER BY i) AS markdown FROM r GROUP BY l_orderkey""", prelude=False)
+def merged_cell_tables(t: Tables) -> DataFrame:
+    """An order as a table: its key beside all lines, each line's quantity in one cell or two."""
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_quantity")) - 1
+    lines = t.read("lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").cast("string").alias("q"), nth.alias("i"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("all"))
+    cell = lambda n, down, across, text: F.struct(F.lit(n).alias("n"), down.cast("int").alias("row_span"), F.lit(across).alias("column_span"), text.alias("text"))
+    one, i = F.lit(1), F.col("i")
+    key, part = cell(0, F.col("all"), 1, F.col("l_orderkey").cast("string")), cell(1, one, 1, F.col("l_partkey").cast("string"))
+    wide, narrow, note = cell(2, one, 2, F.col("q")), cell(2, one, 1, F.col("q")), cell(3, one, 1, F.concat(F.lit("q\n"), i.cast("string")))
+    cells = F.concat(F.when(i == 0, F.array(key)).otherwise(F.array_remove(F.array(key), key)), F.array(part), F.when(i % 2 == 0, F.array(wide)).otherwise(F.array(narrow, note)))
+    listed = lines.select(F.col("l_orderkey").alias("table_id"), i.alias("row"), F.explode(cells).alias("c")).select("table_id", "row", "c.*")
+    return tables.markdown(tables.grid(tables.placed(listed)))
