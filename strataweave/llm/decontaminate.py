@@ -117,7 +117,12 @@ class Items:
         for index in self.indexes:
             for all_, some in zip(found, index.leaks(texts)):
                 all_ += some
-        return [sorted(f) for f in found]
+        return [sorted(f, key=_by_item) for f in found]
+
+
+def _by_item(leak: tuple[int | None, ...]) -> tuple[bool, tuple[int, ...]]:
+    """The order of leaks: by item_id, a missing one last, then as they are."""
+    return leak[0] is None, tuple(x or 0 for x in leak)
 
 
 def _summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +193,7 @@ class ItemIndex:
             match = self._verify(texts[t], k, low, low + s + e - 1, e)
             if match and (k not in found[t] or (match[2], match[0]) < (found[t][k][2], found[t][k][0])):
                 found[t][k] = match
-        return [[(self.items[k][0], *f[k]) for k in sorted(f, key=lambda k: (self.items[k][0], k))] for f in found]
+        return [[(self.items[k][0], *f[k]) for k in sorted(f, key=lambda k: _by_item((self.items[k][0], k)))] for f in found]
 
     def _bands(self, at: np.ndarray, where: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``text, item, band`` of the hits, and how many each has."""
@@ -229,7 +234,7 @@ def find_leaks(
     ``leaks`` is an array of ``item_id, start, end, distance``, one for each item
     that occurs in the text with at most ``error`` of its characters edited
     (places count characters of the text as :func:`plain` gives it; of several
-    the nearest, then the first), by item_id. Items of fewer than q characters
+    the nearest, then the first), by item_id, items without one last. Items of fewer than q characters
     occur where they stand between word boundaries as they are; empty and null
     ones are contained in nothing. Equal items are each found. Null texts are
     empty; long ones are searched whole. An empty benchmark gives empty arrays.
@@ -274,7 +279,7 @@ def _pass(df: DataFrame, block, q: int, error: float, text: str, others: list[st
                 found += index.leaks([plain(t) for t in texts])
             before = batch.column(len(others)).to_pylist()
             rows = [[*(tuple(x.values()) for x in old), *new] for old, new in zip(before, found)]
-            leaks = pa.array([[dict(zip(("item_id", "start", "end", "distance"), x)) for x in sorted(r)] for r in rows], kind)
+            leaks = pa.array([[dict(zip(("item_id", "start", "end", "distance"), x)) for x in sorted(r, key=_by_item)] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], leaks], names=result.names)
 
     return df.transform(bounded).mapInArrow(work, result)

@@ -343,11 +343,14 @@ def keep_one(
     """One row of each class of ``docs`` with all columns: that of the smallest doc_id, a missing one last.
 
     Rows in classes of one are never dropped. Other rows of a dropped doc_id are
-    not touched. Rows of equal doc_id and text are one row here: they all stay or
-    all go.
+    not touched. Of rows repeated in doc_id and text one stays, if any does;
+    texts without words are no class and all stay.
     """
     found = _classes(docs, threshold, n, tolerance, text, block_sets, block_grams)
-    dropped = written(found.where("row <> keeper").select("row").distinct(), "join-dropped")
+    fate = found.groupBy("row").agg(F.max(F.col("row") != F.col("keeper")).alias("goes"), F.count(F.lit(1)).alias("times"), F.max("class_size").alias("class_size"))
+    fate = written(fate.where("goes OR (times > 1 AND class_size > 1)").select("row", "goes"), "join-fates")
     name = free_name(docs, "row")
-    located = docs.withColumn(name, _row(text))
-    return located.join(dropped.withColumnRenamed("row", name), name, "left_anti").select(*docs.columns)
+    told = free_name(docs, "goes")
+    located = docs.withColumn(name, _row(text)).join(fate.toDF(name, told), name, "left").where(f"`{told}` IS NULL OR NOT `{told}`")
+    once = located.where(f"`{told}` IS NOT NULL").dropDuplicates([name])
+    return located.where(f"`{told}` IS NULL").unionByName(once).select(*docs.columns)

@@ -175,3 +175,24 @@ def test_decontamination_of_odd_tables(spark, clashing, empty):
     assert dc.report(clashing, bench.limit(0)).where("contaminated").count() == 0
     split = dc.find_leaks(clashing.select("doc_id", "text"), bench, block_chars=10)
     assert {r.doc_id: [x.item_id for x in r.leaks] for r in split.collect() if r.leaks}[1] == [1, 5]
+
+
+def test_items_without_id_come_last_and_long_texts_are_searched_whole(spark):
+    items = spark.createDataFrame([(None, "the secret passage about seven green bottles"), (3, "another item with enough letters in it"), (None, "another item with enough letters in it")], "item_id long, text string")
+    leak = "xx the secret passage about seven green bottles yy another item with enough letters in it zz"
+    far = "filler words " * 90_000 + leak
+    docs = spark.createDataFrame([(1, leak), (2, far), (3, "clean")], "doc_id long, text string")
+    found = {r.doc_id: r.item_ids for r in dc.report(docs, items).collect()}
+    assert found == {1: [3, None, None], 2: [3, None, None], 3: []}
+    assert [r.doc_id for r in dc.drop_contaminated(docs, items).collect()] == [3]
+
+
+def test_of_repeated_rows_one_stays(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"v{i % 7919}" for i in range(120_000))
+    rows = [(1, a)] * 3 + [(2, a + " end")] + [(3, None)] * 2 + [(4, "")] * 2 + [(5, "other words of its own here")] * 2 + [(6, long), (7, long + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text is not None and len(r.text)) for r in nj.keep_one(docs).collect())
+    assert kept == [(1, len(a)), (3, False), (3, False), (4, 0), (4, 0), (5, 27), (6, len(long))]
+    clash = docs.selectExpr("*", "1 AS row", "2 AS goes")
+    assert nj.keep_one(clash).count() == 7 and nj.keep_one(clash).columns == clash.columns
