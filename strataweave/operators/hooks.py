@@ -84,15 +84,67 @@ def cooccurrence_triples(chunks: DataFrame, entities: DataFrame) -> tuple[DataFr
     return pairs.select("p.src", F.lit("RELATED_TO").alias("type"), "p.dst", "chunk_id"), hits.select("chunk_id", F.col("id").alias("node_id"))
 
 
-_WRITES = re.compile(r"\b(create|merge|delete|set|remove|detach|drop|call|load|insert|update|alter|truncate|grant)\b", re.I)
-
-
-def read_only_sql(spark, text: str, most: int = 500) -> DataFrame:
-    """Runs one reading statement over the registered views, at most ``most`` rows; anything else is refused.
-
-    Words that change data are refused even inside literals.
+# The kinds of plan that a reading statement consists of, and functions that run other code.
+READING = (
+    "Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation Pivot Project Sample Sort SubqueryAlias"
+    " Tail Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases"
+    " UnresolvedWith Unpivot Window WithWindowDefinition"
+).split()
+OTHER_CODE = "java_method reflect try_reflect".split()
+
+
+def _all_of(items) -> Iterator:
+    each = items.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
+def _kind(node) -> str:
+    return node.getClass().getName().rsplit(".", 1)[-1].rstrip("$")
+
+
+def _functions(expression) -> Iterator[str]:
+    if _kind(expression) == "UnresolvedFunction":
+        yield expression.nameParts().last().lower()
+    for part in _all_of(expression.children()):
+        yield from _functions(part)
+
+
+def statement_parts(plan) -> tuple[set[str], set[str], set[str]]:
+    """The kinds of nodes of a parsed statement, subqueries included, its functions, and the relations that it reads."""
+    kinds, functions, relations = {_kind(plan)}, set(), set()
+    if _kind(plan) == "UnresolvedRelation":
+        relations.add(plan.multipartIdentifier().mkString("."))
+    if _kind(plan) == "UnresolvedWith":
+        own = {pair._1() for pair in _all_of(plan.cteRelations())}
+    else:
+        own = set()
+    for expression in _all_of(plan.expressions()):
+        functions.update(_functions(expression))
+    for part in [*_all_of(plan.children()), *_all_of(plan.innerChildren())]:
+        for mine, other in zip((kinds, functions, relations), statement_parts(part)):
+            mine |= other
+    return kinds, functions, relations - own
+
+
+def read_only_sql(spark, text: str, most: int = 500, views: list[str] | None = None) -> DataFrame:
+    """Runs one reading statement, at most ``most`` rows; anything else is refused.
+
+    Spark's parser tells what the statement is: every node of its plan, those of
+    subqueries too, must be one that reads. Words in literals and names don't
+    matter. ``views`` may name the only relations to be read (beside those that
+    the statement defines itself). Functions that run other code are refused.
     """
-    bare = re.sub(r"^```(?:sql)?|```$", "", text.strip(), flags=re.M).strip().rstrip(";")
-    if _WRITES.search(bare) or ";" in bare or not re.match(r"(?is)(select|with|values|table|from)\b", bare):
-        raise ValueError("only reading statements are allowed")
+    bare = re.sub(r"^```(?:sql)?|```$", "", text.strip(), flags=re.M).strip().rstrip(";").strip()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare)
+    except Exception as error:
+        raise ValueError("the statement can't be parsed") from error
+    kinds, functions, relations = statement_parts(plan)
+    if wrong := kinds - set(READING):
+        raise ValueError(f"only reading statements are allowed, not {', '.join(sorted(wrong))}")
+    if wrong := functions & set(OTHER_CODE):
+        raise ValueError(f"functions that run other code are not allowed: {', '.join(sorted(wrong))}")
+    if views is not None and (wrong := {r.lower() for r in relations} - {v.lower() for v in views}):
+        raise ValueError(f"not to be read: {', '.join(sorted(wrong))}")
     return spark.sql(bare).limit(most)

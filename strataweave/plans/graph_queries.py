@@ -262,6 +262,19 @@ def prune_edges(t: Tables) -> DataFrame:
     return pruned.select("src", "type", "dst", F.size(F.coalesce("source_chunks", F.array())).cast("long").alias("n_chunks"))
 
 
+@query(f"""+ gone AS ({_GONE}), flat AS (SELECT src, type, dst, unnest(source_chunks) AS chunk_id FROM edges WHERE type = 'USES'),
+    left_over AS (SELECT src, type, dst, count(*) AS n, count(g.chunk_id) AS lost FROM flat LEFT JOIN gone g USING (chunk_id) GROUP BY ALL),
+    m AS (SELECT * FROM mentions ANTI JOIN gone USING (chunk_id)),
+    ends AS (SELECT src AS id FROM left_over WHERE lost < n UNION ALL SELECT dst FROM left_over WHERE lost < n)
+    SELECT 'chunks' AS kind, count(*) AS n FROM gone UNION ALL SELECT 'mentions', count(*) FROM mentions SEMI JOIN gone USING (chunk_id)
+    UNION ALL SELECT 'edges changed', count(*) FROM left_over WHERE lost > 0 AND lost < n UNION ALL SELECT 'edges', count(*) FROM left_over WHERE lost = n
+    UNION ALL SELECT 'nodes', count(*) FROM (SELECT DISTINCT id FROM nodes) ANTI JOIN (SELECT node_id AS id FROM m UNION ALL SELECT id FROM ends) USING (id)""")
+def prune_counts(t: Tables) -> DataFrame:
+    """What removing urgent orders would take from the graph of sales."""
+    tables = {"chunks": t.order_chunks, "mentions": t.mentions, "edges": t.edges.where("type = 'USES'"), "nodes": t.nodes.select("id").distinct()}
+    return maintain.prune_report(tables, t.order_chunks.where("source = '1-URGENT'"))
+
+
 @query("SELECT DISTINCT id FROM nodes ANTI JOIN (SELECT node_id AS id FROM mentions UNION ALL SELECT src FROM edges WHERE type = 'USES' UNION ALL SELECT dst FROM edges WHERE type = 'USES') m USING (id)")
 def orphans(t: Tables) -> DataFrame:
     return maintain.orphans(t.nodes, t.mentions, t.edges.where("type = 'USES'"))

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import grammar, lattice
 from ..functions import text as tx
 from ..operators import chunking, conditions, enrich, evaluate, hooks, ranges, references, tables
+from ..sources.shared import scratch
+from ..sources.snapshots import SnapshotStore
 from ..streaming import revisions
 from .registry import query
 from .tables import Tables
@@ -224,3 +226,30 @@ def merged_cell_tables(t: Tables) -> DataFrame:
     cells = F.concat(F.when(i == 0, F.array(key)).otherwise(F.array_remove(F.array(key), key)), F.array(part), F.when(i % 2 == 0, F.array(wide)).otherwise(F.array(narrow, note)))
     listed = lines.select(F.col("l_orderkey").alias("table_id"), i.alias("row"), F.explode(cells).alias("c")).select("table_id", "row", "c.*")
     return tables.markdown(tables.grid(tables.placed(listed)))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '^[^\n]*\n?', '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0),
+    l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+    w AS (SELECT doc_id, line, string_split(line, ' ') AS w FROM l WHERE len(string_split(line, ' ')) > 1)
+    SELECT w[1] AS src, w[2] AS dst, CAST(count(*) AS INTEGER) AS chunks FROM w GROUP BY ALL""", prelude=False)
+def revisions_applied(t: Tables) -> DataFrame:
+    """All documents as a first batch of revisions; then a third of them lose their first line and a seventh go; each batch comes twice."""
+    store = SnapshotStore(t.spark, scratch(t.spark, "snapshots"))
+    kinds = {"chunks": "chunk_id string, source string, page int, text string", "mentions": "chunk_id string, node_id string", "edges": "src string, type string, dst string, extraction_count long, source_chunks array<string>", "nodes": "id string"}
+    revisions.begun(store, {name: t.spark.createDataFrame([], kind) for name, kind in kinds.items()})
+
+    def chunker(docs: DataFrame) -> DataFrame:
+        lines = docs.select("source", F.posexplode(F.split("text", "\n", -1)).alias("page", "text")).dropDuplicates(["source", "text"])
+        return lines.select(tx.chunk_id(F.col("source"), F.col("text")).alias("chunk_id"), "source", "page", "text")
+
+    def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        words = chunks.select("chunk_id", F.split("text", " ", -1).alias("w")).where("size(w) > 1")
+        return words.select(F.get("w", F.lit(0)).alias("src"), F.lit("FOLLOWS").alias("type"), F.get("w", F.lit(1)).alias("dst"), "chunk_id"), words.select("chunk_id", F.get("w", F.lit(0)).alias("node_id"))
+
+    update = revisions.applied(store, chunker, extract)
+    docs = t.read("documents").select("doc_id", F.lit(1).cast("long").alias("version"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("source"), "text")
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.regexp_replace("text", "^[^\n]*\n?", ""))
+    changed = docs.where("doc_id % 3 = 0 OR doc_id % 7 = 0").withColumns({"version": F.lit(2).cast("long"), "text": text})
+    for number, batch in ((0, docs), (0, docs), (1, changed), (1, changed)):
+        update(batch, number)
+    return store.tables()["edges"].select("src", "dst", F.size("source_chunks").alias("chunks"))

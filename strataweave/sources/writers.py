@@ -45,15 +45,68 @@ def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def backup(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """JSON lines of both kinds, compressed."""
+def backup(nodes: DataFrame, edges: DataFrame, path: str, parts: int = 16) -> DataFrame:
+    """JSON lines of both kinds, compressed, in parts by a hash of the row; returns the manifest ``kind, part, n, hash``.
+
+    The manifest is written last: a backup without one is not whole.
+    """
     a = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("row"))
     b = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("*")).alias("row"))
-    a.unionByName(b).write.option("compression", "gzip").json(path)
+    rows = a.unionByName(b).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    rows.write.partitionBy("kind", "part").option("compression", "gzip").json(f"{path}/rows")
+    _checksums(_backed_up(nodes.sparkSession, f"{path}/rows")).coalesce(1).write.parquet(f"{path}/manifest")
+    return nodes.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def _backed_up(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("row string, kind string, part int").json(path)
+
+
+def _checksums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row").cast("decimal(38, 0)")).cast("string").alias("hash"))
+
+
+def resume(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Takes a backup over into ``target`` part by part: ``kind, part, n, state``.
+
+    A part whose rows the target has whole, by count and hash, is left alone
+    (``kept``), so what broke off goes on where it stopped; others are written
+    anew (``written``). A part of the backup that is not as its manifest says is
+    an error before anything of it is written.
+    """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    source, wanted = _backed_up(spark, f"{path}/rows"), sorted(manifest.collect())
+    there = {}
+    if _exists(spark, target):
+        there = {(r.kind, r.part): (r.n, r.hash) for r in _checksums(_backed_up(spark, target)).collect()}
+    found = {(r.kind, r.part): (r.n, r.hash) for r in _checksums(source).collect()}
+    out = []
+    for r in wanted:
+        if there.get((r.kind, r.part)) == (r.n, r.hash):
+            out.append((r.kind, r.part, r.n, "kept"))
+            continue
+        if found.get((r.kind, r.part)) != (r.n, r.hash):
+            raise ValueError(f"part {r.part} of the {r.kind}s is not what the manifest says")
+        rows = source.where((F.col("kind") == r.kind) & (F.col("part") == r.part)).select("row")
+        rows.write.mode("overwrite").option("compression", "gzip").json(f"{target}/kind={r.kind}/part={r.part}")
+        out.append((r.kind, r.part, r.n, "written"))
+    return spark.createDataFrame(out, "kind string, part int, n long, state string")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def wipe(spark: SparkSession, path: str) -> bool:
+    """Removes a table's folder; whether there was one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def restore(spark: SparkSession, path: str, nodes_schema: str, edges_schema: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark.read.schema("kind string, row string").json(path)
+    """Nodes and edges of a backup, or of what :func:`resume` took over."""
+    rows = _backed_up(spark, f"{path}/rows" if _exists(spark, f"{path}/rows") else path)
     part = lambda kind, schema: rows.where(F.col("kind") == kind).select(F.from_json("row", schema).alias("r")).select("r.*")
     return part("node", nodes_schema), part("edge", edges_schema)
 
