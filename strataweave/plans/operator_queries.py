@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors
-from ..operators import bundles, conditions, enrich, evaluate, linking, maintain, model, paths, reports, retrieval
+from ..operators import bundles, cascade, conditions, enrich, evaluate, linking, maintain, model, paths, reports, retrieval
 from ..sources import readers, writers
 from .registry import query
 from .tables import Tables
@@ -430,3 +430,35 @@ def consolidated_nodes(t: Tables) -> DataFrame:
 def edges_with_dictionary(t: Tables) -> DataFrame:
     entries = t.spark.createDataFrame([("nation:1", ["nation:2", "nation:99"], "c", "d", "n")], "canonical string, aliases array<string>, category string, definition string, notes string")
     return bundles.with_dictionary(_plain_nodes(t).drop("canonical_form"), t.edges, t.mentions, entries)[1].select("src", "type", "dst", "extraction_count")
+
+
+_SPELLINGS = """WITH names AS (SELECT p_partkey AS k, p_name || ' no ' || p_partkey AS id, 1.0::DOUBLE AS rank FROM part
+        UNION ALL SELECT p_partkey, upper(p_name) || '  NO ' || p_partkey, 0.5 FROM part WHERE p_partkey % 5 = 0
+        UNION ALL SELECT p_partkey, left(p_name, 2) || substr(p_name, 4) || ' no ' || p_partkey, 0.25 FROM part WHERE p_partkey % 7 = 0)"""
+
+
+def _spellings(t: Tables) -> DataFrame:
+    """Parts under their name and number, some in capitals too, some with a letter missing."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    number = F.concat(F.lit(" no "), k.cast("string"))
+    rows = t.read("part").select(k.alias("k"), F.concat(name, number).alias("id"), F.lit(1.0).alias("pagerank"))
+    loud = t.read("part").where(k % 5 == 0).select(k.alias("k"), F.concat(F.upper(name), F.lit(" "), F.upper(number)).alias("id"), F.lit(0.5).alias("pagerank"))
+    short = t.read("part").where(k % 7 == 0).select(k.alias("k"), F.concat(F.left(name, F.lit(2)), F.substr(name, F.lit(4)), number).alias("id"), F.lit(0.25).alias("pagerank"))
+    return rows.unionByName(loud).unionByName(short).withColumn("label", F.lit("part"))
+
+
+@query(_SPELLINGS + " SELECT a.id AS old, b.id AS new FROM names a JOIN names b ON a.k = b.k AND b.rank = 1.0 WHERE a.rank < 1.0", prelude=False)
+def linked_names(t: Tables) -> DataFrame:
+    none = t.spark.createDataFrame([], "src string, type string, dst string, extraction_count long, source_chunks array<string>")
+    return cascade.link(_spellings(t), none).mapping
+
+
+@query(_SPELLINGS + """, e AS (SELECT a.id AS src, b.id AS dst FROM names a JOIN names b ON b.k = a.k + 1),
+    m AS (SELECT a.id AS old, b.id AS new FROM names a JOIN names b ON a.k = b.k AND b.rank = 1.0)
+    SELECT s.new AS src, d.new AS dst, count(*) AS extraction_count FROM e JOIN m s ON s.old = e.src JOIN m d ON d.old = e.dst GROUP BY ALL""", prelude=False)
+def linked_graph(t: Tables) -> DataFrame:
+    """Every spelling of a part points to every spelling of the next; then each part is one node."""
+    names = _spellings(t)
+    edges = names.select("k", F.col("id").alias("src")).join(names.select((F.col("k") - 1).alias("k"), F.col("id").alias("dst")), "k")
+    edges = edges.select("src", F.lit("NEXT").alias("type"), "dst", F.lit(1).cast("long").alias("extraction_count"), F.lit(None).cast("array<string>").alias("source_chunks"))
+    return cascade.merged_graph(names, edges, cascade.link(names, edges))[1].select("src", "dst", "extraction_count")
