@@ -40,6 +40,10 @@ def split_sections(markdown: str) -> Iterator[tuple[str | None, str | None, str]
         yield h2, h3, text
 
 
+#: Where long pages are cut, the first that does.
+PAGE_SEPARATORS = ["\n\n", "\n", "。", "、", " ", ""]
+
+
 def split_text(text: str, size: int = 1024, overlap: int = 100, separators: list[str] | None = None) -> list[str]:
     """Pieces of at most ``size`` characters, cut at the first separator that occurs, the next ones where a part is still too long.
 
@@ -124,6 +128,23 @@ def page_chunks(docs: DataFrame, thin: int = 100, fallback: DataFrame | None = N
     return rows.join(other, ["source", "page"], "left").select("source", "page", F.when(poor, F.coalesce("other", "text")).otherwise(F.col("text")).alias("text"))
 
 
+def split_pages(pages: DataFrame, most: int = 1000, overlap: int = 80) -> DataFrame:
+    """``chunk_id, source, page, sub, text`` of pages (``source, page, text``): long ones in parts, empty ones left out.
+
+    A part keeps its page's number; ``sub`` counts the parts of a page from 0. The
+    id is a hash of source, page, part and the first 200 characters.
+    """
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        whole = texts.fillna("").str.strip()
+        return whole.map(lambda t: [t] if 0 < len(t) <= most else split_text(t, most, overlap, PAGE_SEPARATORS) if t else [])
+
+    rows = pages.select("source", "page", F.posexplode(parts("text")).alias("sub", "text"))
+    key = F.concat_ws("|", "source", F.col("page").cast("string"), F.col("sub").cast("string"), F.left("text", F.lit(200)))
+    return rows.select(F.sha2(key, 256).alias("chunk_id"), "source", "page", "sub", "text")
+
+
 def html_text(pages: DataFrame) -> DataFrame:
     """``url, title, text`` of web pages: scripts and styles dropped, headers as Markdown, tags gone, lines trimmed."""
     html = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")

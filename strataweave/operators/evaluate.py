@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 
@@ -58,8 +59,8 @@ def triple_scores(gold: DataFrame, found: DataFrame, symmetric: tuple[str, ...]
 
 
 def answer_scores(records: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Exact match, containment and character F1 of ``predicted`` against ``gold``, over all records of a group."""
-    p, g = tx.answer_form(F.col("predicted")), tx.answer_form(F.col("gold"))
+    """Exact match, containment and character F1 of ``predicted`` against ``gold``, over all records of a group; yes and no in any words."""
+    p, g = tx.folded_answer(F.col("predicted")), tx.folded_answer(F.col("gold"))
     rows = records.withColumns({"_p": p, "_g": g, "_n": F.monotonically_increasing_id()})
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     common = F.aggregate(
@@ -71,7 +72,7 @@ def answer_scores(records: DataFrame, group: list[str] | None = None) -> DataFra
     return rows.groupBy(*(group or [])).agg(
         F.count(F.lit(1)).alias("n"),
         _share(F.col("_p") == F.col("_g")).alias("exact"),
-        _share((F.col("_g") != "") & F.contains("_p", "_g")).alias("contained"),
+        _share(tx.answer_contained(F.col("gold"), F.col("predicted"))).alias("contained"),
         F.avg(f1).alias("f1"),
     )
 
@@ -122,6 +123,23 @@ def recurrence(keys: DataFrame, least: int = 2) -> DataFrame:
     return keys.groupBy("key").agg(F.count_distinct("source").alias("documents"), F.count(F.lit(1)).alias("mentions")).where(F.col("documents") >= least)
 
 
+def recurrence_report(keys: DataFrame, least: int = 2, top: int = 20) -> DataFrame:
+    """The ``top`` keys by documents: ``key, documents, mentions, examples, rank, rate``.
+
+    ``keys`` has ``key, source, example``. ``examples`` are the first two by
+    source; ``rate`` is the share of all keys that occur in at least ``least``
+    documents.
+    """
+    counted = keys.groupBy("key").agg(F.count_distinct("source").alias("documents"), F.count(F.lit(1)).alias("mentions"))
+    rate = counted.agg(F.avg((F.col("documents") >= least).cast("double")).alias("rate"))
+    best = counted.where(F.col("documents") >= least).orderBy(F.desc("documents"), "key").limit(top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("documents"), "key")))  # at most top rows
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("source", "example"))
+    some = keys.join(F.broadcast(best.select("key")), "key").select("key", "source", "example").distinct().withColumn("n", nth).where("n <= 2")
+    shown = some.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", F.col("source").cast("string"), "example"))), "; ").alias("examples"))
+    return ranked.join(shown, "key", "left").crossJoin(F.broadcast(rate))  # one row
+
+
 def question_category(records: DataFrame) -> DataFrame:
     """``category`` by the answer, the context and its passages: refusal, table, reasoning, integration or single."""
     tables = F.size(F.filter(F.split("context", "\n"), lambda line: F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 3)) >= 3

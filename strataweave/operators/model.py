@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 EDGE_KEY = ["src", "type", "dst"]
 ADMIN_LABELS = ["ProcessedChunk", "SchemaMeta", "GraphProvenance"]
 FACT_LABELS = ["CondFact", "Cond"]
@@ -61,11 +63,10 @@ def settled(mapping: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     A circle has no end: not settling in ``most_rounds`` is an error.
     """
-    cut = mapping.sparkSession.sparkContext.getCheckpointDir() is not None
     for _ in range(most_rounds):
         step = mapping.select(F.col("old").alias("new"), F.col("new").alias("next"))
         moved = mapping.join(step, "new", "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved"))
-        moved = moved.checkpoint() if cut else moved
+        moved = written(moved, "settled")
         mapping = moved.drop("moved")
         if moved.where("moved").limit(1).count() == 0:
             return mapping

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import grammar
 from ..functions import text as tx
 from ..functions import vectors
 from ..operators import bundles, cascade, conditions, enrich, evaluate, linking, maintain, model, paths, reports, retrieval
@@ -224,14 +225,9 @@ def search_by_mode(t: Tables) -> DataFrame:
 
 @query("SELECT label AS collection, label = 'l3' AS use_graph, CASE WHEN label = 'l3' THEN 'match' ELSE 'mismatch' END AS reason FROM (SELECT DISTINCT label FROM embeddings)".replace("'l3'", "(SELECT max(label) FROM embeddings)"), prelude=False)
 def graph_gate(t: Tables) -> DataFrame:
-    """The stamp is that of the last label; every label asks. The labels are few."""
-    labels = sorted(r[0] for r in t.read("embeddings").select("label").distinct().limit(100).collect())
-    stamped = t.read("embeddings").agg(F.max("label").alias("collection"))
-    rows = [retrieval.gate(stamped, label).withColumn("collection", F.lit(label)) for label in labels]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """The stamp is that of the last label; every label asks."""
+    asked = t.read("embeddings").select(F.col("label").alias("collection"))
+    return retrieval.gates(asked, asked)
 
 
 @query("""+ e AS (SELECT DISTINCT src AS start, type, dst AS "end" FROM edges WHERE type <> 'USES'), l AS (SELECT id, min(label) AS label FROM nodes GROUP BY id)
@@ -462,3 +458,37 @@ def linked_graph(t: Tables) -> DataFrame:
     edges = names.select("k", F.col("id").alias("src")).join(names.select((F.col("k") - 1).alias("k"), F.col("id").alias("dst")), "k")
     edges = edges.select("src", F.lit("NEXT").alias("type"), "dst", F.lit(1).cast("long").alias("extraction_count"), F.lit(None).cast("array<string>").alias("source_chunks"))
     return cascade.merged_graph(names, edges, cascade.link(names, edges))[1].select("src", "dst", "extraction_count")
+
+
+_ANSWERS = ["はい", "Yes.", "いいえ", "no", "同じ", "No, it is not", "青い空", "空", "", "ちがう。"]
+
+
+@query("""WITH r AS (SELECT event_id % 3 AS kind, (['""" + "', '".join(_ANSWERS) + """'])[event_id % 10 + 1] AS p0, (['""" + "', '".join(_ANSWERS) + """'])[event_id // 10 % 10 + 1] AS g0 FROM events),
+    n AS (SELECT *, lower(regexp_replace(p0, '[\\s\\p{P}]', '', 'g')) AS p1, lower(regexp_replace(g0, '[\\s\\p{P}]', '', 'g')) AS g1, lower(regexp_replace(left(p0, 20), '[\\s\\p{P}]', '', 'g')) AS h1 FROM r),
+    f AS (SELECT kind, CASE WHEN p1 IN ('yes', 'はい', 'そうです', '正しい', '両方とも', '同じ') THEN '__yes__' WHEN p1 IN ('no', 'いいえ', '違います', '異なる', 'ちがう') THEN '__no__' ELSE p1 END AS p,
+        CASE WHEN h1 IN ('yes', 'はい', 'そうです', '正しい', '両方とも', '同じ') THEN '__yes__' WHEN h1 IN ('no', 'いいえ', '違います', '異なる', 'ちがう') THEN '__no__' ELSE h1 END AS h,
+        CASE WHEN g1 IN ('yes', 'はい', 'そうです', '正しい', '両方とも', '同じ') THEN '__yes__' WHEN g1 IN ('no', 'いいえ', '違います', '異なる', 'ちがう') THEN '__no__' ELSE g1 END AS g FROM n),
+    s AS (SELECT kind, p = g AS exact, CASE WHEN g LIKE '\\_\\_%' ESCAPE '\\' THEN h = g OR contains(left(p, 30), replace(g, '_', '')) ELSE g <> '' AND contains(p, g) END AS contained,
+        CASE WHEN length(p) + length(g) = 0 THEN 0 ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(string_split(p, '')), lambda c: least(len(list_filter(string_split(p, ''), lambda x: x = c AND x <> '')), len(list_filter(string_split(g, ''), lambda x: x = c AND x <> ''))))), 0) / (length(p) + length(g)) END AS f1 FROM f)
+    SELECT kind, count(*) AS n, round(avg(CASE WHEN exact THEN 1.0::DOUBLE ELSE 0 END), 9) AS exact, round(avg(CASE WHEN contained THEN 1.0::DOUBLE ELSE 0 END), 9) AS contained, round(avg(f1), 9) AS f1 FROM s GROUP BY kind""", prelude=False)
+def answer_folding(t: Tables) -> DataFrame:
+    """Answers that say yes or no in several words, and others, by kind."""
+    pick = lambda n: F.element_at(F.array(*map(F.lit, _ANSWERS)), (n % 10 + 1).cast("int"))
+    k = F.col("event_id")
+    rows = t.read("events").select((k % 3).alias("kind"), pick(k).alias("predicted"), pick(F.floor(k / 10)).alias("gold"))
+    scored = evaluate.answer_scores(rows, ["kind"])
+    return scored.select("kind", "n", *(F.round(c, 9).alias(c) for c in ("exact", "contained", "f1")))
+
+
+@query("""WITH k AS (SELECT '圧力 >= ' || CAST(CAST(floor(value) AS BIGINT) % 50 AS VARCHAR) || ' kPa' AS key, user_id AS source, CAST(CAST(floor(value) AS BIGINT) % 50 AS VARCHAR) || 'kPa以上' AS example FROM events),
+    c AS (SELECT key, count(DISTINCT source) AS documents, count(*) AS mentions FROM k GROUP BY key),
+    b AS (SELECT *, CAST(row_number() OVER (ORDER BY documents DESC, key) AS INTEGER) AS rank FROM c WHERE documents >= 2),
+    x AS (SELECT DISTINCT key, source, example FROM k QUALIFY dense_rank() OVER (PARTITION BY key ORDER BY source, example) <= 2),
+    e AS (SELECT key, string_agg(source || ': ' || example, '; ' ORDER BY source || ': ' || example) AS examples FROM x GROUP BY key)
+    SELECT key, documents, mentions, examples, rank, (SELECT round(avg(CASE WHEN documents >= 2 THEN 1.0::DOUBLE ELSE 0 END), 9) FROM c) AS rate FROM b JOIN e USING (key) WHERE rank <= 20""", prelude=False)
+def condition_recurrence(t: Tables) -> DataFrame:
+    """Conditions read from sentences of many documents (users), those that most of them state."""
+    text = F.concat(F.lit("設定は、圧力が"), (F.floor("value").cast("long") % 50).cast("string"), F.lit("kPa以上とする"))
+    found = t.read("events").select(F.col("user_id").alias("source"), F.explode(grammar.predicates(text)).alias("p"))
+    key = F.concat_ws(" ", "p.parameter", "p.operator", F.col("p.value").cast("long").cast("string"), "p.unit")
+    return evaluate.recurrence_report(found.select(key.alias("key"), "source", F.col("p.raw").alias("example"))).withColumn("rate", F.round("rate", 9))

@@ -160,11 +160,24 @@ def chunk_markdown(t: Tables) -> DataFrame:
     return chunking.markdown_chunks(pages)
 
 
-@query()
+@query("""WITH n AS (SELECT greatest(1, count(*) // 50) AS pages FROM part),
+    c AS (SELECT 'c' || p_partkey AS id, p_partkey % 50 AS doc, p_partkey // 50 + 1 AS page, (p_partkey // 50) * 3 % pages + 1 AS to_page, (p_partkey // 50) * 5 % pages + 1 AS to_section, pages FROM part, n),
+    a AS (SELECT s.id AS src_chunk, d.id AS dst_chunk, 'page' AS kind, 'P.' || s.to_page AS ref_text FROM c s JOIN c d ON d.doc = s.doc AND d.page = s.to_page WHERE s.page % 7 <> 0
+        UNION ALL SELECT s.id, d.id, 'section', '3.' || s.to_section FROM c s JOIN c d ON d.doc = s.doc AND d.page = s.to_section WHERE s.page % 7 <> 0
+        UNION ALL SELECT s.id, d.id, 'section', '3.1〜3.12' FROM c s JOIN c d ON d.doc = s.doc AND '3.' || d.page BETWEEN '3.1' AND '3.12' WHERE s.page % 7 = 0)
+    SELECT src_chunk, dst_chunk, kind, ref_text FROM (SELECT *, row_number() OVER (PARTITION BY src_chunk ORDER BY kind, dst_chunk) AS rank FROM a WHERE src_chunk <> dst_chunk) WHERE kind = 'page' OR rank <= 12""", prelude=False)
 def reference_graph(t: Tables) -> DataFrame:
-    chunks = t.chunks
-    edges, _ = references.extract(chunks, references.inventory(chunks))
-    return edges
+    """Parts as pages of fifty documents: each has a heading and refers to a page and to a section, or to a range of sections."""
+    k = F.col("p_partkey")
+    count = t.read("part").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 50)).alias("pages"))
+    page = F.floor(k / 50)
+    named = t.read("part").crossJoin(F.broadcast(count))  # one row
+    shown = lambda c: c.cast("long").cast("string")
+    one = F.concat(F.lit("P."), shown(page * 3 % F.col("pages") + 1), F.lit("を参照。\n詳細は3."), shown(page * 5 % F.col("pages") + 1), F.lit("を参照"))
+    body = F.when((page + 1) % 7 == 0, "範囲は3.1〜3.12にある").otherwise(one)
+    text = F.concat(F.lit("3."), shown(page + 1), F.lit(" 概要\n本文、"), body)
+    chunks = named.select(F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), F.concat(F.lit("d"), (k % 50).cast("string")).alias("source"), (page + 1).cast("int").alias("page"), text.alias("text"))
+    return references.extract(chunks, references.inventory(chunks))[0]
 
 
 @query()
@@ -253,3 +266,14 @@ def revisions_applied(t: Tables) -> DataFrame:
     for number, batch in ((0, docs), (0, docs), (1, changed), (1, changed)):
         update(batch, number)
     return store.tables()["edges"].select("src", "dst", F.size("source_chunks").alias("chunks"))
+
+
+@query("""WITH p AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents)
+    SELECT doc_id, sha256('d' || doc_id || '|' || doc_id % 90 || '|0|' || left(text, 200)) AS first_id FROM p WHERE length(text) BETWEEN 1 AND 1000""", prelude=False)
+def short_pages(t: Tables) -> DataFrame:
+    """Documents as pages; those that are not cut keep their text under the id of its first part."""
+    pages = t.read("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), (F.col("doc_id") % 90).alias("page"), "text")
+    cut = chunking.split_pages(pages)
+    whole = cut.groupBy("source").agg(F.max("sub").alias("last"), F.max_by("chunk_id", -F.col("sub")).alias("first_id")).where("last = 0")
+    return whole.select(F.substring("source", 2, 20).cast("long").alias("doc_id"), "first_id")
+

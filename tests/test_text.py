@@ -124,3 +124,15 @@ def test_only_reading_statements_run(spark):
 @pytest.mark.parametrize("text, value", [("三十五", 35), ("百二十", 120), ("二千二十四", 2024), ("一億二千万", 120_000_000), ("１２", 12), ("1,000", 1000), ("十", 10), ("二〇二四", 2024), ("零", 0), ("本", None), ("", None), (None, None)])
 def test_numbers_in_chinese_characters(text, value):
     assert tx.kanji_value(text) == value
+
+
+def test_long_pages_are_cut_and_keep_their_number(spark):
+    long = "。".join(f"文{i}は続く" for i in range(300))
+    pages = spark.createDataFrame([("f.pdf", 1, "  short  "), ("f.pdf", 2, long), ("f.pdf", 3, " \n "), ("f.pdf", 4, None), ("f.pdf", 5, "x" * 2500)], "source string, page int, text string")
+    found = chunking.split_pages(pages, 1000, 80).orderBy("page", "sub").collect()
+    by_page = {n: [r for r in found if r.page == n] for n in range(1, 6)}
+    assert [(r.sub, r.text) for r in by_page[1]] == [(0, "short")] and not by_page[3] and not by_page[4]
+    assert [r.sub for r in by_page[2]] == list(range(len(by_page[2]))) and len(by_page[2]) >= 3
+    assert all(len(r.text) <= 1000 for r in found) and all(f"文{i}は" in "".join(r.text for r in by_page[2]) for i in range(300))
+    assert len(by_page[5]) >= 3 and len({r.chunk_id for r in found}) == len(found)
+
