@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.shared import written
 from .model import EDGE_KEY, entities, merged_edges, rewire
 
 # Old type -> new type, and whether the direction turns.
@@ -64,33 +65,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, most_round
     The rank of nodes without outgoing edges is spread over all. Stops when the
     ranks change by less than nodes times ``tolerance`` in all; without a
     tolerance after ``most_rounds``. Not getting there is an error.
-    The ranks of each round are written to the checkpoint folder: the next one reads them thrice.
+    Nodes are numbered once; the links stay where they are, dealt by source, and
+    the ranks of each round are written, as the next one reads them thrice.
     """
-    checkpoint_folder(nodes.sparkSession)
-    ids = nodes.select("id").distinct().persist()
+    ids = written(nodes.select("id").distinct().withColumn("key", F.monotonically_increasing_id()), "rank-ids")
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("pagerank"))
-    links = edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    end = lambda c: ids.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key"))
+    links = edges.select("src", "dst").distinct().join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst"))
+    links = written(links, "rank-links")
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = links.join(out, "src").persist()
-    ranks = ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")).checkpoint()
+    held = links.join(out, "src").repartition("src").persist()
+    held.count()
+    ranks = written(ids.join(out.withColumnRenamed("src", "key"), "key", "left").select("key", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "ranks")
+    settled = False
     for _ in range(most_rounds):
         loose = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        new = ranks.join(given, "id", "left").crossJoin(F.broadcast(loose))  # one row
-        new = new.select("id", "dangling", F.col("rank").alias("old"), (F.lit((1 - alpha) / n) + alpha * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if tolerance is None:
-            ranks = new.select("id", "dangling", "rank").checkpoint()
-            continue
-        new = new.checkpoint()
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0]
-        ranks = new.select("id", "dangling", "rank")
-        if change < n * tolerance:
-            return ranks.select("id", F.col("rank").alias("pagerank"))
-    if tolerance is not None:
+        given = held.join(ranks.select(F.col("key").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("key")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
+        new = ranks.join(given, "key", "left").crossJoin(F.broadcast(loose))  # one row
+        new = written(new.select("key", "dangling", F.col("rank").alias("old"), (F.lit((1 - alpha) / n) + alpha * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)).alias("rank")), "ranks")
+        ranks = new.select("key", "dangling", "rank")
+        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0] < n * tolerance:
+            settled = True
+            break
+    held.unpersist()
+    if tolerance is not None and not settled:
         raise RuntimeError(f"the ranks still changed after {most_rounds} rounds")
-    return ranks.select("id", F.col("rank").alias("pagerank"))
+    return ids.join(ranks, "key").select("id", F.col("rank").alias("pagerank"))
 
 
 def search_keys(nodes: DataFrame, normalize=tx.normalize_entity) -> DataFrame:

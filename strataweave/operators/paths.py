@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from .containment import containing
 from .model import undirected
 
@@ -116,6 +117,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def overview(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """Edges with their ends' labels and degrees, the strongest ends first."""
+    edges = written(edges.select("src", "type", "dst"), "overview-edges")
     ends = nodes.select("id", "label").join(degrees(edges), "id", "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
     a, b = (ends.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"), F.col("degree").alias(f"{c}_degree")) for c in ("src", "dst"))
     joined = edges.select("src", "type", "dst").join(a, "src", "left").join(b, "dst", "left")
@@ -124,6 +126,7 @@ def overview(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 
 def ego(edges: DataFrame, centres: DataFrame, hops: int, strict: bool = False) -> DataFrame:
     """Edges around the centres (column ``id``): those at nodes within ``hops``, or (strict) only those leaving reached nodes."""
+    edges = written(edges.select("src", "type", "dst"), "ego-edges")
     step = undirected(edges).select("a", "b").distinct()
     frontier, reached = centres.select("id").distinct(), None
     for _ in range(hops):
