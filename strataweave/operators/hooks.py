@@ -42,6 +42,13 @@ class FirstSentence:
         return [re.split(r"(?<=[.。!?])\s*", p, maxsplit=1)[0] for p in prompts]
 
 
+class Unavailable:
+    """A model that never answers, to see what works without one."""
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        raise ConnectionError("no model")
+
+
 def embedded(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = 256) -> DataFrame:
     """``df`` with a column ``embedding``; rows reach the embedder in batches."""
     schema = df.withColumn("embedding", F.array().cast("array<float>")).schema
@@ -56,7 +63,7 @@ def embedded(df: DataFrame, embedder: Embedder, text: str = "text", batch: int =
 
 def completed(df: DataFrame, model: LanguageModel, prompt: str, name: str = "answer", tries: int = 3) -> DataFrame:
     """``df`` with a model's answers to the column ``prompt``; a failing batch is tried again, then null."""
-    schema = df.withColumn(name, F.lit("").cast("string")).schema
+    schema = df.withColumn(name, F.lit(None).cast("string")).schema
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
