@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import grammar
 from ..functions import text as tx
 from ..functions import vectors
-from ..operators import bundles, cascade, conditions, enrich, evaluate, linking, maintain, model, paths, reports, retrieval
+from ..operators import bundles, cascade, conditions, enrich, evaluate, linking, maintain, model, paths, relation_index, reports, retrieval
 from ..sources import readers, writers
 from .registry import query
 from .tables import Tables
@@ -492,3 +494,19 @@ def condition_recurrence(t: Tables) -> DataFrame:
     found = t.read("events").select(F.col("user_id").alias("source"), F.explode(grammar.predicates(text)).alias("p"))
     key = F.concat_ws(" ", "p.parameter", "p.operator", F.col("p.value").cast("long").cast("string"), "p.unit")
     return evaluate.recurrence_report(found.select(key.alias("key"), "source", F.col("p.raw").alias("example"))).withColumn("rate", F.round("rate", 9))
+
+
+class _TypeWords:
+    """Stands in for a model: the words of a relation's type are its themes; it says nothing about sales."""
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        kinds = [[line.split("-[", 1)[1].split("]->", 1)[0] for line in p.split("\n")[1:]] for p in prompts]
+        return [json.dumps([{"i": i, "kw": k.lower().split("_")} for i, k in enumerate(some, 1) if k != "USES"]) for some in kinds]
+
+
+@query("""SELECT src AS start, type, dst AS "end", CASE WHEN type = 'USES' THEN '' ELSE replace(lower(type), '_', '、') || '。' END || src || ' ' || type || ' ' || dst AS text FROM edges""")
+def theme_documents(t: Tables) -> DataFrame:
+    """Relations with theme words by a stand-in for a model, as the index has them."""
+    found = relation_index.annotate(t.edges, t.nodes, _TypeWords())
+    return relation_index.documents(found).select("start", "type", "end", "text")
+
