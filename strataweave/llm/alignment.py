@@ -42,14 +42,14 @@ from .common import bounded, partitions, scratch, written
 from .exact_dedup import join_groups
 
 #: Characters of texts in a block, unless a single text has more.
-BLOCK = 10_000_000
+BLOCK = 8_000_000
 #: Characters of texts in one compressed part of a block.
 _PART = 4_000_000
 #: Pair counts of at most so many rows (32 bytes each) are broadcast.
 BROADCAST_ROWS = 1 << 20
 _HELD_PAIRS = 1_000_000
 #: Rounds that the blocks make their trips in.
-ROUNDS = 2
+ROUNDS = 4
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
