@@ -1,16 +1,21 @@
-"""Gradient boosted trees: fitted on a small sample, scored as DataFrame expressions."""
+"""Gradient boosted trees: fitted on arrays or, by sums alone, on all rows of a DataFrame, scored as DataFrame expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: A leaf's value, or (feature, threshold, left, right): left if the feature is at most the threshold.
 Tree = float | tuple[int, float, "Tree", "Tree"]
+#: Gradients are added up as whole multiples of 1 / UNIT, so sums don't depend on the order of rows.
+UNIT = 1 << 20
 
 
 @dataclass
@@ -77,6 +82,80 @@ def fit(features: list[str], x: np.ndarray, y: np.ndarray, rounds: int = 20, dep
     return model
 
 
+def _node(splits: dict[int, tuple[int, int]], columns: list[Column], node: int = 1) -> Column:
+    """The node that a row has reached; those below node k are 2 * k and 2 * k + 1."""
+    if node not in splits:
+        return F.lit(node)
+    feature, cut = splits[node]
+    return F.when(columns[feature] <= cut, _node(splits, columns, 2 * node)).otherwise(_node(splits, columns, 2 * node + 1))
+
+
+def _best(sums: dict[tuple[int, int], tuple[int, int]], cuts: list[list[float]], g: float, h: float) -> tuple[int, int, tuple[float, float]] | None:
+    """The feature and cut that gain most, and the sums left of it. ``sums`` has gradient and hessian by feature and bin."""
+    best, choice = 1e-6, None
+    for f, values in enumerate(cuts):
+        gl = hl = 0.0
+        for t in range(len(values)):
+            more = sums.get((f, t), (0, 0))
+            gl, hl = gl + more[0] / UNIT, hl + more[1] / UNIT
+            gain = gl * gl / (hl + 1.0) + (g - gl) ** 2 / (h - hl + 1.0) - g * g / (h + 1.0)
+            if gain > best:
+                best, choice = gain, (f, t, (gl, hl))
+    return choice
+
+
+def fit_rows(features: list[str], rows: DataFrame, rounds: int = 20, depth: int = 2, rate: float = 0.3) -> BoostedTrees:
+    """As :func:`fit`, on all rows of a DataFrame: a row stands for ``n`` equal examples, of which ``y`` are labelled 1.
+
+    Cuts are exact quantiles. Only sums by node, feature and bin reach the driver,
+    as many as there are bins however many rows there are.
+    """
+    total, true = (v or 0 for v in rows.agg(F.sum("n"), F.sum("y")).first())
+    share = (true + 0.5) / (total + 1.0)
+    model = BoostedTrees(features, float(np.log(share / (1 - share))))
+    if not 0 < true < total:
+        return model
+    steps = F.array(*(F.lit(float(q)) for q in np.linspace(0, 1, 12)))
+    cuts = [sorted(set(values))[:-1] for values in rows.agg(*(F.percentile(f, steps, F.col("n")) for f in features)).first()]
+    bins = [reduce(lambda a, b: a + b, ((F.col(f) > c).cast("int") for c in values), F.lit(0)).alias(f"bin{i}") for i, (f, values) in enumerate(zip(features, cuts))]
+    names = [f"bin{i}" for i in range(len(features))]
+    binned = written(rows.select(*bins, "n", "y").groupBy(*names).agg(F.sum("n").alias("n"), F.sum("y").alias("y")), "boosting-bins")
+    columns = [F.col(c) for c in names]
+    of_bins = BoostedTrees(names, model.base)
+    for _ in range(rounds):
+        p = F.col("p")
+        part = binned.withColumn("p", of_bins.probability(dict(zip(names, columns))))
+        part = part.withColumns({"g": F.col("y") * UNIT - F.col("n") * F.round(p * UNIT).cast("long"), "h": F.col("n") * F.round(p * (1 - p) * UNIT).cast("long")})
+        splits: dict[int, tuple[int, int]] = {}
+        leaves: dict[int, tuple[float, float]] = {}
+        for level in range(depth):
+            reached = part.withColumn("node", _node(splits, columns)).where(F.col("node") >= 1 << level)
+            found = reached.select("node", "g", "h", "n", F.posexplode(F.array(*columns))).groupBy("node", "pos", "col").agg(F.sum("g"), F.sum("h"), F.sum("n")).collect()
+            by_node: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
+            size: dict[int, int] = {}
+            for node, f, b, g, h, n in found:
+                by_node.setdefault(node, {})[f, b] = g, h
+                size[node] = size.get(node, 0) + (n if f == 0 else 0)
+            for node, sums in by_node.items():
+                g, h = (sum(v[i] for (f, _), v in sums.items() if f == 0) / UNIT for i in (0, 1))
+                leaves[node] = g, h
+                if size[node] >= 8 and (choice := _best(sums, cuts, g, h)):
+                    f, t, (gl, hl) = choice
+                    splits[node] = f, t
+                    leaves |= {2 * node: (gl, hl), 2 * node + 1: (g - gl, h - hl)}
+
+        def grown(node: int, cut: Callable[[int, int], float]) -> Tree:
+            if node not in splits:
+                g, h = leaves[node]
+                return rate * g / (h + 1.0)
+            f, t = splits[node]
+            return (f, cut(f, t), grown(2 * node, cut), grown(2 * node + 1, cut))
+
+        of_bins.trees.append(grown(1, lambda f, t: t))
+        model.trees.append(grown(1, lambda f, t: float(cuts[f][t])))
+    return model
+
+
 def calibrated_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The lowest probability from which on the share of true labels is at least ``precision``; 2 if there is none."""
     order = np.argsort(-p, kind="stable")

@@ -4,7 +4,7 @@ Generators are regular expressions. Four are the base patterns, whose valid
 matches are always reported. The wide ones propose more: addresses written
 around, numbers in other groupings, addresses of the newer internet protocol.
 Their spans overlap. Each candidate gets features of its format and of the
-characters around it. Boosted trees learn from a bounded sample of base
+characters around it. Boosted trees learn from all base
 candidates which of them hold up: those whose checksum, octets or number of
 digits is right are labelled 1. What these checks read is no feature, so the
 trees learn what real data look like and how they are introduced, not the check.
@@ -22,12 +22,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .boosting import BoostedTrees, calibrated_threshold, fit
+from .boosting import BoostedTrees, fit_rows
 from .common import text_or_empty, written
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -44,8 +43,6 @@ GENERATORS: dict[str, tuple[str, str, bool, str]] = {
 }
 #: What the checks read, the number of digits, their groups' length and the checksum, is left out.
 FEATURES = ["letters", "spaces", "dashes", "dots", "brackets", "plus", "at", "zero_first", "groups", "before_space", "before_letter", "before_mark", "after_space", "after_letter", "after_digit", "cue", *(f"is_{k}" for k in KINDS)]
-#: At most so many labelled candidates are used to train; a documented bound.
-SAMPLE = 6_000
 
 
 def _found(name: str, text: Column) -> Column:
@@ -119,33 +116,34 @@ class Trained:
     measured: dict[str, tuple[int, float, float]]
 
 
-def train(found: DataFrame, sample: int = SAMPLE, precision: float = 0.995) -> Trained:
-    """Trees and each kind's threshold, from at most ``sample`` different candidates of the base patterns.
+def train(found: DataFrame, precision: float = 0.995) -> Trained:
+    """Trees and each kind's threshold, from all candidates of the base patterns.
 
-    A hash of the match chooses them, and puts three of five into training and
-    the others into calibration. Of equal matches the one that is first by a hash
-    of its features counts. Short digit runs are no candidates for cards.
+    A hash of the match puts three of five into training and the others into
+    calibration, so equal matches are on one side; each place where a match stands
+    counts. Candidates that look the same are counted together, and trees and
+    thresholds follow from these counts. Short digit runs are no candidates for
+    cards.
     """
     usable = found.where("match IS NOT NULL AND base AND (kind <> 'card' OR digits >= 7)")
-    part = F.xxhash64("match")
-    features = F.struct(*(F.col(f"f_{f}").alias(f) for f in FEATURES))
-    one = F.min_by(F.struct(features.alias("x"), F.col("valid").cast("int").alias("y")), F.xxhash64(*(f"f_{f}" for f in FEATURES))).alias("one")
-    rows = usable.groupBy("match", "kind").agg(one).orderBy(part, "match", "kind").limit(sample)
-    rows = rows.select((F.pmod(part, F.lit(5)) >= 3).alias("later"), "kind", "one.y", "one.x.*").collect()
-    x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
-    y, later, kinds = np.array([r.y for r in rows], float), np.array([r.later for r in rows], bool), np.array([r.kind for r in rows])
-    model = fit(FEATURES, x[~later], y[~later])
-    p = 1 / (1 + np.exp(-model.margin(x)))
-    thresholds, measured = {}, {}
-    for k in KINDS:
-        own = later & (kinds == k)
-        both = 0 < y[own].sum() < own.sum()
-        thresholds[k] = calibrated_threshold(p[own], y[own], precision) if both else 2.0
-        measured[k] = (int(own.sum()), float(y[own].mean()) if own.any() else 0.0, float((p[own & (y == 1)] >= thresholds[k]).mean()) if (own & (y == 1)).any() else 0.0)
+    later = F.pmod(F.xxhash64("match"), F.lit(5)) >= 3
+    looks = usable.groupBy(later.alias("later"), "kind", *(F.col(f"f_{f}").alias(f) for f in FEATURES))
+    looks = written(looks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("valid").cast("long")).alias("y")), "pii-looks")
+    model = fit_rows(FEATURES, looks.where("NOT later"))
+    scored = looks.where("later").select("kind", model.probability({f: F.col(f) for f in FEATURES}).alias("p"), "n", "y")
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    above = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).withColumns({"so_far": F.sum("n").over(down), "right": F.sum("y").over(down)})
+    good = F.when(F.col("right") / F.col("so_far") >= precision, F.struct("p", "right"))
+    thresholds, measured = dict.fromkeys(KINDS, 2.0), dict.fromkeys(KINDS, (0, 0.0, 0.0))
+    for r in above.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.min(good).alias("least")).collect():
+        usual = r.least if r.least and 0 < r.y < r.n else None
+        if usual:
+            thresholds[r.kind] = usual.p
+        measured[r.kind] = (r.n, r.y / r.n, usual.right / r.y if usual else 0.0)
     return Trained(model, thresholds, measured)
 
 
-def find(docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: float = 0.995) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", precision: float = 0.995) -> DataFrame:
     """One row per reported span: ``doc_id, row, kind, start, end, base, score, match``.
 
     Places are code points of the text, the end exclusive. ``row`` tells rows of
@@ -154,7 +152,7 @@ def find(docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: f
     wide candidate that starts before it.
     """
     found = written(candidates(docs, text), "pii-candidates")
-    model = train(found, sample, precision)
+    model = train(found, precision)
     thresholds = model.thresholds
     score = model.trees.probability({f: F.col(f"f_{f}") for f in FEATURES})
     least = reduce(lambda e, k: e.when(F.col("kind") == k, thresholds[k]), KINDS[1:], F.when(F.col("kind") == "email", thresholds["email"]))

@@ -77,6 +77,29 @@ def test_trees_know_real_cards_by_their_looks(spark):
     assert not {"digits", "checksum", "largest", "length"} & set(pii.FEATURES)
 
 
+def test_trees_and_thresholds_count_every_candidate(spark):
+    """7,000 different cards and a card in 2,000 places: no bound on what trains and calibrates."""
+    rows = spark.range(9000).selectExpr("id AS doc_id", "concat('card ', if(id < 7000, cast(4000000000000000 + id * 7 AS string), '4111111111111111'), ' or +49 170 1234567') AS text")
+    found = pii.candidates(rows)
+    base = found.where("match IS NOT NULL AND base AND kind IN ('card', 'phone')")
+    expected = {r.kind: (r.n, r.y) for r in base.where("pmod(xxhash64(match), 5) >= 3").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("valid").cast("int")).alias("y")).collect()}
+    measured = pii.train(found).measured
+    assert {k: (n, round(n * share)) for k, (n, share, _) in measured.items() if n} == expected
+    assert base.count() == 27_000 and sum(n for n, _ in expected.values()) > 6_000
+
+
+def test_trees_fitted_by_sums_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, size=(900, 3)).astype(float)
+    y = ((x[:, 0] > 2) & (x[:, 1] < 4) | (x[:, 2] == 0)).astype(int)
+    table = Counter((*r, v) for r, v in zip(map(tuple, x.tolist()), y.tolist()))
+    rows = spark.createDataFrame([(a, b, c, n, n * v) for (a, b, c, v), n in table.items()], "a double, b double, c double, n long, y long")
+    one, other = boosting.fit(["a", "b", "c"], x, y, rounds=4), boosting.fit_rows(["a", "b", "c"], rows, rounds=4)
+    assert one.base == other.base and len(other.trees) == 4
+    assert np.allclose(one.margin(x), other.margin(x), atol=1e-3)
+    assert boosting.fit_rows(["a"], rows.where("false")).trees == [] and boosting.fit_rows(["a"], rows.where("y = 0")).trees == []
+
+
 def test_pii_of_odd_tables(spark, messy, clashing, empty):
     assert pii.digest(clashing).count() == messy.count()
     assert pii.digest(empty).count() == 0
