@@ -113,6 +113,26 @@ def test_a_common_passage_is_parted_by_offset(spark):
     check(docs, 90, together=1)  # one offset, parted by the strings' hashes
 
 
+def test_of_a_common_passage_only_different_pieces_are_sorted(spark, monkeypatch):
+    """A passage in 60 different surroundings and two that differ only at its ends: what stands alone or is equal is not moved."""
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = letters(200)
+    rows = [(i, letters(rng.randint(40, 90)) + passage + letters(rng.randint(40, 90))) for i in range(60)]
+    rows += [(60, rows[0][1][:-20] + letters(20)), (61, letters(20) + rows[0][1][20:]), (62, passage * 2)]
+    moved = []
+
+    def noted(segments, *rest, sort=suffix_dedup._sorted):
+        moved.append(segments.selectExpr("sum(length(bytes))").first()[0] or 0)
+        return sort(segments, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for together in (1, 2, 20):
+        check(docs, 90, together=together)
+    assert max(moved) < sum(len(t) for _, t in rows)
+
+
 def test_removal_of_odd_tables(spark, clashing, empty):
     check(clashing.where("length(text) < 20000 OR text IS NULL"), 30)
     assert suffix_dedup.digest(empty).count() == 0
