@@ -34,7 +34,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -396,13 +396,29 @@ def _tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _round() -> Column:
+    return F.pmod(F.xxhash64("block"), F.lit(ROUNDS)).cast("int").alias("round")
+
+
+@contextmanager
+def _told(told: DataFrame) -> Iterator[DataFrame]:
+    """``told`` written once, by round, for as long as it is needed: no round joins all stretches again."""
+    spark, name = told.sparkSession, f"told_{uuid.uuid4().hex}"
+    told.select("*", _round()).write.partitionBy("round").option("compression", "zstd").saveAsTable(name)
+    _tidy(spark)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def _in_rounds(payload: DataFrame, told: DataFrame, trip: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
     """A trip of some of the blocks after the other: what is shuffled at a time takes less disk."""
     parts = []
-    for i in range(ROUNDS):
-        some = F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == i
-        parts.append(written(trip(payload.where(some), told.where(some)), name))
-        _tidy(payload.sparkSession)
+    with _told(told) as table:
+        for i in range(ROUNDS):
+            parts.append(written(trip(payload.where(_round() == i), table.where(F.col("round") == i).select(*told.columns)), name))
+            _tidy(payload.sparkSession)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -89,6 +89,22 @@ def test_same_as_whole_texts_token_by_token(spark, block, most_rows):
     assert sum(r[1] == 0 for r in got) == 4  # the texts with a sign that the pieces take for a space
 
 
+def test_stretches_are_joined_once_for_all_rounds(spark, monkeypatch):
+    """What the blocks are told is read from a table by every round, which is dropped at the end."""
+    plans, trip = [], al.first_trip
+
+    def noted(parts, told, *rest):
+        plans.append(told._jdf.queryExecution().optimizedPlan().toString())
+        return trip(parts, told, *rest)
+
+    monkeypatch.setattr(al, "first_trip", noted)
+    found = texts(3)
+    got = result(al.align(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string"), byte_bpe_path(), al.piece_path(), block=300))
+    assert sorted(got) == [(i, *figures) for i, figures in enumerate(brute(found))]
+    assert len(plans) == al.ROUNDS and not any("Join" in p for p in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("told_", "stretches_"))]
+
+
 def test_messy_clashing_and_empty_tables(messy, clashing, empty):
     rows = messy.collect()
     expected = sorted(((r.doc_id is None, r.doc_id or 0), figures) for r, figures in zip(rows, brute([r.text for r in rows])))
