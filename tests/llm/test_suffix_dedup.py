@@ -136,3 +136,30 @@ def test_of_a_common_passage_only_different_pieces_are_sorted(spark, monkeypatch
 def test_removal_of_odd_tables(spark, clashing, empty):
     check(clashing.where("length(text) < 20000 OR text IS NULL"), 30)
     assert suffix_dedup.digest(empty).count() == 0
+
+
+def test_runs_are_cut_to_what_another_run_may_share(spark, monkeypatch):
+    """A gram that two texts share, but no string: nothing is moved. Strings that end inside a run: less than the runs is moved."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    segments = []
+
+    def noted(rows, *rest, sort=suffix_dedup._sorted):
+        segments.append([len(r.bytes) for r in rows.select("bytes").collect()])
+        return sort(rows, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted", noted)
+    gram, passage = letters(90), letters(150)
+    for rows in ([(i, letters(100) + gram + letters(100)) for i in range(4)], [(i, letters(100) + passage + letters(100)) for i in range(2)]):
+        check(spark.createDataFrame(rows, "doc_id long, text string"), 120)
+    assert segments[0] == []
+    # a run has at most 57 strings; of the two at each end of the passage only the ranges that reach into it stay
+    assert segments[1] and sum(segments[1]) < 2 * 350
+
+
+def test_runs_of_one_symbol_take_few_steps(tmp_path, monkeypatch):
+    pushed = []
+    monkeypatch.setattr(induced.TupleQueue, "push", lambda self, block, push=induced.TupleQueue.push: (pushed.append(len(block[0])), push(self, block)))
+    segments = [b"x" + b"a" * 900 + b"y", b"b" + b"a" * 700 + b"0"]
+    assert [r.tolist() for r in induced.repeated_starts(segments, 400)] == starts(segments, 400)
+    assert len(pushed) < 200
