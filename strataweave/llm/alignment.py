@@ -14,9 +14,10 @@ stretch and end, groups by running counts of cuts, links by a join on stretch an
 group. Where a vocabulary could go on over a space, a stretch is a whole text.
 
 A document's figures are put together from those of its stretches. Documents are
-dealt into blocks of bounded size (:func:`blocks`), and a block is told of each
-of its different stretches once. That happens twice: first for groups and for the
-number of documents that hold a pair, then for the sums over these numbers.
+dealt into blocks of bounded size (:func:`blocks`), which keep the numbers of their
+stretches in the place of texts, and a block is told of each of its different
+stretches once. It gives each document's different pairs and how often it has them;
+the documents that hold a pair and the sums over these numbers follow by relations.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ import json
 import re
 import uuid
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache, reduce
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +51,13 @@ BLOCK = 8_000_000
 _PART = 4_000_000
 #: Pair counts of at most so many rows (32 bytes each) are broadcast.
 BROADCAST_ROWS = 1 << 20
-_HELD_PAIRS = 1_000_000
+_HELD_PAIRS = 200_000
 #: Rounds that the blocks make their trips in.
 ROUNDS = 4
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+#: Without this, every space is a cut.
+_UNEVEN = re.compile(r"\A\s|\s\s|\s\Z")
+_NUMBERS = pa.schema([("doc_id", pa.int64()), ("ks", pa.list_(pa.int32()))])
 
 
 def piece_path() -> str:
@@ -75,7 +81,9 @@ class Coder:
         with open(byte_level, encoding="utf-8") as file:
             rule = json.load(file).get("pre_tokenizer") or {}
         added = set(self.a.get_added_tokens_decoder())
-        self.a_bytes = {i: b"" if i in added else bytes(signs.get(c, 63) for c in t) for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [b""] * (1 + max(self.a.get_vocab().values()))
+        for token, i in self.a.get_vocab().items():
+            self.a_bytes[i] = b"" if i in added else bytes(signs.get(c, 63) for c in token)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         one_word = all("▁" not in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
         #: Whether texts may be cut before spaces.
@@ -83,15 +91,27 @@ class Coder:
 
     def stretches(self, text: str) -> list[str]:
         """The stretches of a text, each without the space before it; none of an empty text."""
-        return (_CUT.split(text) if self.cuts else [text]) if text else []
-
-    def encode(self, stretches: list[str]) -> Iterator[tuple[bool, list[int], list[int], list[int], list[int]]]:
-        """Of each stretch, a space before it: whether both give its bytes, ids and lengths of A, ids and lengths of B."""
-        for w, a, b in zip(stretches, self.a.encode_batch([" " + w for w in stretches], add_special_tokens=False), self.b.encode(stretches, num_threads=1)):
-            parts_a, parts_b = [self.a_bytes[i] for i in a.ids], [self.b_bytes[i] for i in b]
-            whole = b" " + w.encode()
-            same = b"".join(parts_a) == whole and b"".join(parts_b) == whole
-            yield same, a.ids, list(map(len, parts_a)), b, list(map(len, parts_b))
+        if not text or not self.cuts:
+            return [text] if text else []
+        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+
+    def encode(self, stretches: list[str]) -> tuple[np.ndarray, list[pa.ListArray]]:
+        """Of stretches, a space before each: whether both give its bytes; A's tokens, each with the byte at which it ends, and B's."""
+        wholes = [b" " + w.encode() for w in stretches]
+        coded_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in stretches], add_special_tokens=False)]
+        same, lists = np.ones(len(stretches), bool), []
+        for coded, known in ((coded_a, self.a_bytes), (self.b.encode(stretches, num_threads=1), self.b_bytes)):
+            starts = np.zeros(len(coded) + 1, np.int32)
+            np.cumsum([len(ids) for ids in coded], out=starts[1:])
+            parts = [known[i] for i in chain.from_iterable(coded)]
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+            edges = np.concatenate([[0], ends])[starts]
+            given = b"".join(parts)
+            same &= np.fromiter((given[i:j] == w for i, j, w in zip(edges.tolist(), edges[1:].tolist(), wholes)), bool, len(wholes))
+            ids = np.fromiter(chain.from_iterable(coded), np.int32, len(parts))
+            own = (ends - np.repeat(edges[:-1], np.diff(starts))).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(ids), pa.array(own)], ["id", "end"])))
+        return same, lists
 
 
 def _byte_signs() -> dict[int, int]:
@@ -107,17 +127,23 @@ def coder(byte_level: str, pieces: str) -> Coder:
     return Coder(byte_level, pieces)
 
 
-def _packed(doc_ids: list[int | None], texts: list[str | None]) -> bytes:
+def _packed(doc_ids: list[int | None], numbers: list[array]) -> bytes:
+    starts = np.zeros(len(numbers) + 1, np.int32)
+    np.cumsum([len(ks) for ks in numbers], out=starts[1:])
+    every = np.concatenate([np.frombuffer(ks, np.int32) for ks in numbers if ks] or [np.zeros(0, np.int32)])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.string())], schema=_TEXTS))
+    with pa.ipc.new_stream(sink, _NUMBERS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts), pa.array(every))], schema=_NUMBERS))
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(payloads: list[bytes]) -> Iterator[tuple[int | None, str]]:
+def _unpacked(payloads: pa.ChunkedArray) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Each document's stretches by their numbers."""
     for payload in payloads:
-        for batch in pa.ipc.open_stream(payload):
-            yield from zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist()))
+        for batch in pa.ipc.open_stream(payload.as_buffer()):
+            starts, every = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                yield doc_id, every[starts[i] : starts[i + 1]]
 
 
 _BLOCKS = "block long, part int, payload binary, k int, stretch string"
@@ -126,20 +152,21 @@ _BLOCKS = "block long, part int, payload binary, k int, stretch string"
 def blocks(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", block: int = BLOCK) -> DataFrame:
     """Documents in blocks, compressed, and the different stretches of each block: two kinds of rows.
 
-    ``block, part, payload`` has documents in order, ``block, k, stretch`` the
-    stretches of a block, numbered as they first occur.
+    ``block, part, payload`` has documents in order, each by the numbers of its
+    stretches, ``block, k, stretch`` the stretches of a block, numbered as they
+    first occur.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = coder(byte_level, pieces).stretches
         names = ["block", "part", "payload", "k", "stretch"]
         number, part, size, held = TaskContext.get().partitionId() << 32, 0, 0, 0
-        known: dict[str, None] = {}
+        known: dict[str, int] = defaultdict(count().__next__)
         doc_ids: list[int | None] = []
-        texts: list[str | None] = []
+        numbers: list[array] = []
 
         def payload() -> pa.RecordBatch:
-            row = [pa.array([number], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(doc_ids, texts)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())]
+            row = [pa.array([number], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(doc_ids, numbers)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())]
             return pa.RecordBatch.from_arrays(row, names)
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -151,52 +178,72 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", bl
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0), batch.column(1)):
-                t = value.as_py()
-                if size and size + len(t or "") > block:
-                    if texts:
+                t = value.as_py() or ""
+                if size and size + len(t) > block:
+                    if numbers:
                         yield payload()
                     yield from told()
                     number, part, size, held = number + 1, 0, 0, 0
-                    known, doc_ids, texts = {}, [], []
-                known.update(dict.fromkeys(split(t or "")))
+                    known, doc_ids, numbers = defaultdict(count().__next__), [], []
+                numbers.append(array("i", map(known.__getitem__, split(t))))
                 doc_ids.append(doc_id.as_py())
-                texts.append(t)
-                size, held = size + len(t or ""), held + len(t or "")
-                if held > _PART or len(texts) >= 10_000:
+                size, held = size + len(t), held + len(t)
+                if held > _PART or len(numbers) >= 10_000:
                     yield payload()
-                    part, held, doc_ids, texts = part + 1, 0, [], []
-        if texts:
+                    part, held, doc_ids, numbers = part + 1, 0, [], []
+        if numbers:
             yield payload()
         yield from told()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(work, _BLOCKS)
 
 
-_CODED = "same boolean, a array<int>, a_sizes array<int>, b array<int>, b_sizes array<int>"
+_CODED = "key long, same boolean, a array<struct<id:int,end:int>>, b array<struct<id:int,end:int>>, blocks array<long>, ks array<int>"
 
 
-def encode_stretches(stretches: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """``stretch`` with whether both tokenizers give its bytes (``same``), and ids and lengths of its tokens."""
+def encode_stretches(uses: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+    """One row for each different stretch of ``block, k, stretch``.
 
-    @F.arrow_udf(_CODED)
-    def encoded(words: pa.Array) -> pa.Array:
-        ints = pa.list_(pa.int32())
-        same, *rest = zip(*coder(byte_level, pieces).encode(words.to_pylist())) if len(words) else [()] * 5
-        return pa.StructArray.from_arrays([pa.array(same, pa.bool_()), *(pa.array(r, ints) for r in rest)], ["same", "a", "a_sizes", "b", "b_sizes"])
+    It has a number (``key``), whether both tokenizers give the stretch's bytes
+    (``same``), its tokens, and the blocks with their numbers for it. Equal stretches lie one after the other, a batch at a time.
+    """
 
-    return stretches.transform(bounded).select("stretch", encoded("stretch").alias("coded")).select("stretch", "coded.*")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = TaskContext.get().partitionId() << 40, None
+        for batch in chain(batches, [None]):
+            rows = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks() if held or batch else None
+            if rows is None or not rows.num_rows:
+                continue
+            words = rows.column("stretch").combine_chunks()
+            starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(words[1:], words[:-1])) + 1, [len(words)]])
+            if batch is not None:
+                # the last stretch may go on in the next batch
+                held = rows.slice(starts[-2]).combine_chunks().to_batches()[0]
+                starts = starts[:-1]
+            n = len(starts) - 1
+            if not n:
+                continue
+            same, lists = coder(byte_level, pieces).encode(words.take(pa.array(starts[:-1])).to_pylist())
+            used = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rows.column(c).combine_chunks().slice(0, starts[-1])) for c in ("block", "k")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + n)), pa.array(same), *lists, *used], ["key", "same", "a", "b", "blocks", "ks"])
+            key += n
+
+    together = uses.repartition(partitions(uses.sparkSession), "stretch").sortWithinPartitions("stretch")
+    return together.select("block", "k", "stretch").transform(bounded).mapInArrow(work, _CODED)
 
 
 @contextmanager
-def _joins_keep_buckets(spark: SparkSession) -> Iterator[None]:
-    """Rows that lie together by some of a join's keys are not shuffled again for all of them."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def _sorted_once(spark: SparkSession) -> Iterator[None]:
+    """Rows that lie together by some of a join's keys are not shuffled again for all of them; lists are collected in the order that joins need."""
+    names = ["spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.execution.useObjectHashAggregateExec"]
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, "false")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
 
 
 @contextmanager
@@ -212,8 +259,7 @@ def _bucketed(rows: DataFrame, key: str) -> Iterator[DataFrame]:
 
 def tokens(coded: DataFrame, side: str) -> DataFrame:
     """``key, pos, id, end``: the tokens of one side, and the byte at which each ends."""
-    split = coded.select("key", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_sizes").alias("size")))).select("key", "pos", "col.id", "col.size")
-    return split.withColumn("end", F.sum("size").over(Window.partitionBy("key").orderBy("pos"))).drop("size")
+    return coded.select("key", F.posexplode(side)).select("key", "pos", "col.id", "col.end")
 
 
 def grouped_tokens(own: DataFrame, other: DataFrame) -> DataFrame:
@@ -228,30 +274,21 @@ def grouped_tokens(own: DataFrame, other: DataFrame) -> DataFrame:
 
 def _listed(grouped: DataFrame, side: str) -> DataFrame:
     """``key, g`` and the ids of a group on one side, in order."""
-    return grouped.groupBy("key", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"]).alias(side))
+    return grouped.groupBy("key", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"].cast("string")).alias(side))
 
 
-def align_stretches(stretches: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """``stretch, groups, pairs`` of different stretches, written.
+def align_stretches(coded: DataFrame) -> DataFrame:
+    """``key, groups``: all groups of a stretch as ``a1,a2|b1;a3|b2,b3``.
 
-    ``groups`` has all groups as ``a1,a2|b1;a3|b2,b3``, ``pairs`` every pair of
-    token occurrences that share a group, as a * 2**32 + b. Stretches whose bytes
-    the tokenizers don't give back have no rows. A token's row has a digest of its
-    stretch in its place; all joins and windows work on rows that were dealt by it
-    once.
+    Stretches whose bytes the tokenizers don't give back have no rows. All joins and
+    windows work on rows that were dealt by ``key`` once.
     """
-    spark = stretches.sparkSession
-    keyed = encode_stretches(stretches.select("stretch").distinct(), byte_level, pieces).withColumn("key", F.unhex(F.md5(F.col("stretch").cast("binary"))))
-    with _joins_keep_buckets(spark), _bucketed(keyed, "key") as coded:
-        _tidy(spark)
-        whole = coded.where("same")
-        a, b = tokens(whole, "a"), tokens(whole, "b")
-        both = _listed(grouped_tokens(a, b), "a").join(_listed(grouped_tokens(b, a), "b"), ["key", "g"])
-        text = F.concat(F.array_join(F.transform("a", lambda i: i.cast("string")), ","), F.lit("|"), F.array_join(F.transform("b", lambda i: i.cast("string")), ","))
-        linked = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * 2**32 + y)))
-        groups = F.sort_array(F.collect_list(F.struct("g", text.alias("text"), linked.alias("pairs"))))
-        found = coded.select("key", "stretch").join(both.groupBy("key").agg(groups.alias("groups")), "key")
-        return _kept(found.select("stretch", F.array_join(F.transform("groups", lambda g: g["text"]), ";").alias("groups"), F.flatten(F.transform("groups", lambda g: g["pairs"])).alias("pairs")), "token-groups")
+    whole = coded.where("same")
+    a, b = tokens(whole, "a"), tokens(whole, "b")
+    both = _listed(grouped_tokens(a, b), "a").join(_listed(grouped_tokens(b, a), "b"), ["key", "g"])
+    text = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
+    groups = F.sort_array(F.collect_list(F.struct("g", text.alias("text"))))
+    return both.groupBy("key").agg(groups.alias("groups")).select("key", F.array_join("groups.text", ";").alias("groups"))
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -261,133 +298,113 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _spread(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The values of some lists, one list after the other."""
+    sizes = starts[which + 1] - starts[which]
+    return values[np.repeat(starts[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
 class Told:
-    """What a block is told about its stretches: by number, their groups and what follows from these."""
+    """What a block is told about its stretches: by number, their groups; each different group is read once."""
 
-    def __init__(self, n: int, ks: list[int], groups: Iterable[pa.StringScalar]):
+    def __init__(self, n: int, ks: list[int], groups: pa.ChunkedArray):
         self.groups: list[str | None] = [None] * n
-        for k, g in zip(ks, groups):
-            self.groups[k] = g.as_py()
-        self.figures = np.zeros((n, 4), np.int64)
-        pairs = array("q")
-        starts = np.zeros(n + 1, np.int64)
+        for k, text in zip(ks, groups.to_pylist()):
+            self.groups[k] = text
+        self.whole = np.array([text is not None for text in self.groups], bool)
+        known: dict[str, int] = defaultdict(count().__next__)
+        ids, self.starts = array("i"), np.zeros(n + 1, np.int64)
         for k, text in enumerate(self.groups):
             if text is not None:
-                n_a = n_b = n_links = n_groups = 0
-                for group in text.split(";"):
-                    left, right = (list(map(int, side.split(","))) for side in group.split("|"))
-                    n_groups += 1
-                    n_a += len(left)
-                    n_b += len(right)
-                    n_links += len(left) * len(right)
-                    pairs.extend([x << 32 | y for x in left for y in right])
-                self.figures[k] = n_a, n_b, n_groups, n_links
-            starts[k + 1] = len(pairs)
-        self.pairs, self.starts = np.frombuffer(pairs, np.int64) if pairs else np.zeros(0, np.int64), starts
-
-    def pairs_of(self, ks: np.ndarray) -> np.ndarray:
-        """The different pairs that some stretches link."""
-        ks = np.unique(ks)
-        sizes = self.starts[ks + 1] - self.starts[ks]
-        at = np.repeat(self.starts[ks] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.unique(self.pairs[at])
-
+                ids.extend(map(known.__getitem__, text.split(";")))
+            self.starts[k + 1] = len(ids)
+        self.ids = np.array(ids, np.int32)
+        pairs = array("q")
+        self.figures, self.pair_starts = np.ones((len(known), 4), np.int64), np.zeros(len(known) + 1, np.int64)
+        for i, group in enumerate(known):
+            left, right = (list(map(int, side.split(","))) for side in group.split("|"))
+            pairs.extend([x << 32 | y for x in left for y in right])
+            self.figures[i] = len(left), len(right), 1, len(left) * len(right)
+            self.pair_starts[i + 1] = len(pairs)
+        self.pairs = np.array(pairs, np.int64)
 
-_FIRST = "block long, at int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, docs long"
-_FIRST_SCHEMA = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("docs", pa.int64())])
+    def figures_of(self, ks: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Of a document with these stretches: ``n_a, n_b, n_groups, n_links``, its different pairs, and how often it has each."""
+        found, times = np.unique(_spread(self.ids, self.starts, ks), return_counts=True)
+        sizes = self.pair_starts[found + 1] - self.pair_starts[found]
+        pairs, place = np.unique(_spread(self.pairs, self.pair_starts, found), return_inverse=True)
+        often = np.bincount(place, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
+        return (times @ self.figures[found]).tolist(), pairs, often
 
 
-def _numbered(texts: Iterator[tuple[int | None, str]], split) -> Iterator[tuple[int | None, list[int]]]:
-    """Each document's stretches by the numbers that :func:`blocks` gave them."""
-    known: dict[str, int] = {}
-    for doc_id, text in texts:
-        yield doc_id, [known.setdefault(w, len(known)) for w in split(text)]
+_FIRST = "block long, at int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<pair:long,times:long>>"
+_FIRST_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.string()]
+_FIRST_NAMES = ["block", "at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
 
 
-def first_trip(parts: DataFrame, told: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """For each document its groups' figures; for each pair and block how many of its documents hold it: two kinds of rows."""
+def first_trip(parts: DataFrame, told: DataFrame) -> DataFrame:
+    """For each document its groups' figures, its different pairs, and how often it has each of them."""
 
     def work(block: pa.Table, known: pa.Table) -> pa.Table:
-        split = coder(byte_level, pieces).stretches
         block = block.sort_by("part")
         number = block.column("block")[0].as_py() if block.num_rows else 0
         table = Told(known.num_rows, known.column("k").to_pylist(), known.column("groups"))
         del known
+        tables: list[pa.Table] = []
         rows: list[tuple] = []
-        held: list[np.ndarray] = []
-        size = 0
-        found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, none = 0, np.zeros(0, np.int64)
 
         def add_up() -> None:
-            nonlocal found, counts, held, size
-            every, place = np.unique(np.concatenate([found, *held]), return_inverse=True)
-            weights = np.concatenate([counts, np.ones(size, np.int64)])
-            found, counts, held, size = every, np.bincount(place, weights=weights, minlength=len(every)).astype(np.int64), [], 0
-
-        for at, (doc_id, ks) in enumerate(_numbered(_unpacked(block.column("payload").to_pylist()), split)):
-            groups = [table.groups[k] for k in ks]
-            if not ks or None in groups:
+            nonlocal rows, held, size
+            starts = np.zeros(len(rows) + 1, np.int32)
+            np.cumsum([len(pairs) for pairs, _ in held], out=starts[1:])
+            columns = [np.concatenate([none, *(h[i] for h in held)]) for i in (0, 1)]
+            pairs = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(c) for c in columns], ["pair", "times"]))
+            figures = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, _FIRST_TYPES)]
+            tables.append(pa.Table.from_arrays([*figures, pairs], _FIRST_NAMES))
+            rows, held, size = [], [], 0
+
+        for at, (doc_id, ks) in enumerate(_unpacked(block.column("payload"))):
+            if not len(ks) or not table.whole[ks].all():
                 rows.append((number, at, doc_id, 0, 0, 0, 0, ""))
+                held.append((none, none))
                 continue
-            numbers = np.array(ks)
-            rows.append((number, at, doc_id, *table.figures[numbers].sum(axis=0).tolist(), hashlib.sha256(";".join(groups).encode()).hexdigest()))
-            held.append(table.pairs_of(numbers))
-            size += len(held[-1])
+            figures, *pairs = table.figures_of(ks)
+            rows.append((number, at, doc_id, *figures, hashlib.sha256(";".join([table.groups[k] for k in ks.tolist()]).encode()).hexdigest()))
+            held.append(tuple(pairs))
+            size += len(pairs[0])
             if size > _HELD_PAIRS:
                 add_up()
         add_up()
-        columns = [list(c) for c in zip(*rows)] or [[]] * 8
-        n, m = len(rows), len(found)
-        docs = [pa.array(c, f.type) for c, f in zip(columns, _FIRST_SCHEMA)] + [pa.nulls(n, pa.int64())] * 2
-        pairs = [pa.nulls(m, f.type) for f in list(_FIRST_SCHEMA)[:8]] + [pa.array(found), pa.array(counts)]
-        return pa.concat_tables([pa.Table.from_arrays(c, schema=_FIRST_SCHEMA) for c in (docs, pairs)])
+        return pa.concat_tables(tables)
 
     return parts.groupBy("block").cogroup(told.toDF(*told.columns).groupBy("block")).applyInArrow(work, _FIRST)
 
 
-_SECOND = "block long, at int, n_best long, count_sum long"
-
-
-def second_trip(parts: DataFrame, told: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """For each document the sums over its stretches of ``n_best`` and ``count_sum``."""
-
-    def work(block: pa.Table, known: pa.Table) -> pa.Table:
-        split = coder(byte_level, pieces).stretches
-        block = block.sort_by("part")
-        number = block.column("block")[0].as_py() if block.num_rows else 0
-        sums = np.zeros((known.num_rows, 2), np.int64)
-        sums[known.column("k").to_numpy()] = np.column_stack([known.column(c).to_numpy() for c in ("n_best", "count_sum")])
-        found = [sums[np.array(ks, np.int64)].sum(axis=0) for _, ks in _numbered(_unpacked(block.column("payload").to_pylist()), split)]
-        totals = np.array(found, np.int64).reshape(-1, 2)
-        n = len(found)
-        return pa.table({"block": pa.array([number] * n, pa.int64()), "at": pa.array(range(n), pa.int32()), "n_best": pa.array(totals[:, 0]), "count_sum": pa.array(totals[:, 1])})
-
-    return parts.groupBy("block").cogroup(told.toDF(*told.columns).groupBy("block")).applyInArrow(work, _SECOND)
-
-
 def pair_counts(first: DataFrame) -> DataFrame:
     """``a, b, docs, best``: the documents that hold a pair, and whether no pair of its A id is held by more."""
-    counts = written(first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts")
+    counts = written(first.select(F.inline("pairs")).groupBy("pair").agg(F.count(F.lit(1)).alias("docs")), "pair-counts")
     counts = counts.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "docs")
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))
     return written(counts.join(most, "a").select("a", "b", "docs", (F.col("docs") == F.col("most")).alias("best")), "pair-ranks")
 
 
-def stretch_sums(aligned: DataFrame, counts: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``stretch, n_best, count_sum`` over the links of a stretch.
+def document_sums(first: DataFrame, counts: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``block, at, n_best, count_sum`` over the links of a document.
 
-    Up to a checked number of pairs their counts are broadcast; beyond, links meet
-    them by pair, where frequent pairs are dealt out.
+    Up to a checked number of pairs their counts are broadcast; beyond, documents'
+    pairs meet them by pair, where frequent pairs are dealt out.
     """
     key = (F.col("a").cast("long") * 2**32 + F.col("b")).alias("pair")
     counts = counts.select(key, "docs", F.col("best").cast("long").alias("best"))
-    links = aligned.select("stretch", F.explode("pairs").alias("pair"))
+    links = first.select("block", "at", F.inline("pairs"))
     if counts.count() <= most_rows:
         found = links.join(F.broadcast(counts), "pair")
     else:
         uses = links.groupBy("pair").agg(F.count(F.lit(1)).alias("uses"))
         found = join_groups(links, uses.join(counts, "pair"), "pair", "uses", links.count())
-    return found.groupBy("stretch").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
+    return found.groupBy("block", "at").agg(F.sum(F.col("best") * F.col("times")).alias("n_best"), F.sum(F.col("docs") * F.col("times")).alias("count_sum"))
 
 
 def _tidy(spark: SparkSession) -> None:
@@ -401,10 +418,14 @@ def _round() -> Column:
 
 
 @contextmanager
-def _told(told: DataFrame) -> Iterator[DataFrame]:
-    """``told`` written once, by round, for as long as it is needed: no round joins all stretches again."""
-    spark, name = told.sparkSession, f"told_{uuid.uuid4().hex}"
-    told.select("*", _round()).write.partitionBy("round").option("compression", "zstd").saveAsTable(name)
+def _told(uses: DataFrame, byte_level: str, pieces: str) -> Iterator[DataFrame]:
+    """``block, k, groups`` written once, by round, for as long as it is needed: no round joins all stretches again."""
+    spark, name = uses.sparkSession, f"told_{uuid.uuid4().hex}"
+    with _sorted_once(spark), _bucketed(encode_stretches(uses, byte_level, pieces), "key") as coded:
+        _tidy(spark)
+        found = coded.select("key", F.arrays_zip("blocks", "ks").alias("uses")).join(align_stretches(coded), "key", "left")
+        told = found.select(F.explode("uses").alias("use"), "groups").select(F.col("use.blocks").alias("block"), F.col("use.ks").alias("k"), "groups")
+        told.select("*", _round()).write.partitionBy("round").option("compression", "zstd").saveAsTable(name)
     _tidy(spark)
     try:
         yield spark.table(name)
@@ -415,10 +436,9 @@ def _told(told: DataFrame) -> Iterator[DataFrame]:
 def _in_rounds(payload: DataFrame, told: DataFrame, trip: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
     """A trip of some of the blocks after the other: what is shuffled at a time takes less disk."""
     parts = []
-    with _told(told) as table:
-        for i in range(ROUNDS):
-            parts.append(written(trip(payload.where(_round() == i), table.where(F.col("round") == i).select(*told.columns)), name))
-            _tidy(payload.sparkSession)
+    for i in range(ROUNDS):
+        parts.append(_kept(trip(payload.where(_round() == i), told.where(F.col("round") == i).drop("round")), name))
+        _tidy(payload.sparkSession)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -437,19 +457,10 @@ def align(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", blo
     Repeated rows count as documents each; doc_id may be missing or repeated.
     Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     parts = _kept(blocks(docs, byte_level, pieces, text, block), "token-blocks")
     payload = parts.where("payload IS NOT NULL").select("block", "part", "payload")
-    uses = parts.where("stretch IS NOT NULL").select("block", "k", "stretch")
-    aligned = align_stretches(uses, byte_level, pieces)
-    _tidy(spark)
-    told = uses.join(aligned.select("stretch", "groups"), "stretch", "left").select("block", "k", "groups")
-    first = _in_rounds(payload, told, lambda p, t: first_trip(p, t, byte_level, pieces), "token-first")
-    sums = written(stretch_sums(aligned, pair_counts(first), most_rows), "token-sums")
-    _tidy(spark)
-    told = uses.join(sums, "stretch", "left").select("block", "k", *(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")))
-    second = _in_rounds(payload, told, lambda p, t: second_trip(p, t, byte_level, pieces), "token-second")
-    rows = first.where("at IS NOT NULL").join(second, ["block", "at"])
-    whole = F.col("groups_sha256") != ""
-    sums_of = [F.when(whole, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")]
-    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *sums_of, "groups_sha256")
+    with _told(parts.where("stretch IS NOT NULL").select("block", "k", "stretch"), byte_level, pieces) as told:
+        first = _in_rounds(payload, told, lambda p, t: first_trip(p, t), "token-first")
+    sums = document_sums(first, pair_counts(first), most_rows)
+    found = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")]
+    return first.join(sums, ["block", "at"], "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *found, "groups_sha256")

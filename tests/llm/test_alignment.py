@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -126,3 +128,40 @@ def test_texts_stay_whole_where_a_vocabulary_could_go_on_over_a_space(spark, mon
     assert coder.cuts and coder.stretches("a bc  d\n e ") == ["a", "bc  d\n e "]
     coder.cuts = False
     assert coder.stretches("a bc  d") == ["a bc  d"] and coder.stretches("") == []
+
+
+def test_a_block_holds_the_pairs_of_different_groups_once():
+    """What a block keeps in memory is a number for each group of a stretch; pairs are those of the different groups."""
+    groups = ["1,2|3;4|5,6", None, "4|5,6;4|5,6"] * 1000
+    table = al.Told(len(groups), list(range(len(groups))), pa.chunked_array([pa.array(groups)]))
+    pair = [1 << 32 | 3, 2 << 32 | 3, 4 << 32 | 5, 4 << 32 | 6]
+    assert sorted(table.pairs.tolist()) == pair and len(table.ids) == 4000
+    figures, pairs, often = table.figures_of(np.array([0, 2, 3, 3], np.int32))
+    assert figures == [11, 13, 8, 16]
+    assert dict(zip(pairs.tolist(), often.tolist())) == dict(zip(pair, [3, 3, 5, 5]))
+
+
+def test_blocks_keep_numbers_of_stretches_instead_of_texts(spark):
+    found = ["alpha beta beta", None, "", "gamma  alpha ", "beta"]
+    rows = al.blocks(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").coalesce(1), byte_bpe_path(), al.piece_path()).collect()
+    words = {r.k: r.stretch for r in rows if r.stretch is not None}
+    numbers = [(i, ks.tolist()) for i, ks in al._unpacked(pa.chunked_array([pa.array([r.payload for r in rows if r.payload], pa.binary())]))]
+    assert numbers == [(0, [0, 1, 1]), (1, []), (2, []), (3, [2]), (4, [1])]
+    assert words == {0: "alpha", 1: "beta", 2: "gamma  alpha "}
+
+
+def test_equal_stretches_across_batches_and_blocks(spark):
+    """A stretch whose rows go on in the next batches is encoded once, with all its blocks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        found = texts(5, 20) + ["the the same", "the"] * 10
+        docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").coalesce(2)
+        got = result(al.align(docs, byte_bpe_path(), al.piece_path(), block=10))
+        assert sorted(got) == [(i, *figures) for i, figures in enumerate(brute(found))]
+        uses = spark.createDataFrame([(b, k, w) for b in range(8) for k, w in enumerate(["a", "the"])], "block long, k int, stretch string")
+        coded = al.encode_stretches(uses, byte_bpe_path(), al.piece_path()).collect()
+        assert sorted(sorted(zip(r.blocks, r.ks)) for r in coded) == [[(b, k) for b in range(8)] for k in (0, 1)] and len({r.key for r in coded}) == 2
+    finally:
+        spark.conf.set(name, before)
