@@ -54,6 +54,8 @@ BROADCAST_ROWS = 1 << 20
 _HELD_PAIRS = 200_000
 #: Rounds that the blocks make their trips in.
 ROUNDS = 4
+#: Shares of stretches for each partition.
+_SHARES = 256
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Without this, every space is a cut.
 _UNEVEN = re.compile(r"\A\s|\s\s|\s\Z")
@@ -198,13 +200,13 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, text: str = "text", bl
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).transform(bounded).mapInArrow(work, _BLOCKS)
 
 
-_CODED = "key long, same boolean, a array<struct<id:int,end:int>>, b array<struct<id:int,end:int>>, blocks array<long>, ks array<int>"
+_CODED = "deal int, key long, same boolean, a array<struct<id:int,end:int>>, b array<struct<id:int,end:int>>, blocks array<long>, ks array<int>"
 
 
 def encode_stretches(uses: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """One row for each different stretch of ``block, k, stretch``.
 
-    It has a number (``key``), whether both tokenizers give the stretch's bytes
+    It has a number (``key``) and a share (``deal``) that it was dealt by, whether both tokenizers give the stretch's bytes
     (``same``), its tokens, and the blocks with their numbers for it. Equal stretches lie one after the other, a batch at a time.
     """
 
@@ -224,12 +226,14 @@ def encode_stretches(uses: DataFrame, byte_level: str, pieces: str) -> DataFrame
             if not n:
                 continue
             same, lists = coder(byte_level, pieces).encode(words.take(pa.array(starts[:-1])).to_pylist())
+            deals = rows.column("deal").combine_chunks().take(pa.array(starts[:-1]))
             used = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rows.column(c).combine_chunks().slice(0, starts[-1])) for c in ("block", "k")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + n)), pa.array(same), *lists, *used], ["key", "same", "a", "b", "blocks", "ks"])
+            yield pa.RecordBatch.from_arrays([deals, pa.array(np.arange(key, key + n)), pa.array(same), *lists, *used], ["deal", "key", "same", "a", "b", "blocks", "ks"])
             key += n
 
-    together = uses.repartition(partitions(uses.sparkSession), "stretch").sortWithinPartitions("stretch")
-    return together.select("block", "k", "stretch").transform(bounded).mapInArrow(work, _CODED)
+    n = partitions(uses.sparkSession)
+    dealt = uses.select("block", "k", "stretch", F.pmod(F.xxhash64("stretch"), F.lit(n * _SHARES)).cast("int").alias("deal"))
+    return dealt.repartition(n, "deal").sortWithinPartitions("deal", "stretch").transform(bounded).mapInArrow(work, _CODED)
 
 
 @contextmanager
@@ -248,9 +252,9 @@ def _sorted_once(spark: SparkSession) -> Iterator[None]:
 
 @contextmanager
 def _bucketed(rows: DataFrame, key: str) -> Iterator[DataFrame]:
-    """``rows`` as a table whose files are dealt by ``key``, for as long as it is needed."""
+    """``rows``, which lie together by ``key``, as a table whose files are dealt by it, for as long as it is needed."""
     spark, n, name = rows.sparkSession, partitions(rows.sparkSession), f"stretches_{uuid.uuid4().hex}"
-    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").saveAsTable(name)
+    rows.write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
@@ -258,37 +262,37 @@ def _bucketed(rows: DataFrame, key: str) -> Iterator[DataFrame]:
 
 
 def tokens(coded: DataFrame, side: str) -> DataFrame:
-    """``key, pos, id, end``: the tokens of one side, and the byte at which each ends."""
-    return coded.select("key", F.posexplode(side)).select("key", "pos", "col.id", "col.end")
+    """``deal, key, pos, id, end``: the tokens of one side, and the byte at which each ends."""
+    return coded.select("deal", "key", F.posexplode(side)).select("deal", "key", "pos", "col.id", "col.end")
 
 
 def grouped_tokens(own: DataFrame, other: DataFrame) -> DataFrame:
-    """``key, g, pos, id``: the tokens of one side with the number of cuts before them in their stretch.
+    """``deal, key, g, pos, id``: the tokens of one side with the number of cuts before them in their stretch.
 
     A cut is where a token of the other side ends at the same byte.
     """
-    cuts = other.select("key", "end", F.lit(1).alias("cut"))
-    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return own.join(cuts, ["key", "end"], "left").withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0))).select("key", "g", "pos", "id")
+    cuts = other.select("deal", "key", "end", F.lit(1).alias("cut"))
+    before = Window.partitionBy("deal", "key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    return own.join(cuts, ["deal", "key", "end"], "left").withColumn("g", F.coalesce(F.sum("cut").over(before), F.lit(0))).select("deal", "key", "g", "pos", "id")
 
 
 def _listed(grouped: DataFrame, side: str) -> DataFrame:
-    """``key, g`` and the ids of a group on one side, in order."""
-    return grouped.groupBy("key", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"].cast("string")).alias(side))
+    """``deal, key, g`` and the ids of a group on one side, in order."""
+    return grouped.groupBy("deal", "key", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"].cast("string")).alias(side))
 
 
 def align_stretches(coded: DataFrame) -> DataFrame:
-    """``key, groups``: all groups of a stretch as ``a1,a2|b1;a3|b2,b3``.
+    """``deal, key, groups``: all groups of a stretch as ``a1,a2|b1;a3|b2,b3``.
 
     Stretches whose bytes the tokenizers don't give back have no rows. All joins and
-    windows work on rows that were dealt by ``key`` once.
+    windows work on rows that were dealt by ``deal`` once.
     """
     whole = coded.where("same")
     a, b = tokens(whole, "a"), tokens(whole, "b")
-    both = _listed(grouped_tokens(a, b), "a").join(_listed(grouped_tokens(b, a), "b"), ["key", "g"])
+    both = _listed(grouped_tokens(a, b), "a").join(_listed(grouped_tokens(b, a), "b"), ["deal", "key", "g"])
     text = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
     groups = F.sort_array(F.collect_list(F.struct("g", text.alias("text"))))
-    return both.groupBy("key").agg(groups.alias("groups")).select("key", F.array_join("groups.text", ";").alias("groups"))
+    return both.groupBy("deal", "key").agg(groups.alias("groups")).select("deal", "key", F.array_join("groups.text", ";").alias("groups"))
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -421,9 +425,9 @@ def _round() -> Column:
 def _told(uses: DataFrame, byte_level: str, pieces: str) -> Iterator[DataFrame]:
     """``block, k, groups`` written once, by round, for as long as it is needed: no round joins all stretches again."""
     spark, name = uses.sparkSession, f"told_{uuid.uuid4().hex}"
-    with _sorted_once(spark), _bucketed(encode_stretches(uses, byte_level, pieces), "key") as coded:
+    with _sorted_once(spark), _bucketed(encode_stretches(uses, byte_level, pieces), "deal") as coded:
         _tidy(spark)
-        found = coded.select("key", F.arrays_zip("blocks", "ks").alias("uses")).join(align_stretches(coded), "key", "left")
+        found = coded.select("deal", "key", F.arrays_zip("blocks", "ks").alias("uses")).join(align_stretches(coded), ["deal", "key"], "left")
         told = found.select(F.explode("uses").alias("use"), "groups").select(F.col("use.blocks").alias("block"), F.col("use.ks").alias("k"), "groups")
         told.select("*", _round()).write.partitionBy("round").option("compression", "zstd").saveAsTable(name)
     _tidy(spark)
