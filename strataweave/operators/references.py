@@ -13,8 +13,9 @@ from .ranges import between
 HEADING = r"(?m)^\s*((?:[0-9]+\.){1,3}[0-9]+)\s*[ 　]?\S"
 ALIAS = r"[（(]以下[、，]?\s*[「『]?([^」』）)、，\n]{2,25})[」』]?\s*(?:という|と称する|と呼ぶ|と記載|と略す)?[）)]"
 DOCUMENT = r"[『]([^』]{3,40})[』][\s\S]{0,12}?(?:をご覧|を参照|参照して)"
-PAGE_RANGE = r"P\.?\s?([0-9]{1,3})\s?[〜~～-]\s?(?:P\.?\s?)?([0-9]{1,3})"
-PAGE = r"(?:→\s?P\.?\s?([0-9]{1,3})|P\.?\s?([0-9]{1,3})|([0-9]{1,3})\s?ページ)"
+# Page numbers have any number of digits: cut ones would name other pages.
+PAGE_RANGE = r"P\.?\s?([0-9]+)\s?[〜~～-]\s?(?:P\.?\s?)?([0-9]+)"
+PAGE = r"(?:→\s?P\.?\s?([0-9]+)|P\.?\s?([0-9]+)|([0-9]+)\s?ページ)"
 SECTION_RANGE = r"((?:[0-9]+\.)+[0-9]+)\s?[〜~～]\s?((?:[0-9]+\.)+[0-9]+)"
 SECTION = r"[「]?((?:[0-9]+\.){1,3}[0-9]+)[^」\n]{0,25}[」]?[^\n]{0,10}?(?:をご覧|を参照|参照|をお読み|→)"
 TITLE_LINE = r"\A(?![0-9０-９])[^。、．]{4,30}\z"
@@ -73,10 +74,10 @@ def extract(chunks: DataFrame, found: dict[str, DataFrame]) -> tuple[DataFrame,
         return F.arrays_zip(_all(F.col("text"), pattern, 0).alias("all"), _all(F.col("text"), pattern, 1).alias("a"), _all(F.col("text"), pattern, 2).alias("b"))
 
     ranges = some.select("chunk_id", "source", F.posexplode(zipped(PAGE_RANGE)).alias("at", "m"))
-    ranges = ranges.select("chunk_id", "source", "at", F.col("m.all").alias("ref"), F.col("m.a").cast("int").alias("a"), F.col("m.b").cast("int").alias("b")).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= 10))
+    ranges = ranges.select("chunk_id", "source", "at", F.col("m.all").alias("ref"), F.col("m.a").try_cast("int").alias("a"), F.col("m.b").try_cast("int").alias("b")).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= 10))
     spread = ranges.withColumn("page", F.explode(F.transform(F.sequence("a", "b"), lambda p: p.cast("string"))))
     by_range = spread.join(pages.withColumnRenamed("chunk_id", "dst"), ["source", "page"]).select("chunk_id", "dst", F.lit("page").alias("kind"), "ref", F.lit(0).alias("step"), "at", F.col("page").cast("int").alias("nth"))
-    single = F.transform(_all(F.regexp_replace("text", PAGE_RANGE, " "), PAGE, 0), lambda m: F.regexp_extract(m, "([0-9]{1,3})", 1))
+    single = F.transform(_all(F.regexp_replace("text", PAGE_RANGE, " "), PAGE, 0), lambda m: F.regexp_extract(m, "[0-9]+", 0))
     one = some.select("chunk_id", "source", F.posexplode(single).alias("at", "page"))
     by_page = one.join(pages.withColumnRenamed("chunk_id", "dst"), ["source", "page"]).select("chunk_id", "dst", F.lit("page").alias("kind"), F.concat(F.lit("P."), "page").alias("ref"), F.lit(1).alias("step"), "at", F.lit(0).alias("nth"))
     spans = some.select("chunk_id", "source", F.posexplode(zipped(SECTION_RANGE)).alias("at", "m")).select("chunk_id", "source", "at", F.col("m.all").alias("ref"), F.col("m.a").alias("a"), F.col("m.b").alias("b"))
