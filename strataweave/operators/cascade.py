@@ -43,14 +43,17 @@ class Linked:
     report: DataFrame
 
 
+def _numbers(name: Column) -> Column:
+    return F.regexp_extract_all(F.translate(name, tx.FULL_WIDTH_DIGITS, tx.DIGITS), F.lit("[0-9]+"), 0)
+
+
 def kept_apart(a: Column, b: Column) -> Column:
     """Why two names must not be linked, or null: numbers, contained, numeric or ending."""
-    digits = lambda c: F.regexp_extract_all(F.translate(c, tx.FULL_WIDTH_DIGITS, tx.DIGITS), F.lit("[0-9]+"), 0)
     x, y = F.lower(a), F.lower(b)
     inside = (F.contains(x, y) | F.contains(y, x)) & (F.abs(F.length(x) - F.length(y)) > 1) & (F.least(F.length(x), F.length(y)) >= 2)
     stem = F.length(x) - 1
     ending = (F.length(x) == F.length(y)) & (x != y) & (F.substring(x, F.lit(1), stem) == F.substring(y, F.lit(1), stem))
-    return F.when(numeric_like(a) | numeric_like(b), "numeric").when(digits(a) != digits(b), "numbers").when(inside, "contained").when(ending, "ending")
+    return F.when(numeric_like(a) | numeric_like(b), "numeric").when(_numbers(a) != _numbers(b), "numbers").when(inside, "contained").when(ending, "ending")
 
 
 def _equal_names(names: DataFrame) -> DataFrame:
@@ -86,20 +89,23 @@ def judged(pairs: DataFrame, names: DataFrame, edges: DataFrame, judge: hooks.La
     return answered.select(*pairs.columns, F.when(said != "", said == "true").alias("same"))
 
 
-def link(entities: DataFrame, edges: DataFrame, judge: hooks.LanguageModel | None = None, high: float = 0.95, low: float = 0.85, k: int = 20, most: int = 5) -> Linked:
+def link(entities: DataFrame, edges: DataFrame, judge: hooks.LanguageModel | None = None, high: float = 0.95, low: float = 0.85, k: int = 20, most: int = 5, numbers_apart: bool = True) -> Linked:
     """Links the names of ``entities`` (``id, label``; ``pagerank``, ``mention_count``, ``embedding`` if there are such columns).
 
     Of an id with several labels the first counts. The best name of a cluster
     has the highest pagerank, then the most mentions, then the shortest, then
     the first id. Without embeddings there is no vector stage; without a judge
-    what it should see stays open.
+    what it should see stays open. Without ``numbers_apart`` near names with
+    different numbers do not meet, and the ledger lacks what is decided of them;
+    as they are always kept apart, mapping and clusters are the same.
     """
     optional = {c: F.max(c) if c in entities.columns else F.lit(0.0) for c in ("pagerank", "mention_count")}
     vector = [F.first("embedding", ignorenulls=True).alias("embedding")] if "embedding" in entities.columns else []
     grouped = entities.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("label").alias("label"), *(c.alias(n) for n, c in optional.items()), *vector)
     order = F.struct(F.coalesce("pagerank", F.lit(0.0)), F.coalesce("mention_count", F.lit(0)), (-F.length("id")).alias("short"), F.transform(F.split("id", ""), lambda c: -F.ascii(c)).alias("first"), F.col("id").alias("name"))
     names = written(grouped.withColumn("order", order), "link-names")
-    stages = [("normal", _equal_names(names)), ("fuzzy", fuzzy_pairs(names.select("id", "label")).select("a", "b", (1 - F.col("distance") / F.greatest(F.length("a"), F.length("b"))).alias("score")))]
+    group = F.col("label") if numbers_apart else F.concat("label", F.lit("\n"), F.array_join(_numbers(F.col("id")), ","))
+    stages = [("normal", _equal_names(names)), ("fuzzy", fuzzy_pairs(names.select("id", group.alias("label"))).select("a", "b", (1 - F.col("distance") / F.greatest(F.length("a"), F.length("b"))).alias("score")))]
     if vector:
         stages.append(("vector", _near_vectors(names, low, k)))
     listed = [df.select("a", "b", F.struct(F.lit(n).alias("n"), F.lit(stage).alias("stage"), F.col("score").alias("score")).alias("s")) for n, (stage, df) in enumerate(stages)]

@@ -5,8 +5,28 @@ from collections import Counter
 import duckdb
 import pytest
 
+from strataweave.operators import cascade, linking, retrieval
 from strataweave.plans import registry
 
+def most_rows(df):
+    """The rows of ``df``, and the most rows that an operator of its plan put out."""
+    rows, most = df.collect(), 0
+    open_nodes = [df._jdf.queryExecution().executedPlan()]
+    while open_nodes:
+        node = open_nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            open_nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            open_nodes.append(node.plan())
+        else:
+            open_nodes += [node.children().apply(i) for i in range(node.children().size())]
+        counted = node.metrics().get("numOutputRows")
+        if counted.isDefined():
+            most = max(most, counted.get().value())
+    return rows, most
+
+
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
 
 
@@ -33,3 +53,23 @@ def test_pages_of_four_digits_are_referred_to(spark, tmp_path):
 def test_headers_of_lines_with_signs_of_their_own(spark, tmp_path):
     texts = ["plain", "## two", "###x\n### y\n#  z", "#\n#\n\n#", "a\r# b\u2028#c\n#d", " # e", "", None, "x# y\n \n###"]
     assert same(spark, tmp_path, "spaced_headers", documents=(list(enumerate(texts)), "doc_id long, text string")) == len(texts)
+
+
+def test_a_frequent_word_meets_few_nodes_at_its_places(spark):
+    nodes = spark.createDataFrame([(f"part:{i}",) for i in range(2000)], "id string")
+    asked = spark.createDataFrame([(i, "the part art") for i in range(500)], "question_id int, text string")
+    rows, most = most_rows(retrieval.keyword_entities(nodes, asked, 2))
+    assert Counter(tuple(r) for r in rows) == Counter((i, f"part:{n}", 1) for i in range(500) for n in (0, 1))
+    assert most <= 20_000
+
+
+def test_names_with_other_numbers_do_not_meet_unless_asked_for(spark, monkeypatch):
+    rows = [(f"red valve unit no {i}", "T", 0.5) for i in range(300)] + [(f"red valve unlt no {i}", "T", 0.1) for i in range(0, 300, 3)]
+    names = spark.createDataFrame(rows, "id string, label string, pagerank double")
+    none = spark.createDataFrame([], "src string, type string, dst string, extraction_count long, source_chunks array<string>")
+    seen = []
+    monkeypatch.setattr(cascade, "fuzzy_pairs", lambda df: seen.append(linking.fuzzy_pairs(df)) or seen[-1])
+    found = {numbers: cascade.link(names, none, numbers_apart=numbers).mapping.collect() for numbers in (True, False)}
+    assert set(found[True]) == set(found[False]) and len(found[False]) == 100
+    met = [most_rows(df)[1] for df in seen]
+    assert met[1] <= 20_000 < met[0]
