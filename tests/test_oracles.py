@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from strataweave.operators import cascade, linking, retrieval
+from strataweave.operators.keyword_index import KeywordIndex
 from strataweave.plans import registry
 
 def most_rows(df):
@@ -73,3 +74,13 @@ def test_names_with_other_numbers_do_not_meet_unless_asked_for(spark, monkeypatc
     assert set(found[True]) == set(found[False]) and len(found[False]) == 100
     met = [most_rows(df)[1] for df in seen]
     assert met[1] <= 20_000 < met[0]
+
+
+def test_a_search_makes_no_pairs_of_questions_and_shards(spark):
+    docs = [(f"d{i:03}", " ".join(f"w{(i * j) % 97}" for j in range(1, 20))) for i in range(600)] + [(None, "w1 w2 w3")]
+    asked = spark.createDataFrame([(i, " ".join(f"w{(i + 7 * j) % 97}" for j in range(15))) for i in range(150)], "question_id int, text string")
+    table = spark.createDataFrame(docs, "id string, text string")
+    rows, most = most_rows(KeywordIndex.build(table, shard=15).search(asked, 4).select("question_id", "id", "score", "rank"))
+    every = retrieval.ranked(retrieval.bm25_scores(table, asked).selectExpr("question_id", "id", "round(score, 6) AS score"), 4)
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, every.select("question_id", "id", "score", "rank").collect()))
+    assert most <= 25_000
