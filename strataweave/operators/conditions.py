@@ -56,7 +56,11 @@ def route(questions: DataFrame, facts: DataFrame, k: int = 20) -> DataFrame:
     by_number = reached.select("question_id", "f.*").withColumn("by", -F.col("value_num"))
     keys = asked.where("intent <> 'rate_threshold'").select("question_id", F.explode(tx.condition_keys(F.col("text"))).alias("key")).distinct()
     texts = plain.select("fact_id", F.explode("texts").alias("text")).distinct()
-    hits = containing(texts.select("text"), keys.select("key")).join(keys, "key").join(texts, "text").select("question_id", "fact_id").distinct()
+    # the first k of a question are among the first k of each of its keys: facts are cut before they meet questions
+    held = containing(texts.select("text"), keys.select("key").distinct()).join(texts, "text").select("key", "fact_id").distinct()
+    first = F.row_number().over(Window.partitionBy("key").orderBy("value_num", "fact_id"))
+    few = plain.select("fact_id", "value_num").join(held, "fact_id").withColumn("n", first).where(F.col("n") <= k).select("key", "fact_id")
+    hits = few.join(keys, "key").select("question_id", "fact_id").distinct()
     by_key = plain.join(hits, "fact_id").select("question_id", *plain.columns, F.col("value_num").alias("by"))
     both = by_number.unionByName(by_key)
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("by", "fact_id"))

@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from strataweave.operators import cascade, linking, retrieval
+from strataweave.operators import cascade, conditions, linking, retrieval, tables
 from strataweave.operators.keyword_index import KeywordIndex
 from strataweave.plans import registry
 
@@ -84,3 +84,32 @@ def test_a_search_makes_no_pairs_of_questions_and_shards(spark):
     every = retrieval.ranked(retrieval.bm25_scores(table, asked).selectExpr("question_id", "id", "round(score, 6) AS score"), 4)
     assert Counter(map(tuple, rows)) == Counter(map(tuple, every.select("question_id", "id", "score", "rank").collect()))
     assert most <= 25_000
+
+
+def test_facts_are_cut_before_they_meet_questions(spark):
+    facts = spark.createDataFrame([(f"f{i:04}", "l", i % 50, "", "s", [("平日区分", "")]) for i in range(1000)], "fact_id string, label string, value_num long, unit string, source string, conditions array<struct<value:string,norm_value:string>>")
+    asked = spark.createDataFrame([(i, "A 平日 (を含む)") for i in range(300)], "question_id int, text string")
+    rows, most = most_rows(conditions.route(asked, facts, 3).select("question_id", "fact_id", "rank"))
+    assert Counter(map(tuple, rows)) == Counter((i, f"f{n:04}", r) for i in range(300) for r, n in ((1, 0), (2, 50), (3, 100)))
+    assert most <= 10_000
+
+
+LINE = "l_orderkey long, l_partkey long, l_quantity double"
+
+
+def test_tables_in_one_task_do_not_touch_each_other(spark, tmp_path):
+    lines = [(order, (order * 7 + i * 13) % 50, float((order + i) % 9)) for order in range(400) for i in range(order % 6 + 1)]
+    lines = sorted({(o, p): (o, p, q) for o, p, q in lines}.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert same(spark, tmp_path, "merged_cell_tables", lineitem=(lines, LINE)) == 400
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cells_are_placed_without_a_group_for_each_table(spark):
+    cells = spark.createDataFrame([("a", 0, 0, 2, 1, "x"), ("a", 1, 0, 1, 1, "y"), ("b", 0, 0, None, 2, "z"), ("b", 0, 1, 1, 1, "w"), (None, 0, 0, 1, 1, "n"), ("b", None, 0, 1, 1, "-")], "table_id string, row int, n int, row_span int, column_span int, text string")
+    found = tables.placed(cells)
+    assert "InArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert Counter((r.table_id, r.row, r.column, r.text) for r in found.collect()) == Counter([("a", 0, 0, "x"), ("a", 1, 1, "y"), ("b", 0, 0, "z"), ("b", 0, 2, "w"), (None, 0, 0, "n")])
