@@ -168,26 +168,42 @@ def kana_mapping(nodes: DataFrame) -> DataFrame:
 
 
 def connected(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """``node, component`` (its smallest node) by passing the smallest name along edges ``a, b``, with shortcuts.
+    """``node, component`` (its smallest node): nodes of ``a, b`` go into their smallest neighbours, then edges between what is left.
 
-    Not settling in ``most_rounds`` is an error.
+    Each round writes the edges between different roots, each once: at least
+    half of the nodes that have edges are no roots, so edges shrink. Not settling in
+    ``most_rounds`` is an error.
     """
-    checkpoint_folder(pairs.sparkSession)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    names = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
+    edges = written(pairs.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"), "component-edges")
+    found = None
     for _ in range(most_rounds):
-        near = both.join(names.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = names.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")).checkpoint()
-        changed = new.where("old <> component").limit(1).count()
-        names = new.select("node", "component")
-        if not changed:
-            both.unpersist()
-            return names
+        ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = _roots(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), most_rounds)
+        if found is None:
+            found = roots.select("node", F.col("root").alias("component"))
+        else:
+            found = found.join(roots.select(F.col("node").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        # one end at a time: what is equal by then moves once
+        half = edges.where("a <> b").join(roots.select(F.col("node").alias("a"), "root"), "a").select(F.col("root").alias("a"), "b").distinct()
+        whole = half.join(roots.select(F.col("node").alias("b"), "root"), "b").select("a", F.col("root").alias("b")).where("a <> b")
+        edges = written(whole.distinct(), "component-edges")
+        found = written(found, "components")
+        if edges.limit(1).count() == 0:
+            return found
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _roots(steps: DataFrame, most_rounds: int) -> DataFrame:
+    """``node, root``: steps to smaller nodes followed to their end, twice as far each round."""
+    for _ in range(most_rounds):
+        steps = written(steps, "component-roots")
+        onward = steps.where("node <> root").join(steps.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").where("further <> root")
+        if onward.limit(1).count() == 0:
+            return steps
+        steps = steps.join(onward.select("node", "further"), "node", "left").select("node", F.coalesce("further", "root").alias("root"))
+    raise RuntimeError(f"components have chains that do not end in {most_rounds} rounds")
+
+
 def direct_clusters(pairs: DataFrame, scores: DataFrame, most: int = 5) -> DataFrame:
     """``old, new`` without chains: a node goes to the best of its direct partners, if that goes nowhere itself.
 

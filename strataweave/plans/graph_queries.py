@@ -381,7 +381,7 @@ def _components_sql(rounds: int) -> str:
 @query(_components_sql(10))
 def connected_components(t: Tables) -> DataFrame:
     alone = t.nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-    return enrich.connected(t.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(alone))
+    return enrich.connected(t.links.unionByName(alone))
 
 
 @query("""SELECT chunk_id, source, CAST(floor((rn - 1) / 20) * 20 AS BIGINT) AS page_offset FROM (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS rn FROM chunks)""")

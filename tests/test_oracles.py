@@ -1,11 +1,12 @@
 """Registered queries against their own SQL in DuckDB, on small tables of the shapes that larger ones have."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 
-from strataweave.operators import cascade, conditions, linking, retrieval, tables
+from strataweave.operators import cascade, conditions, enrich, linking, retrieval, tables
 from strataweave.operators.keyword_index import KeywordIndex
 from strataweave.plans import registry
 
@@ -113,3 +114,28 @@ def test_cells_are_placed_without_a_group_for_each_table(spark):
     assert "InArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
     assert Counter((r.table_id, r.row, r.column, r.text) for r in found.collect()) == Counter([("a", 0, 0, "x"), ("a", 1, 1, "y"), ("b", 0, 0, "z"), ("b", 0, 2, "w"), (None, 0, 0, "n")])
+
+
+def test_edges_shrink_while_components_are_found(spark, monkeypatch):
+    rng = random.Random(7)
+    names = [f"n{i:04}" for i in rng.sample(range(3000), 3000)]
+    pairs = list(zip(names[:900], names[1:901]))  # a path
+    pairs += [(names[1000], n) for n in names[1001:1800]] * 2 + [(n, n) for n in names]
+    pairs += [(rng.choice(names[1800:2600]), rng.choice(names[1800:2600])) for _ in range(900)] + [(None, names[5]), (names[6], None)]
+    want = {n: n for n in names}
+
+    def top(n):
+        while want[n] != n:
+            n = want[n]
+        return n
+
+    for a, b in pairs:
+        if a and b:
+            low, high = sorted((top(a), top(b)))
+            want[high] = low
+    sizes = []
+    monkeypatch.setattr(enrich, "written", lambda df, name, f=enrich.written: sizes.append((name, (out := f(df, name)).count())) or out)
+    found = enrich.connected(spark.createDataFrame(pairs, "a string, b string")).collect()
+    assert {r.node: r.component for r in found} == {n: top(n) for n in names} and len(found) == len(names)
+    edges = [n for name, n in sizes if name == "component-edges"]
+    assert edges[-1] == 0 and edges[1] < edges[0] / 4 and len(edges) <= 8
